@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, url_filter
+from . import decontaminate, mixing, secrets, substring_dedup, token_records, topk, url_filter
 from .common import table
 
 
@@ -49,11 +49,36 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def tokenizer_path() -> str:
+    """The installed public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_records.new_folder(spark)
+    token_records.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_records.index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
     "op5_url_filter": op5_url_filter,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_topk": op9_topk,
+    "op10_token_records": op10_token_records,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -84,5 +109,24 @@ rules(rule_host, rule_path, verdict) AS (VALUES ('net', '/', 'block'), ('example
 SELECT page_id, host, path, r.rule_host || r.rule_path AS rule, coalesce(r.verdict, 'allow') AS verdict
 FROM p LEFT JOIN rules r ON (host = r.rule_host OR host LIKE '%.' || r.rule_host) AND starts_with(path, r.rule_path)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) = 1
+""",
+    "op8_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+dw AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 13], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 12)) AS i FROM d WHERE len(ws) >= 13)),
+firsts AS (SELECT w, min(doc_id) AS first_id FROM dw GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT dw.doc_id, unnest(range(dw.i, dw.i + 13)) AS p FROM dw JOIN firsts f ON dw.w = f.w WHERE f.first_id < dw.doc_id)),
+words AS (SELECT doc_id, unnest(range(0, len(ws))) AS p, unnest(ws) AS word FROM d),
+kept AS (SELECT w.doc_id, count(*) AS n_kept, string_agg(w.word, ' ' ORDER BY w.p) AS kept
+         FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.p = g.p WHERE g.p IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(len(d.ws) - coalesce(k.n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+""",
+    "op9_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """,
 }
