@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, secrets, substring_dedup, token_records, topk, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, secrets, substring_dedup, token_records, topk, url_filter
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -49,6 +54,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,7 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_topk": op9_topk,
     "op10_token_records": op10_token_records,
@@ -109,6 +120,19 @@ rules(rule_host, rule_path, verdict) AS (VALUES ('net', '/', 'block'), ('example
 SELECT page_id, host, path, r.rule_host || r.rule_path AS rule, coalesce(r.verdict, 'allow') AS verdict
 FROM p LEFT JOIN rules r ON (host = r.rule_host OR host LIKE '%.' || r.rule_host) AND starts_with(path, r.rule_path)
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule_host || r.rule_path) DESC NULLS LAST) = 1
+""",
+    "op4_line_dedup": """
+WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+l AS (SELECT doc_id, i, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
+      FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d)),
+r AS (SELECT *, coalesce((lag(h) OVER w * 1000003 + h) % 2147483647, h) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, i = n OR (i > 1 AND r > lag(r) OVER w AND r > lead(r) OVER w) AS ends FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM e),
+chunks AS (SELECT doc_id, c, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, c),
+ranked AS (SELECT *, n >= 2 AND (row_number() OVER (PARTITION BY body, n ORDER BY doc_id, c)) > 1 AS gone FROM chunks)
+SELECT d.doc_id, CAST(len(d.ls) AS INTEGER) AS n_lines, CAST(coalesce(x.n_chunks, 0) AS INTEGER) AS n_chunks, CAST(coalesce(x.n_removed, 0) AS INTEGER) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n_chunks, sum(CASE WHEN gone THEN n ELSE 0 END) AS n_removed, string_agg(CASE WHEN NOT gone THEN body END, chr(10) ORDER BY c) AS kept
+                  FROM ranked GROUP BY doc_id) x USING (doc_id)
 """,
     "op8_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
