@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -36,8 +37,10 @@ MASK = 0xA282EAD8
 HEAD, INNER = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Documents in one file at most; a reader takes a file at a time.
 FILE_DOCUMENTS = 20_000
-#: Words that an encoder remembers, and the longest of them.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 48
+#: Words and parts of words that an encoder remembers, and the longest of them.
+MEMO_WORDS, MEMO_CORES, MEMO_LENGTH = 300_000, 600_000, 48
+#: Latin letters, after a space or not, and ASCII marks after them.
+_CORE = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)?")
 
 
 def masked(data: bytes) -> int:
@@ -67,9 +70,10 @@ class Encoder:
     """Whole texts to ids by the tokenizers library.
 
     A byte-level tokenizer that splits by the usual pattern always breaks before a
-    space that a visible character follows, so the ids of a text are those of its
-    pieces between such spaces.  Pieces are encoded once and remembered; a text
-    with other spacing, or any text of another kind of tokenizer, is encoded whole.
+    space or line feed between visible characters, after such a line feed, and
+    between Latin letters and marks other than the apostrophe.  So the ids of a text
+    are those of its pieces, which are encoded once and remembered.  A text with
+    other spacing, or any text of another kind of tokenizer, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -82,8 +86,10 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         made = json.loads(self.tokenizer.to_str())
         split = made["pre_tokenizer"] or {}
-        self.by_piece = made["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not any(x["lstrip"] or x["rstrip"] or x["normalized"] is None or " " in x["content"] for x in made["added_tokens"])
-        self.memo: dict[str, bytes | None] = {}
+        plain = not any(x["lstrip"] or x["rstrip"] or re.search(r"[ \n]", x["content"]) or _CORE.fullmatch(x["content"]) for x in made["added_tokens"])
+        self.by_piece = made["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and plain
+        self.words: dict[str, bytes | None] = {}
+        self.cores: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -91,25 +97,48 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.whole(texts)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        pieces = [text.split(" ") for text in texts]
-        heads = dict(zip(h := list({p[0] for p in pieces}), self.whole(h), strict=True))
-        unknown = {w for p in pieces for w in p[1:] if w not in memo}
-        usable = [w for w in unknown if w and not w[0].isspace()]
-        fresh: dict[str, bytes | None] = dict.fromkeys(unknown)
-        fresh |= zip(usable, self.whole([" " + w for w in usable]), strict=True)
-        memo.update(fresh)
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        if len(self.cores) > MEMO_CORES:
+            self.cores.clear()
+        words = self.words
+        split = [text.replace("\n", " \n").split(" ") for text in texts]
+        unknown = {w for p in split for w in p[1:] if w not in words}
+        self._learn(unknown)
+        heads = dict(zip(h := list({p[0] for p in split}), self.whole(h), strict=True))
         out = []
-        for text, p in zip(texts, pieces, strict=True):
-            tail = [memo[w] for w in p[1:]]
+        for text, p in zip(texts, split, strict=True):
+            tail = [words[w] for w in p[1:]]
             out.append(self.whole([text])[0] if None in tail else heads[p[0]] + b"".join(tail))
-        for w in fresh:
+        for w in unknown:
             if len(w) > MEMO_LENGTH:
-                del memo[w]
+                del words[w]
         return out
 
+    def _learn(self, unknown: set[str]) -> None:
+        """A word stands for the space before it, or begins with the line feed before it; None: spacing of another kind."""
+        cores, words = self.cores, self.words
+        cut: list[tuple[str, str, str, bool]] = []
+        for w in unknown:
+            feed = w[:1] == "\n"
+            own = w[1:] if feed else w
+            if not own or own[0].isspace():
+                words[w] = None
+                continue
+            own = own if feed else " " + own
+            m = _CORE.fullmatch(own)
+            cut.append((w, m[1], m[2] or "", feed) if m else (w, own, "", feed))
+        fresh = {c[1] for c in cut if c[1] not in cores} | {c[2] for c in cut if c[2] not in cores}
+        fresh = ["\n", *fresh]
+        cores.update(zip(fresh, self.whole(fresh), strict=True))
+        line = cores["\n"]
+        for w, core, marks, feed in cut:
+            ids = cores[core] + cores[marks] if marks else cores[core]
+            words[w] = line + ids if feed else ids
+        for x in fresh:
+            if len(x) > MEMO_LENGTH:
+                del cores[x]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
