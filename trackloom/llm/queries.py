@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, secrets, substring_dedup, token_records, topk, url_filter
+from . import decontaminate, jaccard_join, line_dedup, mixing, quality, secrets, substring_dedup, token_records, topk, url_filter
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_topk": op9_topk,
     "op10_token_records": op10_token_records,
