@@ -83,6 +83,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes from each start to its end."""
+    powers, inverse = _power_tables(len(data) + 1)
+    total = np.empty(len(data) + 1, _U)
+    total[0] = 0
+    np.cumsum(_BYTE_CODES[data] * powers[: len(data)], dtype=_U, out=total[1:])
+    return mix((total[ends] - total[starts]) * inverse[starts])
+
+
 class Words:
     """The words of a slice of texts.
 
@@ -106,11 +115,7 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        powers, inverse = _power_tables(len(self.data) + 1)
-        total = np.empty(len(self.data) + 1, _U)
-        total[0] = 0
-        np.cumsum(_BYTE_CODES[self.data] * powers[: len(self.data)], dtype=_U, out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        return span_hashes(self.data, self.starts, self.ends)
 
     def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all windows of `width` words inside one text."""

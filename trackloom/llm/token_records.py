@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -31,16 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir
+from .common import checkpoint_dir, span_hashes, text_slices
 
 MASK = 0xA282EAD8
 HEAD, INNER = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Documents in one file at most; a reader takes a file at a time.
 FILE_DOCUMENTS = 20_000
-#: Words and parts of words that an encoder remembers, and the longest of them.
-MEMO_WORDS, MEMO_CORES, MEMO_LENGTH = 300_000, 600_000, 48
-#: Latin letters, after a space or not, and ASCII marks after them.
-_CORE = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)?")
+#: Slots of an encoder's table of pieces, half of which are filled at most, and ids that it keeps.
+SLOT_BITS = 22
+SLOTS, MEMO_IDS = 1 << SLOT_BITS, 12_000_000
 
 
 def masked(data: bytes) -> int:
@@ -66,14 +64,27 @@ def unframe(data: bytes, at: int = 0) -> tuple[int | None, np.ndarray, int]:
     return (doc_id if has_id else None), np.frombuffer(payload, f"<u{width}", offset=INNER.size), HEAD.size + size + 5
 
 
-class Encoder:
-    """Whole texts to ids by the tokenizers library.
+# Classes of bytes.  Letters are ASCII letters and both bytes of U+00C0 to U+024F.
+_HARD, _SPACE, _LINE, _LETTER, _DIGIT, _MARK = range(6)
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x20], _CLASS[0x0A] = _SPACE, _LINE
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[0x27] = _HARD  # the apostrophe may belong to the letters after it
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _CLASS[0x80:0xC0] = _CLASS[0xC3:0xCA] = _LETTER
+
 
-    A byte-level tokenizer that splits by the usual pattern always breaks before a
-    space or line feed between visible characters, after such a line feed, and
-    between Latin letters and marks other than the apostrophe.  So the ids of a text
-    are those of its pieces, which are encoded once and remembered.  A text with
-    other spacing, or any text of another kind of tokenizer, is encoded whole.
+class Encoder:
+    """Texts to ids by the tokenizers library, piece by piece.
+
+    A byte-level tokenizer that splits by the usual pattern encodes each piece by
+    itself: a run of letters, of digits or of other marks with one space before it,
+    or a line feed.  Pieces are found for many texts at once by the classes of their
+    bytes.  A text is always broken before a space that a visible character follows;
+    a part between such places that holds anything unusual (an apostrophe, other white
+    space, other scripts) is one piece, whatever it holds.  Each piece is encoded by
+    the library once, and its ids are kept in a table by its hash.  Tokenizers of
+    other kinds, and texts that hold an added token, encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -86,58 +97,96 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         made = json.loads(self.tokenizer.to_str())
         split = made["pre_tokenizer"] or {}
-        plain = not any(x["lstrip"] or x["rstrip"] or re.search(r"[ \n]", x["content"]) or _CORE.fullmatch(x["content"]) for x in made["added_tokens"])
-        self.by_piece = made["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and plain
-        self.words: dict[str, bytes | None] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self.whole(texts)
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        if len(self.cores) > MEMO_CORES:
-            self.cores.clear()
-        words = self.words
-        split = [text.replace("\n", " \n").split(" ") for text in texts]
-        unknown = {w for p in split for w in p[1:] if w not in words}
-        self._learn(unknown)
-        heads = dict(zip(h := list({p[0] for p in split}), self.whole(h), strict=True))
-        out = []
-        for text, p in zip(texts, split, strict=True):
-            tail = [words[w] for w in p[1:]]
-            out.append(self.whole([text])[0] if None in tail else heads[p[0]] + b"".join(tail))
-        for w in unknown:
-            if len(w) > MEMO_LENGTH:
-                del words[w]
-        return out
-
-    def _learn(self, unknown: set[str]) -> None:
-        """A word stands for the space before it, or begins with the line feed before it; None: spacing of another kind."""
-        cores, words = self.cores, self.words
-        cut: list[tuple[str, str, str, bool]] = []
-        for w in unknown:
-            feed = w[:1] == "\n"
-            own = w[1:] if feed else w
-            if not own or own[0].isspace():
-                words[w] = None
-                continue
-            own = own if feed else " " + own
-            m = _CORE.fullmatch(own)
-            cut.append((w, m[1], m[2] or "", feed) if m else (w, own, "", feed))
-        fresh = {c[1] for c in cut if c[1] not in cores} | {c[2] for c in cut if c[2] not in cores}
-        fresh = ["\n", *fresh]
-        cores.update(zip(fresh, self.whole(fresh), strict=True))
-        line = cores["\n"]
-        for w, core, marks, feed in cut:
-            ids = cores[core] + cores[marks] if marks else cores[core]
-            words[w] = line + ids if feed else ids
-        for x in fresh:
-            if len(x) > MEMO_LENGTH:
-                del cores[x]
+        self.added = [x["content"].encode() for x in made["added_tokens"]]
+        self.by_piece = made["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(SLOTS, np.uint64)  # 0: free
+        self.at, self.sizes = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used, self.known = np.zeros(1 << 20, self.kind), 0, 0
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin."""
+        raw = data.tobytes()
+        if not self.by_piece or any(x in raw for x in self.added):
+            ids = self.whole([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+            return np.array([x for own in ids for x in own], self.kind), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        starts = self._pieces(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        slots = self._slots(span_hashes(data, starts, ends), raw, starts, ends)
+        sizes = self.sizes[slots]
+        total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        places = np.arange(total[-1]) + np.repeat(self.at[slots] - total[:-1], sizes)
+        return self.pool[places], total[np.searchsorted(starts, offsets)]
+
+    @staticmethod
+    def _pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces begin."""
+        if not len(data):
+            return np.empty(0, np.int64)
+        kind = _CLASS[data]
+        after = np.append(data[1:], 0)
+        kind[(data == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (data == 0xC9) & (after >= 0x90)] = _HARD
+        last = np.zeros(len(data), bool)
+        last[offsets[1:][offsets[1:] > 0] - 1] = True
+        following = np.append(kind[1:], 0)
+        following[last] = _HARD
+        first = np.zeros(len(data), bool)
+        first[offsets[:-1][offsets[:-1] < len(data)]] = True
+        safe = (kind == _SPACE) & (following >= _LETTER)
+        part = np.cumsum(safe | first) - 1
+        blank = (kind == _SPACE) | (kind == _LINE)
+        odd = (kind == _HARD) | (kind == _SPACE) & ~safe
+        odd[1:] |= (kind[1:] == _LINE) & blank[:-1] & ~first[1:]
+        hard = np.zeros(part[-1] + 1, bool)
+        hard[part[odd]] = True
+        # White space at a part's start meets that at the end of the part before it.
+        turn = np.zeros(len(data), bool)
+        turn[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
+        return np.flatnonzero(first | safe | turn & ~hard[part])
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash: where it is, or the free one where it would be."""
+        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        rest = np.arange(len(hashes))
+        while len(rest):
+            found = self.keys[slots[rest]]
+            rest = rest[(found != hashes[rest]) & (found != 0)]
+            slots[rest] = (slots[rest] + 1) % SLOTS
+        return slots
+
+    def _slots(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        hashes = np.maximum(hashes, np.uint64(1))
+        slots = self._find(hashes)
+        missing = np.flatnonzero(self.keys[slots] == 0)
+        if not len(missing):
+            return slots
+        fresh, at = np.unique(hashes[missing], return_index=True)
+        if self.known + len(fresh) > SLOTS // 2 or self.used > MEMO_IDS:
+            self._forget()
+            fresh, at = np.unique(hashes, return_index=True)
+            missing = np.arange(len(hashes))
+        ids = self.whole([raw[starts[k] : ends[k]].decode() for k in missing[at]])
+        sizes = np.array([len(x) for x in ids])
+        flat = np.array([x for own in ids for x in own], self.kind)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), self.kind)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        begins = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.used += len(flat)
+        self.known += len(fresh)
+        rest = np.arange(len(fresh))
+        while len(rest):  # of several that want one slot, the last gets it
+            own = self._find(fresh[rest])
+            self.keys[own] = fresh[rest]
+            placed = self.keys[own] == fresh[rest]
+            self.at[own[placed]], self.sizes[own[placed]] = begins[rest[placed]], sizes[rest[placed]]
+            rest = rest[~placed]
+        return self._find(hashes)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -154,11 +203,10 @@ def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     coder = encoder(path)
     end = np.array([end_id], coder.kind).tobytes()
     for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            texts = [x or "" for x in part.column("text").to_pylist()]
-            ids = coder.encode(texts)
-            rows = [frame(d, i + end, coder.kind.itemsize) for d, i in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
+        doc_ids = batch.column("doc_id").to_pylist()
+        for row, last, data, offsets in text_slices(batch.column("text")):
+            ids, at = coder.encode(data, offsets)
+            rows = [frame(doc_ids[row + k], ids[at[k] : at[k + 1]].tobytes() + end, coder.kind.itemsize) for k in range(last - row)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
 
 
