@@ -155,12 +155,23 @@ def test_token_records_of_an_empty_table_and_a_damaged_frame(spark):
             token_records.unframe(data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :])
 
 
-def test_encoder_equals_whole_texts():
+@pytest.mark.parametrize("slots", [22, 9])
+def test_encoder_equals_whole_texts(slots, monkeypatch):
+    """slots: a small table is emptied again and again."""
+    monkeypatch.setattr(token_records, "SLOT_BITS", slots)
+    monkeypatch.setattr(token_records, "SLOTS", 1 << slots)
     coder = token_records.Encoder(queries.tokenizer_path())
     rnd = random.Random(3)
-    parts = [*"ab é'ñ.,\n\t  \r!5ſK\u0085\u2028\u200b日😀İʰ$|", "'s", " \n", "\n\n", "<|endoftext|>", "don't"]
-    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(3000)]
-    assert coder.by_piece and coder.encode(texts) == coder.whole(texts)
+    parts = [*"ab é'ñ.,\n\t  \r!5ſK\u0085\u2028\u200b\u00a0日😀İʰ$|×÷ɏɐ\u0301٣Ⅷ", "'s", " \n", "\n\n", "don't", "word ", " 12", "\n"]
+    for group in range(60):
+        texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(60)]
+        if group % 10 == 9:
+            texts.append("x <|endoftext|> y")
+        raw = [t.encode() for t in texts]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids, at = coder.encode(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == coder.whole(texts)
+    assert coder.by_piece
 
 
 def labelled(n=900):
