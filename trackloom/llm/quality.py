@@ -29,7 +29,9 @@ MAX_LABELLED, MAX_POOL, HELD_OUT = 8000, 4000, 0.3
 ROUNDS = 2
 #: A view is sure of labels beyond these probabilities, and hands on at most this share of the pool in a round.
 SURE_GOOD, SURE_BAD, HANDED_ON = 0.97, 0.03, 0.25
-WORD_BUCKETS, META_BUCKETS = 1 << 16, 1 << 8
+WORD_BUCKETS, META_BUCKETS = 1 << 15, 1 << 8
+#: Partitions of the bounded sample: each iteration of a fit sends one gradient a partition to the driver.
+SAMPLE_PARTITIONS = 3
 #: Documents with a smaller score are rejected.
 LEAST_SCORE = 0.5
 
@@ -140,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | ConstantModel:
     """
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("double")
     labelled = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
-    rows = checkpoint(features(_sample(docs, labelled)))
+    rows = checkpoint(features(_sample(docs, labelled)).repartition(SAMPLE_PARTITIONS))
     held = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1000)) < int(1000 * HELD_OUT)
     known = rows.where("good is not null")
     train, calibrate, pool = known.where(~held), known.where(held), rows.where("good is null")
