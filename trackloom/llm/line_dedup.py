@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: The rolling hash is (hash of the line before * BASE + hash of the line) modulo MODULUS.
 BASE, MODULUS = 1_000_003, (1 << 31) - 1
+#: Parts into which the occurrences of one chunk are dealt.
+SALTS = 32
 
 
 def line_hash(line: Column) -> Column:
@@ -57,7 +59,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     chunked = _chunks(docs)
     bodies = _occurrences(chunked).groupBy("digest", "body").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     repeated = bodies.groupBy("digest").agg(F.count("*").alias("bodies"), F.sum("n").alias("n"), F.min("first").alias("first")).where("bodies = 1 and n > 1").select(F.col("digest").alias("known"), "first")
-    later = _occurrences(chunked).select("at", "digest").join(repeated, F.col("digest") == F.col("known")).where("at > first")
+    # One chunk may come in a third of all documents: its occurrences are dealt out by salt too.
+    spread = repeated.withColumn("salt_known", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    salted = _occurrences(chunked).select("at", "digest", F.pmod(F.xxhash64("at"), F.lit(SALTS)).alias("salt"))
+    later = salted.join(spread, (F.col("digest") == F.col("known")) & (F.col("salt") == F.col("salt_known"))).where("at > first")
     gone = later.groupBy(F.col("at").alias("gone_at")).agg(F.collect_set("digest").alias("gone"))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     joined = chunked.join(gone, own == F.col("gone_at"), "left")
