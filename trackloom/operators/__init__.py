@@ -1 +1 @@
-
+"""Operators over detections, tracks, segments, catalogs and feeds."""

@@ -1,4 +1,4 @@
-"""All queries over the driver tables, by name, and their SQL."""
+"""All queries over the driver's tables, by name, and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import feed, library, motion  # noqa: F401
+from .roles import ORACLE_SQL, QUERIES  # noqa: F401

@@ -1 +1 @@
-
+"""Streaming twins of batch operators; they run the same kernels."""
