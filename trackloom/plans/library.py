@@ -17,7 +17,7 @@ fc AS (SELECT f.*, (SELECT count(*) FROM videos v WHERE v.folder_path = f.path)
 v AS (SELECT 'video' AS kind, CAST(id AS VARCHAR) AS id, custom_name AS name, greatest(0, CASE WHEN lower(custom_name) = 'small' THEN 100.0 WHEN starts_with(lower(custom_name), 'small') THEN 50.0 WHEN contains(lower(custom_name), 'small') THEN 25.0 ELSE 0.0 END
   + CASE WHEN starts_with(file_name, 'small') THEN 30.0 WHEN contains(file_name, 'small') THEN 15.0 ELSE 0.0 END - 2 * len(string_split(folder_path, '/'))) AS score FROM videos WHERE contains(lower(custom_name), 'small') OR contains(file_name, 'small')),
 f AS (SELECT 'folder', path, name, CASE WHEN lower(name) = 'small' THEN 100.0 WHEN starts_with(lower(name), 'small') THEN 50.0 ELSE 25.0 END + 0.5 * video_count + 0.3 * subfolder_count FROM fc WHERE contains(lower(name), 'small'))
-SELECT kind, id, name, round(score, 6) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM f)""")
+SELECT kind, id, name, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM f)""")
 def relevance_ranked_search(spark, sf):
     v = videos(spark, sf)
     found = C.ranked(v.withColumn("id", F.col("id").cast("string")), C.with_counts(folders(spark, sf), v).withColumns({"created_date": F.lit(None).cast("timestamp_ntz"), "modified_date": F.lit(None).cast("timestamp_ntz")}), "Small")

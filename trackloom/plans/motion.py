@@ -76,7 +76,7 @@ def activity_islands(spark, sf):
     return _rounded(intervals.islands(f, duration=_duration(f)), "start", "end")
 
 
-@query("SELECT user_id AS video_id, count_if(value / 490.02 >= 0.8) AS high, count_if(value / 490.02 >= 0.5 AND value / 490.02 < 0.8) AS medium, count_if(value / 490.02 < 0.5) AS low FROM events GROUP BY user_id")
+@query("SELECT user_id AS video_id, CAST(count_if(value / 490.02 >= 0.8) AS BIGINT) AS high, CAST(count_if(value / 490.02 >= 0.5 AND value / 490.02 < 0.8) AS BIGINT) AS medium, CAST(count_if(value / 490.02 < 0.5) AS BIGINT) AS low FROM events GROUP BY user_id")
 def confidence_histogram(spark, sf):
     return frames(spark, sf).groupBy("video_id").agg(*M.histogram(F.col("value") / 490.02))
 
@@ -297,7 +297,7 @@ def edit_list(spark, sf):
     return M.append_offsets(_segments(frames(spark, sf)), "video_id", "seg_idx").select("video_id", "seg_idx", F.round("offset", 6).alias("offset"))
 
 
-@query(f"""WITH {FRAMES_SQL} SELECT video_id, count(*) AS total_frames, count_if(event_type <> 'signup') AS processed_frames, count_if(value > 100) AS detection_frames, count_if(is_active) AS rally_frames,
+@query(f"""WITH {FRAMES_SQL} SELECT video_id, count(*) AS total_frames, CAST(count_if(event_type <> 'signup') AS BIGINT) AS processed_frames, CAST(count_if(value > 100) AS BIGINT) AS detection_frames, CAST(count_if(is_active) AS BIGINT) AS rally_frames,
 round(count_if(event_type <> 'signup') / count(*), 6) AS completeness, round(CASE WHEN count_if(event_type <> 'signup') > 0 THEN count_if(value > 100) / count_if(event_type <> 'signup') ELSE 0 END, 6) AS detection_rate FROM frames GROUP BY video_id""")
 def frame_stats(spark, sf):
     f = frames(spark, sf).select("video_id", (F.col("event_type") != "signup").alias("processed"), (F.col("value") > 100).cast("int").alias("n_detections"), F.lit(1).alias("n_tracks"), "is_active", F.col("is_active").alias("is_valid"), F.col("value").alias("confidence"))

@@ -49,7 +49,7 @@ def document_metrics(docs: DataFrame) -> DataFrame:
 def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Videos, folders and the paths of manifests that cannot be read; the latter count as empty."""
     rows = _json(spark, path, S.MANIFEST).withColumn("path", F.col("_metadata.file_path"))
-    good, bad = rows.where("corrupt is null"), rows.where("corrupt is not null").select("path")
+    good, bad = rows.where("corrupt is null"), rows.where("corrupt is not null and version is null").select("path")
     when = lambda c: F.timestamp_seconds(F.col(c) + S.REFERENCE_DATE)
     v = good.select(F.explode("videos").alias("file_name", "v")).select(
         F.lower("v.id").alias("id"),
