@@ -155,7 +155,7 @@ def test_token_records_of_an_empty_table_and_a_damaged_frame(spark):
             token_records.unframe(data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :])
 
 
-@pytest.mark.parametrize("slots", [22, 9])
+@pytest.mark.parametrize("slots", [21, 9])
 def test_encoder_equals_whole_texts(slots, monkeypatch):
     """slots: a small table is emptied again and again."""
     monkeypatch.setattr(token_records, "SLOT_BITS", slots)

@@ -37,8 +37,10 @@ HEAD, INNER = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Documents in one file at most; a reader takes a file at a time.
 FILE_DOCUMENTS = 20_000
 #: Slots of an encoder's table of pieces, half of which are filled at most, and ids that it keeps.
-SLOT_BITS = 22
-SLOTS, MEMO_IDS = 1 << SLOT_BITS, 12_000_000
+SLOT_BITS = 21
+SLOTS, MEMO_IDS = 1 << SLOT_BITS, 6_000_000
+#: Text that is encoded at once.
+ENCODED_BYTES = 1 << 19
 
 
 def masked(data: bytes) -> int:
@@ -204,7 +206,7 @@ def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
     end = np.array([end_id], coder.kind).tobytes()
     for batch in batches:
         doc_ids = batch.column("doc_id").to_pylist()
-        for row, last, data, offsets in text_slices(batch.column("text")):
+        for row, last, data, offsets in text_slices(batch.column("text"), ENCODED_BYTES):
             ids, at = coder.encode(data, offsets)
             rows = [frame(doc_ids[row + k], ids[at[k] : at[k + 1]].tobytes() + end, coder.kind.itemsize) for k in range(last - row)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
