@@ -212,3 +212,19 @@ def test_counters_from_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("id string, delta int").parquet(str(tmp_path / "in"))
     twins.into_table(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "id", "likes").awaitTermination()
     assert {r.id: r.likes for r in twins.counter_table(spark, str(tmp_path / "out"), "id", "likes").collect()} == {"a": 1, "b": 0}
+
+
+def test_passive_capture(spark):
+    from trackloom.operators.capture import capture
+
+    segments = spark.createDataFrame([(v, k, 10.0 * k, 10.0 * k + 4, c) for v in ("a", "b", "c") for k, c in enumerate((0.4, 0.9, 0.1, 0.3))], "video_id string, seg_idx int, start double, end double, confidence double")
+    evidence = spark.createDataFrame([(v, t) for v in ("a", "b") for t in (1.0, 4.2, 4.3, 24.25, 33.0)], "video_id string, t double")
+    staged = spark.createDataFrame([(f"s{k}",) for k in range(48)] + [("a",)], "local_video_id string")
+    rows, kept = capture(segments, evidence, staged, "me")
+    assert sorted((r.local_video_id, r.events) for r in rows.collect()) == sorted((v, [e]) for v in ("a", "b") for e in ('{"seg_idx":2,"confidence":0.1}', '{"seg_idx":3,"confidence":0.3}'))
+    assert sorted((r.video_id, r.t) for r in kept.collect()) == [(v, t) for v in ("a", "b") for t in (24.25, 33.0)]
+
+
+def test_path_conversions(spark):
+    row = spark.range(1).select(*[C.relative_path(F.lit(p), "lib") for p in ("lib", "lib/a/b", "library/a")], C.full_path(F.lit(""), "lib"), C.full_path(F.lit("a"), "lib")).first()
+    assert tuple(row) == ("", "a/b", None, "lib", "lib/a")

@@ -181,3 +181,35 @@ def review_state(actions: DataFrame, key: str = "video_id") -> DataFrame:
 
     done = ordered.withColumn("s", F.aggregate("log", empty, apply))
     return done.select(key, *[F.array_sort(F.col("s")[c]).alias(c) for c in ("saved", "removed", "favorited")])
+
+
+def free_names(wanted: DataFrame, folders: DataFrame) -> DataFrame:
+    """wanted(parent_path, name) that no sibling has, in any case, after the names are cleaned."""
+    clean = wanted.withColumn("same", F.lower(T.sanitized_folder_name(F.col("name"))))
+    return clean.join(folders.select("parent_path", F.lower("name").alias("same")), ["parent_path", "same"], "left_anti").drop("same")
+
+
+def search_here(videos: DataFrame, folders: DataFrame, folder: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """Matches among a folder's own videos and subfolders."""
+    inside = F.coalesce("parent_path", F.lit("")) == folder
+    return videos.where((F.col("folder_path") == folder) & (T.contains_any_case(display_name(), query) | T.contains_any_case(F.col("file_name"), query))), folders.where(inside & T.contains_any_case(F.col("name"), query))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """Below a library's root; the root itself is empty, and other paths are null."""
+    return F.when(path == root, F.lit("")).when(F.startswith(path, F.lit(root + "/")), F.substring(path, len(root) + 2, 1 << 30))
+
+
+def full_path(path: Column, root: str) -> Column:
+    return F.when(path == "", F.lit(root)).otherwise(F.concat(F.lit(root + "/"), path))
+
+
+def split_library(videos: DataFrame, saved: str = "saved", processed: str = "processed") -> DataFrame:
+    """Paths moved under the root of saved or of processed videos; those that are there stay."""
+    there = T.in_subtree(F.col("folder_path"), saved) | T.in_subtree(F.col("folder_path"), processed)
+    moved = F.when(F.col("is_processed"), full_path(F.col("folder_path"), processed)).otherwise(full_path(F.col("folder_path"), saved))
+    return videos.withColumn("folder_path", F.when(there, F.col("folder_path")).otherwise(moved))
+
+
+def newest_files(files: DataFrame, ts: str) -> DataFrame:
+    return files.orderBy(F.desc_nulls_last(ts), "name")

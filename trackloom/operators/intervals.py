@@ -116,3 +116,13 @@ def iou_pairs(predicted: DataFrame, truth: DataFrame, key: str = "video_id", lea
     t = truth.select(key, F.col("seg_idx").alias("t_idx"), "start", "end")
     pairs = overlapping(p, t, key).withColumnRenamed("r_t_idx", "t_idx")
     return pairs.withColumn("iou", interval_iou(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))).where(F.col("iou") >= least)
+
+
+def trail(points: DataFrame, probes: DataFrame, key: str, probe_id: str, history: float, n: int, ahead: float = 0.1) -> DataFrame:
+    """For each probe(probe_id, key, at): the last n points of each track in [at - history, at + ahead].
+
+    points(key, track_id, t, ...): tracks are told apart by track_id.
+    """
+    p = probes.select(F.col(key).alias("p_key"), probe_id, "at")
+    near = points.join(p, (F.col(key) == F.col("p_key")) & (F.col("t") >= F.col("at") - history) & (F.col("t") <= F.col("at") + ahead)).drop("p_key")
+    return near.withColumn("place", F.row_number().over(Window.partitionBy(probe_id, "track_id").orderBy(F.desc("t")))).where(F.col("place") <= n)

@@ -204,3 +204,44 @@ def upload_progress(rows: DataFrame, key: str) -> DataFrame:
     """Counts by status and the mean progress: 1 when complete, its share while uploading, else 0."""
     part = F.when(F.col("status") == "complete", 1.0).when(F.col("status") == "uploading", F.col("progress")).otherwise(0.0)
     return rows.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("status") == "complete").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.avg(part).alias("progress"))
+
+
+def recent_velocity(points: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """Per key the mean speed over the steps of the last n points; 0 below two."""
+    last = last_rows(points, key, "t", n)
+    w = Window.partitionBy(key).orderBy("t")
+    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    took = F.col("t") - F.lag("t").over(w)
+    moved = last.withColumn("v", F.when(took > 0, step / took))
+    return moved.groupBy(key).agg((F.coalesce(F.sum("v"), F.lit(0.0)) / F.greatest(F.count("*") - 1, F.lit(1))).alias("velocity"))
+
+
+def recent_area(points: DataFrame, key: str, n: int = 12) -> DataFrame:
+    """points with `mean_area` of the last n rows up to each."""
+    return points.withColumn("mean_area", F.avg(F.col("w") * F.col("h")).over(Window.partitionBy(key).orderBy("t").rowsBetween(1 - n, 0)))
+
+
+def recent_accuracy(rows: DataFrame, ts: str, now: Column, span: float = 300.0) -> DataFrame:
+    """Share of hits and mean latency over the last `span` seconds; nulls without rows."""
+    return rows.where(F.col(ts) >= now - span).agg(F.avg(F.col("hit").cast("double")).alias("accuracy"), F.avg("latency").alias("latency"))
+
+
+def snapshot(rows: DataFrame, key: str, order: str, item: str, value: str) -> DataFrame:
+    """Distinct items of the last 100 rows, mean of the last 10 values, and the last value that is not null."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    placed = rows.withColumn("place", F.row_number().over(w)).where("place <= 100")
+    return placed.groupBy(key).agg(F.countDistinct(item).alias("items"), F.avg(F.when(F.col("place") <= 10, F.col(value))).alias("mean_last"), F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("last_value"))
+
+
+def prefixed(rows: DataFrame, key: str, name: str, prefix: str) -> DataFrame:
+    """Rows per key whose name begins with the prefix."""
+    return rows.groupBy(key).agg(F.count_if(F.startswith(F.col(name), F.lit(prefix))).alias("n"))
+
+
+def around(rows: DataFrame, key: str, place: str, current: DataFrame, reach: int = 2) -> DataFrame:
+    """rows within `reach` places of current(key, at)."""
+    return rows.join(current, key).where(F.col(place).between(F.col("at") - reach, F.col("at") + reach)).drop("at")
+
+
+def sample(rows: DataFrame, rate: float, seed: int) -> DataFrame:
+    return rows.where(F.rand(seed) < rate)

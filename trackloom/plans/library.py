@@ -155,3 +155,20 @@ def trimmed_segments(spark, sf):
     trims = v.select(F.col("id").alias("video_id"), F.lit(0).alias("seg_idx"), F.lit(0.0).alias("before"), (F.col("id") % 5).cast("double").alias("after")).where("after > 0")
     saved = v.where("id % 2 = 0").select(F.col("id").alias("video_id"), F.lit(0).alias("seg_idx"))
     return C.apply_trims(segments, trims, saved, F.lit(950.0)).select(F.col("video_id").alias("id"), "start", "end")
+
+
+@query(f"WITH {VIDEOS_SQL} SELECT id, CASE WHEN is_processed THEN 'processed' ELSE 'saved' END || CASE WHEN folder_path = '' THEN '' ELSE '/' || folder_path END AS folder_path FROM videos")
+def split_library(spark, sf):
+    return C.split_library(videos(spark, sf)).select("id", "folder_path")
+
+
+@query(f"WITH {FOLDERS_SQL} SELECT p_type AS parent_path, p_name AS name FROM (SELECT DISTINCT p_type, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_name END AS p_name FROM part) w WHERE NOT EXISTS (SELECT 1 FROM folders f WHERE f.parent_path = w.p_type AND lower(f.name) = lower(w.p_name))")
+def free_folder_names(spark, sf):
+    p = table(spark, sf, "part")
+    wanted = p.select(F.col("p_type").alias("parent_path"), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_name")).alias("name")).distinct()
+    return C.free_names(wanted, folders(spark, sf)).select("parent_path", "name")
+
+
+@query(f"WITH {VIDEOS_SQL} SELECT id FROM videos WHERE folder_path = 'ECONOMY' AND (contains(lower(custom_name), 'red') OR contains(file_name, 'red'))")
+def search_here(spark, sf):
+    return C.search_here(videos(spark, sf), folders(spark, sf), "ECONOMY", "Red")[0].select("id")

@@ -327,3 +327,41 @@ def segment_scores(spark, sf):
     f = frames(spark, sf)
     evidence = f.select("video_id", "t", F.col("is_active").alias("has_ball"), (F.col("value") / 5000).alias("size"), F.when(F.col("event_type") != "error", F.col("value") / 500).alias("sel_x"), F.when(F.col("event_type") != "error", F.col("event_id") % 10 / 10.0).alias("sel_y"), (F.col("value") / 500).alias("track_y"))
     return M.segment_score(evidence, _segments(f), window=24.0).select("video_id", "seg_idx", "skyball", *[F.round(c, 6).alias(c) for c in ("serve", "travel", "continuity", "size_dynamics", "total")])
+
+
+@query(f"WITH {FRAMES_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t DESC) AS k FROM frames), s AS (SELECT video_id, abs(value - lag(value) OVER {_W}) / (t - lag(t) OVER {_W}) AS v FROM l WHERE k <= 3) SELECT video_id, round(coalesce(sum(v), 0) / greatest(count(*) - 1, 1), 6) AS velocity FROM s GROUP BY video_id")
+def recent_velocity(spark, sf):
+    points = frames(spark, sf).select("video_id", "t", F.lit(0.0).alias("x"), F.col("value").alias("y"))
+    return _rounded(M.recent_velocity(points, "video_id"), "velocity")
+
+
+@query(f"WITH {FRAMES_SQL} SELECT event_id, round(avg(value * 0.4973) OVER (PARTITION BY video_id ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 5) AS mean_area FROM frames")
+def recent_area(spark, sf):
+    points = frames(spark, sf).withColumns({"w": F.col("value"), "h": F.lit(0.4973)})
+    return _rounded(M.recent_area(points, "video_id"), "mean_area", digits=5).select("event_id", "mean_area")
+
+
+@query(f"""WITH {FRAMES_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t DESC) AS k FROM frames)
+SELECT video_id, count(DISTINCT event_type) AS items, round(avg(CASE WHEN k <= 10 AND event_type <> 'error' THEN value END), 5) AS mean_last, arg_max(value, t) FILTER (WHERE event_type <> 'error') AS last_value FROM l WHERE k <= 100 GROUP BY video_id""")
+def realtime_snapshot(spark, sf):
+    f = frames(spark, sf).withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))
+    return _rounded(M.snapshot(f, "video_id", "t", "event_type", "value"), "mean_last", digits=5)
+
+
+@query(f"""WITH {FRAMES_SQL}, p AS (SELECT p.event_id AS probe, f.event_id, f.event_type, row_number() OVER (PARTITION BY p.event_id, f.event_type ORDER BY f.t DESC) AS k
+FROM frames f JOIN frames p ON p.video_id = f.video_id AND p.event_type = 'signup' AND f.t >= p.t - 48 AND f.t <= p.t + 0.1) SELECT probe, event_id FROM p WHERE k <= 3""")
+def overlay_trail(spark, sf):
+    f = frames(spark, sf)
+    probes = f.where("event_type = 'signup'").select("video_id", F.col("event_id").alias("probe"), F.col("t").alias("at"))
+    points = f.select("video_id", "event_id", "t", F.col("event_type").alias("track_id"))
+    return intervals.trail(points, probes, "video_id", "probe", history=48.0, n=3).select("probe", "event_id")
+
+
+@query()
+def passive_capture(spark, sf):
+    from ..operators.capture import capture
+
+    f = frames(spark, sf).withColumn("video_id", F.col("video_id").cast("string"))
+    segments = M.segment_metrics(intervals.build(f), _physics(f), _trajectories(f), limits=False)
+    staged = f.where("video_id < '2'").select(F.col("video_id").alias("local_video_id")).distinct().limit(20)
+    return capture(segments, f, staged, "me")[0].select("local_video_id", "seq", "reason")
