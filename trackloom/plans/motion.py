@@ -335,9 +335,9 @@ def recent_velocity(spark, sf):
     return _rounded(M.recent_velocity(points, "video_id"), "velocity")
 
 
-@query(f"WITH {FRAMES_SQL} SELECT event_id, round(avg(value * 0.4973) OVER (PARTITION BY video_id ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 5) AS mean_area FROM frames")
+@query(f"WITH {FRAMES_SQL} SELECT event_id, round(avg(value / 7.0) OVER (PARTITION BY video_id ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 5) AS mean_area FROM frames")
 def recent_area(spark, sf):
-    points = frames(spark, sf).withColumns({"w": F.col("value"), "h": F.lit(0.4973)})
+    points = frames(spark, sf).withColumns({"w": F.col("value"), "h": F.lit(1 / 7)})
     return _rounded(M.recent_area(points, "video_id"), "mean_area", digits=5).select("event_id", "mean_area")
 
 
