@@ -14,18 +14,20 @@ from ..functions.numeric import interval_iou
 from .config import Config
 
 
-def islands(frames: DataFrame, key: str = "video_id", t: str = "t", active: str = "is_active", duration: DataFrame | None = None) -> DataFrame:
+def islands(frames: DataFrame, key: str = "video_id", t: str = "t", active: str = "is_active", duration: DataFrame | float | None = None) -> DataFrame:
     """(key, start, end) of runs of active rows; a run ends at the first inactive row after it.
 
-    duration(key, duration) closes a run that is open at the end, else its last
-    active row does.  Ties in time are in no order, so times should be distinct.
+    duration, one for all or a table (key, duration), closes a run that is open at
+    the end, else its last active row does.  Ties in time are in no order, so times should be distinct.
     """
     w = Window.partitionBy(key).orderBy(t)
     before = F.coalesce(F.lag(active).over(w), F.lit(False))
     marked = frames.withColumn("run", F.sum((F.col(active) & ~before).cast("int")).over(w)).withColumn("after", F.lead(t).over(w))
     runs = marked.where(F.col(active)).groupBy(key, "run").agg(F.min(t).alias("start"), F.max_by("after", t).alias("closed"), F.max(t).alias("last"))
-    if duration is not None:
+    if isinstance(duration, DataFrame):
         runs = runs.join(duration, key, "left").withColumn("last", F.coalesce("duration", "last"))
+    elif duration is not None:
+        runs = runs.withColumn("last", F.lit(float(duration)))
     return runs.select(key, "start", F.coalesce("closed", "last").alias("end"))
 
 
@@ -49,11 +51,13 @@ def merge(segments: DataFrame, key: str = "video_id", gap: float = 0.0) -> DataF
     return segments.withColumn("island", F.sum(fresh.cast("int")).over(w)).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def build(frames: DataFrame, key: str = "video_id", duration: DataFrame | None = None, config: Config = Config()) -> DataFrame:
+def build(frames: DataFrame, key: str = "video_id", duration: DataFrame | float | None = None, config: Config = Config()) -> DataFrame:
     """(key, seg_idx, start, end): runs, padded, clipped, merged, without the short ones."""
     found = pad(islands(frames, key, duration=duration), config)
-    if duration is not None:
+    if isinstance(duration, DataFrame):
         found = clip(found.join(duration, key), F.col("duration")).drop("duration")
+    elif duration is not None:
+        found = clip(found, F.lit(float(duration)))
     long = merge(found, key, config.merge_gap).where(F.col("end") - F.col("start") >= config.min_length)
     return long.withColumn("seg_idx", F.row_number().over(Window.partitionBy(key).orderBy("start")) - 1).select(key, "seg_idx", "start", "end")
 

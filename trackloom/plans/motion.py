@@ -27,12 +27,12 @@ merged AS (SELECT video_id, min(st) AS st, max(en) AS en FROM grouped GROUP BY v
 segments AS (SELECT video_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY st) - 1 AS INTEGER) AS seg_idx, st, en FROM merged WHERE en - st >= {C.min_length})"""
 
 
-def _duration(f):
-    return f.select("video_id").distinct().withColumn("duration", F.lit(720.0))
+#: Hours that the events span.
+DURATION = 720.0
 
 
 def _segments(f):
-    return intervals.build(f, duration=_duration(f))
+    return intervals.build(f, duration=DURATION)
 
 
 def _physics(f):
@@ -73,7 +73,7 @@ def range_join_metrics(spark, sf):
 @query(f"WITH {FRAMES_SQL}, {ISLANDS_SQL} SELECT video_id, round(st, 6) AS start, round(en, 6) AS \"end\" FROM islands")
 def activity_islands(spark, sf):
     f = frames(spark, sf)
-    return _rounded(intervals.islands(f, duration=_duration(f)), "start", "end")
+    return _rounded(intervals.islands(f, duration=DURATION), "start", "end")
 
 
 @query("SELECT user_id AS video_id, CAST(count_if(value / 490.02 >= 0.8) AS BIGINT) AS high, CAST(count_if(value / 490.02 >= 0.5 AND value / 490.02 < 0.8) AS BIGINT) AS medium, CAST(count_if(value / 490.02 < 0.5) AS BIGINT) AS low FROM events GROUP BY user_id")
