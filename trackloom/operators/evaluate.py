@@ -46,14 +46,11 @@ def score(predicted: DataFrame, truth: DataFrame, matches: DataFrame, keys: tupl
     denominators give 0.
     """
     start, end = F.abs(F.col("start") - F.col("r_start")), F.abs(F.col("end") - F.col("r_end"))
-    hits = matches.groupBy(*keys).agg(F.count("*").alias("tp"), F.sum(start).alias("start_err"), F.sum(end).alias("end_err"), F.count_if(start <= tolerance).alias("start_in"), F.count_if(end <= tolerance).alias("end_in"))
-    p, t = predicted.groupBy(*keys).agg(F.count("*").alias("n_pred")), truth.groupBy(*keys).agg(F.count("*").alias("n_true"))
-    if keys:
-        joined = p.join(t, list(keys), "full").join(hits, list(keys), "left")
-    else:
-        joined = p.crossJoin(t).crossJoin(hits)  # three tables of one row
-    n = {c: F.coalesce(c, F.lit(0)) for c in ("n_pred", "n_true", "tp", "start_in", "end_in", "start_err", "end_err")}
-    whole = joined.select(*keys, *[v.alias(c) for c, v in n.items()])
+    one = lambda name: F.lit(1).cast("long").alias(name)
+    hits = matches.select(*keys, one("tp"), start.alias("start_err"), end.alias("end_err"), (start <= tolerance).cast("long").alias("start_in"), (end <= tolerance).cast("long").alias("end_in"))
+    rows = predicted.select(*keys, one("n_pred")).unionByName(truth.select(*keys, one("n_true")), allowMissingColumns=True).unionByName(hits, allowMissingColumns=True)
+    names = ("n_pred", "n_true", "tp", "start_in", "end_in", "start_err", "end_err")
+    whole = rows.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
     tp = F.col("tp").cast("double")
     out = whole.select(
         *keys,

@@ -137,7 +137,8 @@ def cascade_delete(spark, sf):
 def insert_unique(spark, sf):
     known = profiles(spark, sf).where("id % 2 = 0").select("id")
     table_, refused = S.insert_new(known, highlights(spark, sf).select(F.col("author_id").alias("id")), "id")
-    return table_.agg(F.count("*").alias("n_rows")).join(refused.agg(F.count("*").alias("n_refused")), F.lit(True))
+    both = table_.select(F.lit(1).alias("n_rows"), F.lit(0).alias("n_refused")).union(refused.select(F.lit(0), F.lit(1)))
+    return both.agg(F.sum("n_rows").alias("n_rows"), F.sum("n_refused").alias("n_refused"))
 
 
 @query("SELECT coalesce(s_suppkey, c_custkey) AS id, coalesce(s_name, c_name) AS username FROM customer FULL JOIN (SELECT s_suppkey + 3 AS s_suppkey, s_name FROM supplier) ON s_suppkey = c_custkey")
