@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from cases import docs, hard_rows, words
 from pyspark.sql import functions as F
@@ -217,3 +218,18 @@ def test_recall_of_the_forest_at_the_threshold(spark):
     total = sum(map(len, links.values()))
     found = jaccard_join.join(docs(spark, rows)).agg(F.sum("n_links")).first()[0]
     assert total == 300 and found >= 0.97 * total
+
+
+@pytest.mark.parametrize("part", [2048, 16])
+def test_all_rows_of_a_node_meet(spark, part, monkeypatch):
+    """The rows share a passage, and so a whole path in one tree; the first and the last are alike and meet there only."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    width = jaccard_join.TREES * jaccard_join.DEPTH
+    signatures = np.random.RandomState(5).randint(0, 1 << 16, (300, width)).astype(np.uint16)
+    signatures[:, : jaccard_join.DEPTH] = signatures[0, : jaccard_join.DEPTH]
+    alike = signatures[0].copy()
+    alike[jaccard_join.DEPTH :: jaccard_join.DEPTH] ^= 1
+    signatures[299] = alike
+    texts = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(signatures)], "text_id long, signature binary")
+    ties = jaccard_join._ties(texts, jaccard_join.shortest_prefix(), jaccard_join.KEEP).collect()
+    assert {x for r in ties for x in r} == {0, 299}

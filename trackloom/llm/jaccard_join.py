@@ -2,12 +2,10 @@
 
 1. Every text gets a digest and a MinHash signature of its shingles of five words.
    Equal texts form one class at once; only its first document goes on.
-2. Signatures are cut into trees.  A tree is a sorted array of paths, which holds
-   the same rows as a prefix trie: rows that share a longer prefix lie closer
-   together.  Rows are sorted over the cluster by (tree, path, id), so that a node
-   with very many rows is spread over tasks.  Each row meets its nearest rows, longest
-   common prefix first, down to the prefix length at which a pair at the threshold
-   meets in some tree with the target probability.  Pairs whose sketches are far below
+2. Signatures are cut into trees.  A node holds the rows that share a tree and a
+   prefix, as long as lets a pair at the threshold meet in some tree with the target
+   probability.  All rows of a node meet: nodes beyond `PART` rows are cut into parts,
+   and pairs of parts meet in places of their own.  Pairs whose sketches are far below
    the threshold are left out; the others tie rows into candidate groups.
 3. Each candidate group is verified exactly: all pairs of its shingle sets are
    compared, by matrix products over shared shingles.  Groups beyond `PART` texts are
@@ -27,21 +25,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SOLID, Words, checkpoint, text_slices
+from .common import SOLID, Words, checkpoint, mix, text_slices
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.995
-#: Rows in sorted order that each row meets, and the sketch similarity that keeps a pair.
-NEIGHBOURS, KEEP = 6, 0.6
+#: The sketch similarity that keeps a pair.
+KEEP = 0.6
 PART = 2048
 _SLAB = 4096
+#: Rows of a node up to which pairs are taken by their distance in the batch, not as a matrix.
+_FEW = 32
 
 _RANDOM = np.random.RandomState(77)
 _A = _RANDOM.randint(0, 1 << 32, TREES * DEPTH).astype(np.uint64) << np.uint64(32) | _RANDOM.randint(0, 1 << 32, TREES * DEPTH).astype(np.uint64) | np.uint64(1)
 _B = _RANDOM.randint(0, 1 << 32, TREES * DEPTH).astype(np.uint64) << np.uint64(16)
-#: Equal 2-bit fields of a byte, by the exclusive or of two bytes.
-_EQUAL = np.array([sum((x >> s) & 3 == 0 for s in (0, 2, 4, 6)) for x in range(256)], np.uint8)
 
 
 def shortest_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -91,16 +89,23 @@ def _sketches(signatures: np.ndarray) -> np.ndarray:
     return low[:, :, 0] | low[:, :, 1] << 2 | low[:, :, 2] << 4 | low[:, :, 3] << 6
 
 
-def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text and tree: tree, path, text, sketch."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
+def _nodes(signatures: np.ndarray, tree: int, shortest: int) -> np.ndarray:
+    """Hashes of tree and prefix; nodes that share one by chance only meet in vain."""
+    node = np.full(len(signatures), tree, np.uint64)
+    for value in signatures[:, tree * DEPTH : tree * DEPTH + shortest].T:
+        node = mix(node * _A[0] + value)
+    return node.view(np.int64)
+
+
+def _plant(batches: Iterator[pa.RecordBatch], shortest: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """A row per text and tree: node and, if whole, text and sketch."""
+    for every in batches:
+        for at in range(0, every.num_rows, 2000):
+            batch = every.slice(at, 2000)
             signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
-            sketches = pa.array([x.tobytes() for x in _sketches(signatures)], pa.binary())
+            rest = {"text_id": batch.column("text_id"), "sketch": pa.array([x.tobytes() for x in _sketches(signatures)], pa.binary())} if whole else {}
             for tree in range(TREES):
-                path = np.ascontiguousarray(signatures[:, tree * DEPTH : (tree + 1) * DEPTH])
-                yield pa.RecordBatch.from_pydict({"tree": pa.array(np.full(len(path), tree, np.int32)), "path": pa.array([x.tobytes() for x in path], pa.binary()), "text_id": batch.column("text_id"), "sketch": sketches})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(_nodes(signatures, tree, shortest)), **rest})
 
 
 class _Sets:
@@ -122,32 +127,77 @@ class _Sets:
         self.up[max(a, b)] = self.up[min(a, b)] = min(a, b)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], shortest: int, keep: float) -> Iterator[pa.RecordBatch]:
-    """Rows in sorted order: an edge from each row to the least id it is tied to in this task."""
+def _alike(a: np.ndarray, b: np.ndarray, keep: float) -> np.ndarray:
+    """Whether sketches, as four numbers along the last axis, have at least that similarity."""
+    equal = 0
+    for k in range(a.shape[-1]):
+        x = a[..., k] ^ b[..., k]
+        equal = equal + np.bitwise_count(~(x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).astype(np.int16)
+    return equal >= np.ceil((keep * 0.75 + 0.25) * TREES * DEPTH - 1e-9)  # two bits agree by chance in a quarter of the cases
+
+
+def _meet(batches: Iterator[pa.RecordBatch], keep: float) -> Iterator[pa.RecordBatch]:
+    """Rows by (node, i, j): an edge from each row to the least id it is tied to in this task."""
     sets, last = _Sets(), None
     for batch in batches:
         rows = (
-            batch.column("tree").to_numpy(),
-            np.frombuffer(b"".join(batch.column("path").to_pylist()), np.uint16).reshape(-1, DEPTH),
+            np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("node", "i", "j")], axis=1),
+            batch.column("part").to_numpy(),
             batch.column("text_id").to_numpy(),
-            np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1),
+            np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1),
         )
         if last is not None:
             rows = tuple(np.concatenate(x) for x in zip(last, rows, strict=True))
-        tree, path, ids, sketch = rows
-        for gap in range(1, NEIGHBOURS + 1):
-            near = np.flatnonzero((tree[gap:] == tree[:-gap]) & (path[gap:, :shortest] == path[:-gap, :shortest]).all(axis=1))
-            share = _EQUAL[sketch[near] ^ sketch[near + gap]].sum(axis=1) / (TREES * DEPTH)
-            near = near[(share - 0.25) / 0.75 >= keep]  # two bits agree by chance in a quarter of the cases
-            for a, b in zip(ids[near].tolist(), ids[near + gap].tolist(), strict=True):
-                sets.join(a, b)
-        last = tuple(x[-NEIGHBOURS:] for x in rows)
+        edges = np.flatnonzero((rows[0][1:] != rows[0][:-1]).any(axis=1)) + 1
+        end = edges[-1] if len(edges) else 0  # the last node may go on in the next batch
+        _meet_in_nodes(sets, keep, *(x[:end] for x in rows))
+        last = tuple(x[end:] for x in rows)
+    if last is not None:
+        _meet_in_nodes(sets, keep, *last)
     nodes = list(sets.up)
     roots = [sets.find(x) for x in nodes]
     for at in range(0, len(nodes), 10_000):
         yield pa.RecordBatch.from_pydict({"src": pa.array(nodes[at : at + 10_000], pa.int64()), "dst": pa.array(roots[at : at + 10_000], pa.int64())})
 
 
+def _meet_in_nodes(sets: _Sets, keep: float, key: np.ndarray, part: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> None:
+    """All pairs of whole nodes, or of pairs of their parts."""
+    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(key)) if len(key) else starts
+    few = ends - starts <= _FEW
+    left = np.repeat(np.where(few, ends, 0), ends - starts) - np.arange(len(key))  # rows of the node from each one on
+    for gap in range(1, _FEW):
+        near = np.flatnonzero(left > gap)
+        if not len(near):
+            break
+        near = near[_alike(sketch[near], sketch[near + gap], keep)]
+        for a, b in zip(ids[near].tolist(), ids[near + gap].tolist(), strict=True):
+            sets.join(a, b)
+    for start, end in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
+        i, j = key[start, 1:]
+        own = start + np.flatnonzero(part[start:end] == i)
+        other = own if i == j else start + np.flatnonzero(part[start:end] == j)
+        if len(own) and len(other):
+            alike = np.concatenate([_alike(sketch[own[k : k + 256], None], sketch[None, other], keep) for k in range(0, len(own), 256)])
+            if i == j:
+                np.fill_diagonal(alike, False)
+            _tie(sets, alike, ids[own].tolist(), ids[other].tolist())
+
+
+def _ties(texts: DataFrame, shortest: int, keep: float) -> DataFrame:
+    """Edges (src, dst) that tie texts(text_id, signature) into candidate groups."""
+    signatures = texts.select("text_id", "signature")
+    sizes = signatures.mapInArrow(lambda batches: _plant(batches, shortest, False), "node long").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    sizes = sizes.select(F.col("node").alias("large"), F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts"))
+    forest = signatures.mapInArrow(lambda batches: _plant(batches, shortest, True), "node long, text_id long, sketch binary")
+    forest = forest.join(sizes, F.col("node") == F.col("large"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    forest = forest.withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int"))
+    forest = forest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    forest = forest.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "text_id", "sketch")
+    forest = forest.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+    return forest.mapInArrow(lambda batches: _meet(batches, keep), "src long, dst long")
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted distinct shingle hashes of each text, beside its other columns."""
     for batch in batches:
@@ -211,12 +261,12 @@ def _verify(group: pa.Table, threshold: float) -> pa.Table:
             if side == 0 or right is not left:
                 for k in np.flatnonzero(own_linked.any(axis=1)):
                     links[own[k]["text_id"]] = [int(own_linked[k].sum()), int(copies[1 - side][own_linked[k]].sum())]
-        _tie(found, linked, left, right)
+        _tie(found, linked, [r["text_id"] for r in left], [r["text_id"] for r in right])
     ids = list(links)
     return pa.table({"src": pa.array(ids, pa.int64()), "dst": pa.array([found.find(x) for x in ids], pa.int64()), "texts": pa.array([links[x][0] for x in ids], pa.int64()), "documents": pa.array([links[x][1] for x in ids], pa.int64())})
 
 
-def _tie(found: _Sets, linked: np.ndarray, left: list[dict], right: list[dict]) -> None:
+def _tie(found: _Sets, linked: np.ndarray, left: list[int], right: list[int]) -> None:
     """Join what is linked, one search over the matrix for each component."""
     waiting = np.flatnonzero(linked.any(axis=1)).tolist()
     seen_left, seen_right = np.zeros(len(left), bool), np.zeros(len(right), bool)
@@ -228,11 +278,11 @@ def _tie(found: _Sets, linked: np.ndarray, left: list[dict], right: list[dict])
             fresh = np.flatnonzero(linked[k] & ~seen_right)
             seen_right[fresh] = True
             for m in fresh:
-                found.join(left[k]["text_id"], right[m]["text_id"])
+                found.join(left[k], right[m])
                 more = np.flatnonzero(linked[:, m] & ~seen_left)
                 seen_left[more] = True
                 for x in more:
-                    found.join(left[x]["text_id"], right[m]["text_id"])
+                    found.join(left[x], right[m])
                 edge += more.tolist()
 
 
@@ -255,9 +305,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
     shortest = shortest_prefix(threshold, recall)
     keep = KEEP - (THRESHOLD - threshold)
-    forest = texts.select("text_id", "signature").mapInArrow(_plant, "tree int, path binary, text_id long, sketch binary")
-    forest = forest.repartitionByRange("tree", "path", "text_id").sortWithinPartitions("tree", "path", "text_id")
-    groups = components(forest.mapInArrow(lambda batches: _meet(batches, shortest, keep), "src long, dst long"))
+    groups = components(_ties(texts, shortest, keep))
 
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
     members = groups.join(sizes, "root").join(texts.select(F.col("text_id").alias("node"), "copies"), "node")
