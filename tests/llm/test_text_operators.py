@@ -91,6 +91,23 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs(spark, [])).collect() == []
 
 
+def test_every_candidate_is_measured(spark):
+    """Letters or digits alone, before and after the word, and beside a base span."""
+    long = "Zq8vKp2LmX4tRw9YbN7sG" + "e91b07d3c85fa264" + "QWErtyZXCvbnMLKJhgfdsaPo"
+    around = "the settings of this service were written down by the team in the last week of the year and "
+    cases = [
+        ("pwd ", "QWErtyZXCvbnMLKJhgfdsaPo", ""),
+        ("bearer ", "83920174-65920183-7465", ""),
+        ("", "Zq8vKp2LmX4tRw9YbN7s", " is the pwd"),
+        ("pwd ", long, ""),
+        ("pwd ", "internationalization", " of the service"),
+        ("pwd ", "a" * 40, ""),
+    ]
+    rows = [(k, around + before + own + after) for k, (before, own, after) in enumerate(cases)]
+    got = {r.doc_id: [rows[r.doc_id][1][s.start : s.end] for s in r.spans if s.kind == "novel"] for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert got == {k: [own] if k < 4 else [] for k, (_, own, _) in enumerate(cases)}
+
+
 def brute_repeats(rows, width=13):
     order = lambda d: (d is None, d or 0)
     first, out = {}, []

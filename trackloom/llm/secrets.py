@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and strings that zstandard finds new in a sensitive context.
 
-The patterns give the base spans.  Beyond them, a string near a sensitive word is
+The patterns give the base spans.  Beyond them, a string on either side of a sensitive word is
 a candidate; zstandard is primed with a dictionary of common identifiers and the
 text around the string, and the bytes that the string adds to the compressed
 context are measured.  A string that hardly compresses is reported as `novel`.
@@ -10,6 +10,7 @@ Each document is judged by itself in one pass, without a shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 _SENSITIVE = re.compile(r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|authorization|bearer|signature", re.IGNORECASE | re.ASCII)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Characters from a sensitive word to a candidate, and of text around it that primes the compressor.
+#: Characters between a sensitive word and a candidate on either side of it, and of text around it that primes the compressor.
 REACH, CONTEXT = 64, 400
 #: Bytes that a reported string adds at least, as a share of its own length.
 NOVELTY = 0.8
@@ -66,19 +67,42 @@ class Novelty:
         return added / len(own)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Strings of letters and digits after a sensitive word that add most of their bytes; none that a base span holds."""
-    found, done = [], 0
-    for near in _SENSITIVE.finditer(text):
-        # a candidate may go on beyond the reach, but starts within it
-        for m in _CANDIDATE.finditer(text, max(near.end(), done)):
-            if m.start() > near.end() + REACH:
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Strings in reach of a sensitive word: whole ones, and what such words leave of those that they are in."""
+    near = [m.span() for m in _SENSITIVE.finditer(text)]
+    if not near:
+        return []
+    found, done, ends = set(), 0, [end for _, end in near]
+    for m in _CANDIDATE.finditer(text):
+        word = bisect_left(ends, m.start() - REACH)
+        if word < len(near) and near[word][0] <= m.end() + REACH:
+            found.add(m.span())
+    for k, (start, end) in enumerate(near):
+        for m in _CANDIDATE.finditer(text, ends[k - 1] if k else 0, start):
+            if m.end() >= start - REACH:
+                found.add(m.span())
+        # a candidate may go on beyond the reach, and over other sensitive words, but starts within it
+        for m in _CANDIDATE.finditer(text, max(end, done)):
+            if m.start() > end + REACH:
                 break
             done = m.end()
-            if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])) or any(s < m.end() and m.start() < e for s, _, e in base):
-                continue
-            if novelty.share(text, m.start(), m.end()) >= NOVELTY:
-                found.append((m.start(), 3, m.end()))
+            found.add(m.span())
+        for m in _CANDIDATE.finditer(text, end, near[k + 1][0] if k + 1 < len(near) else len(text)):
+            if m.start() > end + REACH:
+                break
+            found.add(m.span())
+    return sorted(found, key=lambda x: (x[0], -x[1]))
+
+
+def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
+    """Candidates that add most of their bytes; none that a base span or a longer candidate reports whole."""
+    found: list[tuple[int, int, int]] = []
+    for start, end in candidates(text):
+        # those found start no later, and each ends beyond the one before it
+        if found and end <= found[-1][2] or any(s <= start and end <= e for s, _, e in base):
+            continue
+        if novelty.share(text, start, end) >= NOVELTY:
+            found.append((start, 3, end))
     return found
 
 
