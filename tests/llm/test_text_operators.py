@@ -131,6 +131,13 @@ def test_substring_dedup_equals_brute_force(spark, text_bytes):
     assert substring_dedup.remove_repeats(docs(spark, [])).collect() == []
 
 
+def test_substring_dedup_compares_words(spark):
+    """With hashes of 4 bits nearly all windows share one, within a block and between blocks."""
+    rows = hard_rows()[:6] + hard_rows()[7:] + [(20 + k, words(1, 60)[k * 7 :] + " " + words(50 + k, 25)) for k in range(6)]
+    got = substring_dedup.remove_repeats(docs(spark, rows).repartition(3), text_bytes=300, index_bytes=500, hash_bits=4)
+    assert sorted(repr((r.doc_id, r.n_words, r.n_removed, r.kept)) for r in got.collect()) == brute_repeats(rows)
+
+
 def brute_chunks(rows):
     def chunks(text):
         lines = (text or "").split("\n") if text else []

@@ -1,24 +1,22 @@
-"""Substring dedup: every document is parsed into factors of the documents before it.
+"""Substring dedup: windows of words that a document before has too are removed.
 
-In the manner of relative Lempel-Ziv parsing, the reference is the corpus itself,
-indexed by all windows of `WIDTH` words and cut into blocks by the windows' hashes.
-A document is looked up in every block; greedily joined runs of windows that start
-in a document with a smaller id are its factors, and since every window is looked
-up by itself, those over the boundary of two factors are checked too.  Words under
-a factor of `WIDTH` words or more are duplicate spans.
+This takes the place of relative Lempel-Ziv parsing: instead of factors that are
+extended in each reference block, every window of `WIDTH` words is looked up by
+itself.  Overlapping windows cover what a factor of `WIDTH` words or more covers,
+also over the boundary of two factors, and no block of text has to meet all others.
 
 What moves:
 
 * Documents are packed into text blocks of about `TEXT_BYTES`, compressed, and
   written once (a checkpoint).
 * Each text block sends each index block its distinct window hashes in order, as
-  compressed differences, with the smallest document id of each: about seven bytes a
-  window.  A window that comes in a third of all documents is one entry per block.
-* An index block answers each text block with one bit an entry: whether a smaller
-  document has it.  Text blocks take the bits in the order of their own hashes.
-
-Hashes have 64 bits; two different windows among n share one with probability of
-about n * n / 2**65.
+  compressed differences.  A window that comes in a third of all documents is one
+  entry per block.
+* An index block answers each text block with one bit an entry: whether another
+  block has the hash.  Hashes only choose which windows go on.
+* Text blocks send the words of those windows, once for each block, with the least
+  document id; they are compared word by word, and one bit each comes back: whether
+  a smaller document has them.
 """
 
 from __future__ import annotations
@@ -77,7 +75,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], text_bytes: int) -> Iterator[p
 class _Block:
     """A text block's words and its distinct windows, in the order of their hashes."""
 
-    def __init__(self, ids: bytes, blob: bytes, width: int):
+    def __init__(self, ids: bytes, blob: bytes, width: int, bits: int = 64):
         text, sizes = _unframed(blob, 2)
         self.ids = np.frombuffer(ids, np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text), np.uint8)
@@ -91,7 +89,7 @@ class _Block:
             starts.append(w.starts + self.offsets[row])
             ends.append(w.ends + self.offsets[row])
             at.append(k + words)
-            found.append(h)
+            found.append(h >> np.uint64(64 - bits) << np.uint64(64 - bits))
             docs.append(rank[row + np.repeat(np.arange(end - row), w.counts())[k]])
             counts.append(w.counts())
             words += len(w.starts)
@@ -113,54 +111,101 @@ class _Block:
         return np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
 
 
-def _entries(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[pa.RecordBatch]:
+def _entries(batches: Iterator[pa.RecordBatch], n: int, width: int, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            block = _Block(row["ids"], row["data"], width)
+            block = _Block(row["ids"], row["data"], width, bits)
             cut = block.parts(n)
             out: dict[str, list] = {"block": [], "part": [], "data": []}
             for k in np.flatnonzero(np.diff(cut)):
-                hashes, least = block.hashes[cut[k] : cut[k + 1]], block.least[cut[k] : cut[k + 1]]
-                used, place = np.unique(least, return_inverse=True)
                 out["block"].append(row["block"])
                 out["part"].append(int(k))
-                out["data"].append(_framed(_packed(np.diff(hashes, prepend=np.uint64(0))), _packed(place.astype(np.uint32)), _packed(np.diff(block.known[used], prepend=0))))
+                out["data"].append(_packed(np.diff(block.hashes[cut[k] : cut[k + 1]], prepend=np.uint64(0))))
             yield pa.RecordBatch.from_pydict(out | {"part": pa.array(out["part"], pa.int32())}, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("data", pa.binary())]))
 
 
 def _look_up(group: pa.Table) -> pa.Table:
-    """One index block: for each entry of each text block, whether a smaller document has it."""
-    hashes, ids, sizes = [], [], []
-    for data in group.column("data"):
-        differences, place, used = _unframed(data.as_py(), 3)
-        hashes.append(np.cumsum(_unpacked(differences, np.uint64), dtype=np.uint64))
-        ids.append(np.cumsum(_unpacked(used, np.int64))[_unpacked(place, np.uint32)])
-        sizes.append(len(hashes[-1]))
-    every, own = np.concatenate(hashes), np.concatenate(ids)
-    del hashes, ids
+    """One index block: for each entry of each text block, whether another block has its hash."""
+    hashes = [np.cumsum(_unpacked(data.as_py(), np.uint64), dtype=np.uint64) for data in group.column("data")]
+    sizes = [len(x) for x in hashes]
+    every = np.concatenate(hashes)
+    del hashes
     order = np.argsort(every)
-    edge = np.ones(len(order), bool)
-    edge[1:] = every[order[1:]] != every[order[:-1]]
-    least = np.minimum.reduceat(own[order], np.flatnonzero(edge))
-    before = np.empty(len(order), bool)
-    before[order] = least[np.cumsum(edge) - 1] < own[order]
-    ends = np.cumsum(sizes)
-    bits = [np.packbits(before[e - s : e]).tobytes() for s, e in zip(sizes, ends, strict=True)]
+    same = every[order[1:]] == every[order[:-1]]
+    shared = np.empty(len(order), bool)
+    shared[order] = np.append(same, False) | np.append(False, same)
+    return _answers(group, shared, sizes)
+
+
+def _answers(group: pa.Table, found: np.ndarray, sizes: list[int]) -> pa.Table:
+    bits = [np.packbits(found[e - s : e]).tobytes() for s, e in zip(sizes, np.cumsum(sizes), strict=True)]
     return pa.table({"block": group.column("block"), "part": group.column("part"), "data": pa.array(bits, pa.binary())})
 
 
-def _cut(group: pa.Table, n: int, width: int) -> pa.Table:
+class _Shared:
+    """A text block's windows whose hash comes in other documents too, and their distinct words in the order of hashes."""
+
+    def __init__(self, rows: list[dict], n: int, width: int, bits: int):
+        own = next(r for r in rows if r["part"] == -1)
+        self.block = block = _Block(own["ids"], own["data"], width, bits)
+        cut = block.parts(n)
+        shared = np.zeros(len(block.hashes), bool)
+        shared[block.entry[block.docs > block.least[block.entry]]] = True
+        for r in rows:
+            if r["part"] >= 0 and not r["exact"]:
+                a, b = cut[r["part"]], cut[r["part"] + 1]
+                shared[a:b] |= np.unpackbits(np.frombuffer(r["data"], np.uint8), count=b - a).astype(bool)
+        at = np.flatnonzero(shared[block.entry])
+        self.at = at[np.argsort(block.entry[at], kind="stable")]
+        data, first = block.data.tobytes(), block.at[self.at]
+        places: dict[bytes, int] = {}
+        spans = zip(block.starts[first].tolist(), block.ends[first + width - 1].tolist(), strict=True)
+        self.key = np.array([places.setdefault(b" ".join(data[s:e].split()), len(places)) for s, e in spans], np.int64)
+        self.keys = list(places)
+        self.least = np.full(len(places), _NO_ID)
+        np.minimum.at(self.least, self.key, block.docs[self.at])
+        entry = np.empty(len(places), np.int64)
+        entry[self.key] = block.entry[self.at]
+        self.cut = np.searchsorted(entry, cut)
+
+
+def _words_of(group: pa.Table, n: int, width: int, bits: int) -> pa.Table:
+    """One text block: the words of its shared windows for each index block."""
+    rows = group.to_pylist()
+    own = _Shared(rows, n, width, bits)
+    parts = np.flatnonzero(np.diff(own.cut))
+    data = []
+    for k in parts:
+        a, b = own.cut[k], own.cut[k + 1]
+        data.append(_framed(zstandard.ZstdCompressor(level=3).compress(b"\n".join(own.keys[a:b])), _packed(own.block.known[own.least[a:b]])))
+    return pa.table({"block": pa.array([rows[0]["block"]] * len(parts), pa.int64()), "part": pa.array(parts, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def _compare(group: pa.Table) -> pa.Table:
+    """One index block: for the words from each text block, whether a smaller document has them."""
+    keys, ids, least = [], [], {}
+    for data in group.column("data"):
+        words, own = _unframed(data.as_py(), 2)
+        keys.append(zstandard.ZstdDecompressor().decompress(words).split(b"\n"))
+        ids.append(_unpacked(own, np.int64).tolist())
+        for key, k in zip(keys[-1], ids[-1], strict=True):
+            if least.setdefault(key, k) > k:
+                least[key] = k
+    before = np.array([least[key] < k for x, y in zip(keys, ids, strict=True) for key, k in zip(x, y, strict=True)], bool)
+    return _answers(group, before, [len(x) for x in keys])
+
+
+def _cut(group: pa.Table, n: int, width: int, bits: int) -> pa.Table:
     """One text block with the bits of all index blocks: what each document loses and keeps."""
     rows = group.to_pylist()
-    own = next(r for r in rows if r["part"] == -1)
-    block = _Block(own["ids"], own["data"], width)
-    cut = block.parts(n)
-    before = np.zeros(len(block.hashes), bool)
+    own = _Shared(rows, n, width, bits)
+    block = own.block
+    before = np.zeros(len(own.keys), bool)
     for r in rows:
-        if r["part"] >= 0:
-            a, b = cut[r["part"]], cut[r["part"] + 1]
+        if r["part"] >= 0 and r["exact"]:
+            a, b = own.cut[r["part"]], own.cut[r["part"] + 1]
             before[a:b] = np.unpackbits(np.frombuffer(r["data"], np.uint8), count=b - a)
-    gone = before[block.entry] | (block.docs > block.least[block.entry])
+    gone = own.at[before[own.key] | (block.docs[own.at] > own.least[own.key])]
     change = np.zeros(len(block.starts) + 1, np.int32)
     np.add.at(change, block.at[gone], 1)
     np.add.at(change, block.at[gone] + width, -1)
@@ -197,7 +242,7 @@ def _cut(group: pa.Table, n: int, width: int) -> pa.Table:
     )
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, text_bytes: int = TEXT_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, text_bytes: int = TEXT_BYTES, index_bytes: int = INDEX_BYTES, hash_bits: int = 64) -> DataFrame:
     """One row per document row: doc_id, n_words, n_removed, spans (removed words), kept (the rest, joined by a space).
 
     A word goes if a window of `width` words over it also starts in a document
@@ -209,7 +254,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text_bytes: int = TEXT_B
     blocks = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda batches: _to_blocks(batches, text_bytes), _BLOCKS))
     total = blocks.agg(F.sum("bytes")).first()[0] or 0
     n = max(-(-total // index_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    entries = blocks.mapInArrow(lambda batches: _entries(batches, n, width), "block long, part int, data binary")
-    bits = entries.groupBy("part").applyInArrow(_look_up, "block long, part int, data binary")
-    every = bits.withColumn("ids", F.lit(None).cast("binary")).unionByName(blocks.select("block", "part", "data", "ids"))
-    return every.groupBy("block").applyInArrow(lambda group: _cut(group, n, width), RESULT)
+    answer = "block long, part int, data binary"
+    entries = blocks.mapInArrow(lambda batches: _entries(batches, n, width, hash_bits), answer)
+    shared = checkpoint(entries.groupBy("part").applyInArrow(_look_up, answer)).select("block", "part", "data", F.lit(None).cast("binary").alias("ids"), F.lit(False).alias("exact"))
+    every = shared.unionByName(blocks.select("block", "part", "data", "ids", F.lit(False).alias("exact")))
+    words = every.groupBy("block").applyInArrow(lambda group: _words_of(group, n, width, hash_bits), answer)
+    same = words.groupBy("part").applyInArrow(_compare, answer).select("block", "part", "data", F.lit(None).cast("binary").alias("ids"), F.lit(True).alias("exact"))
+    return every.unionByName(same).groupBy("block").applyInArrow(lambda group: _cut(group, n, width, hash_bits), RESULT)
