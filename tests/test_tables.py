@@ -225,6 +225,14 @@ def test_passive_capture(spark):
     assert sorted((r.video_id, r.t) for r in kept.collect()) == [(v, t) for v in ("a", "b") for t in (24.25, 33.0)]
 
 
+def test_staged_videos_are_the_first_by_id(spark):
+    from trackloom.plans import motion
+
+    ids = [f"{k}" for k in range(100, 300)]
+    f = spark.createDataFrame([(x,) for x in reversed(ids)], "video_id string").repartition(7)
+    assert [r.local_video_id for r in motion._staged(f).collect()] == ids[:20]
+
+
 def test_path_conversions(spark):
     row = spark.range(1).select(*[C.relative_path(F.lit(p), "lib") for p in ("lib", "lib/a/b", "library/a")], C.full_path(F.lit(""), "lib"), C.full_path(F.lit("a"), "lib")).first()
     assert tuple(row) == ("", "a/b", None, "lib", "lib/a")

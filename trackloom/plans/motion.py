@@ -357,11 +357,15 @@ def overlay_trail(spark, sf):
     return intervals.trail(points, probes, "video_id", "probe", history=48.0, n=3).select("probe", "event_id")
 
 
+def _staged(f):
+    """The first 20 videos by id, as text, before '2'."""
+    return f.where("video_id < '2'").select(F.col("video_id").alias("local_video_id")).distinct().orderBy("local_video_id").limit(20)
+
+
 @query()
 def passive_capture(spark, sf):
     from ..operators.capture import capture
 
     f = frames(spark, sf).withColumn("video_id", F.col("video_id").cast("string"))
     segments = M.segment_metrics(intervals.build(f), _physics(f), _trajectories(f), limits=False)
-    staged = f.where("video_id < '2'").select(F.col("video_id").alias("local_video_id")).distinct().limit(20)
-    return capture(segments, f, staged, "me")[0].select("local_video_id", "seq", "reason")
+    return capture(segments, f, _staged(f), "me")[0].select("local_video_id", "seq", "reason")
