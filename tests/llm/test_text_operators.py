@@ -257,3 +257,53 @@ def test_all_rows_of_a_node_meet(spark, part, monkeypatch):
     texts = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(signatures)], "text_id long, signature binary")
     ties = jaccard_join._ties(texts, jaccard_join.shortest_prefix(), jaccard_join.KEEP).collect()
     assert {x for r in ties for x in r} == {0, 299}
+
+
+def test_jaccard_join_of_shared_and_null_ids(spark):
+    """Ids name documents, not texts: each text of a shared id keeps its links."""
+    a, b = words(1, 60), words(2, 60)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a + " other"), (None, words(3, 60)), (None, words(3, 60) + " x"), (9, words(3, 60) + " y")]
+    got = {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.join(docs(spark, rows).repartition(3)).collect()}
+    assert got == {(1, 1, 2), (1, 1, 1), (2, 1, 2), (3, 1, 1), (None, 1, 2), (None, 9, 2), (9, 9, 2)}
+
+
+@pytest.mark.parametrize("part", [2048, 24])
+def test_recall_in_crowded_nodes(spark, part, monkeypatch):
+    """All texts share a passage of three quarters, so nodes hold unrelated texts; dealt over 200 partitions."""
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    passage, rows = words(70_000, 150, 100_000), []
+    for k in range(120):
+        own = words(80_000 + k, 80, 100_000).split()
+        edited = own[:]
+        for j in range(3):
+            edited[10 + 25 * j] = f"edit{k}x{j}"
+        rows += [(2 * k, passage + " " + " ".join(own)), (2 * k + 1, passage + " " + " ".join(edited))]
+    links, classes = brute_links(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = {r.doc_id: r for r in jaccard_join.join(docs(spark, rows).repartition(60)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(map(len, links.values())) > 0
+    assert sum(got[d].class_id == classes[d] for d in classes) >= 0.97 * len(classes)
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    full = jaccard_join.TREES * jaccard_join.DEPTH
+    assert jaccard_join.estimated_recall({}, 8) == 0 and jaccard_join.estimated_recall({full: 5}, 8) == 1
+    near = int(full * (0.25 + 0.75 * 0.82))
+    assert jaccard_join.estimated_recall({near: 100}, 8) < jaccard_join.RECALL < jaccard_join.estimated_recall({near: 100}, 5)
+
+    def depth(edits):
+        rows = []
+        for k in range(60):
+            ws = words(9000 + k, 200, 100_000).split()
+            rows.append((2 * k, " ".join(ws)))
+            for j in range(edits):
+                ws[20 + j * 40] = f"edit{k}x{j}"
+            rows.append((2 * k + 1, " ".join(ws)))
+        signed = docs(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(jaccard_join._sign, "doc_id long, h long, digest binary, n_shingles long, signature binary")
+        return jaccard_join.candidate_ties(signed.select(F.col("doc_id").alias("text_id"), "signature"))[1]
+
+    assert depth(1) == jaccard_join.DEPTH and depth(4) < jaccard_join.DEPTH

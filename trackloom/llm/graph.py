@@ -13,18 +13,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node points to the neighbour, or itself, with the least
     hash, and edges are redrawn between what their ends point to.  Hashes keep the
-    expected number of rounds logarithmic, whatever the order of ids.  Each round
-    is checkpointed; nothing but emptiness reaches the driver.
+    expected number of rounds logarithmic, whatever the order of ids.  At the end
+    roots are handed down from round to round, so that rows meet by what they pointed
+    to in one round, never all of a component by its root.  Each round is
+    checkpointed; nothing but emptiness reaches the driver.
     """
     rest = checkpoint(edges.where("src <> dst").select("src", "dst").distinct())
-    labels = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct().withColumn("root", F.col("node"))
+    rounds: list[DataFrame] = []
     while not rest.isEmpty():
         both = rest.union(rest.select("dst", "src"))
         best = F.min(F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("node")))
         own = F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("node"))
         points = checkpoint(both.groupBy("src").agg(best.alias("best")).select(F.col("src").alias("at"), F.least("best", own)["node"].alias("to")))
-        labels = labels.join(points, F.col("root") == F.col("at"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        rounds.append(points)
         left, right = points.select(F.col("at").alias("a"), F.col("to").alias("src")), points.select(F.col("at").alias("b"), F.col("to").alias("dst"))
         moved = rest.select(F.col("src").alias("u"), F.col("dst").alias("v")).join(left, F.col("u") == F.col("a")).join(right, F.col("v") == F.col("b"))
         rest = checkpoint(moved.where("src <> dst").select("src", "dst").distinct())
-    return checkpoint(labels)
+    roots = None
+    for points in reversed(rounds):
+        if roots is None:
+            roots = points.select(F.col("at").alias("node"), F.col("to").alias("root"))
+        else:
+            above = roots.select(F.col("node").alias("above"), F.col("root").alias("top"))
+            roots = points.join(above, F.col("to") == F.col("above"), "left").select(F.col("at").alias("node"), F.coalesce("top", "to").alias("root"))
+    return checkpoint(roots) if roots is not None else rest.select(F.col("src").alias("node"), F.col("dst").alias("root"))

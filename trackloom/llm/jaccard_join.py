@@ -3,13 +3,17 @@
 1. Every text gets a digest and a MinHash signature of its shingles of five words.
    Equal texts form one class at once; only its first document goes on.
 2. Signatures are cut into trees.  A node holds the rows that share a tree and a
-   prefix, as long as lets a pair at the threshold meet in some tree with the target
-   probability.  All rows of a node meet: nodes beyond `PART` rows are cut into parts,
-   and pairs of parts meet in places of their own.  Pairs whose sketches are far below
-   the threshold are left out; the others tie rows into candidate groups.
+   prefix; all rows of a node meet.  Prefixes begin whole and are shortened, one value a
+   round, until the estimated recall reaches the target: pairs that were found, weighted
+   by how likely the trees show a pair of their similarity, tell how many there are.
+   Where none was found, prefixes end as short as a pair at the threshold needs.
+   Nodes beyond a part's size are cut into parts, and pairs of parts meet in places of
+   their own.  Pairs whose sketches are far below the threshold are left out; the
+   others tie rows into candidate groups.
 3. Each candidate group is verified exactly: all pairs of its shingle sets are
-   compared, by matrix products over shared shingles.  Groups beyond `PART` texts are
-   cut into parts, and pairs of parts are compared in tasks of their own.
+   compared, by matrix products over shared shingles.  Large groups are cut into parts
+   of a bounded number of texts and of bytes, and pairs of parts are compared in tasks
+   of their own.
 4. Links join texts into classes.
 
 Pairs are counted where they are found and never become rows.
@@ -17,22 +21,23 @@ Pairs are counted where they are found and never become rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SOLID, Words, checkpoint, mix, text_slices
+from .common import SOLID, Words, checkpoint, mix, text_slices, without_ids
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.995
 #: The sketch similarity that keeps a pair.
 KEEP = 0.6
-PART = 2048
+#: Rows in a part at most, bytes of their shingles, and rows that are broadcast at most.
+PART, PART_BYTES, BROADCAST_ROWS = 2048, 64 << 20, 200_000
 _SLAB = 4096
 #: Rows of a node up to which pairs are taken by their distance in the batch, not as a matrix.
 _FEW = 32
@@ -47,6 +52,26 @@ def shortest_prefix(threshold: float = THRESHOLD, recall: float = RECALL) -> int
     return max([1, *(k for k in range(1, DEPTH + 1) if 1 - (1 - threshold**k) ** TREES >= recall)])
 
 
+def estimated_recall(pairs: dict[int, int], depth: int, threshold: float = THRESHOLD) -> float:
+    """Of pairs at or above the threshold, the share found; pairs: agreeing sketch values -> pairs seen over all trees.
+
+    A pair of similarity s meets in TREES * s**depth trees in the mean, and in any with
+    probability 1 - (1 - s**depth)**TREES.  0 where no pair was seen.
+    """
+    found = every = 0.0
+    for agreeing, n in pairs.items():
+        s = min(1.0, (agreeing / (TREES * DEPTH) - 0.25) / 0.75)
+        if s >= threshold:
+            every += n / (TREES * s**depth)
+            found += n / (TREES * s**depth) * (1 - (1 - s**depth) ** TREES)
+    return found / every if every else 0.0
+
+
+def _parts(n: Column) -> Column:
+    """Parts of n rows: a part holds an eighth of them, but no fewer than PART / 8 and no more than PART."""
+    return F.ceil(n / F.greatest(F.lit(max(PART // 8, 1)), F.least(F.lit(PART), n / 8))).cast("int")
+
+
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of all shingles, by text; a text of fewer words, but not none, is one shingle."""
     hashes, counts = words.hashes(), words.counts()
@@ -77,7 +102,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id").slice(row, end - row),
-                    "digest": pa.array([xxhash.xxh3_128_digest(raw[offsets[k] : offsets[k + 1]]) for k in range(end - row)], pa.binary()),
+                    "h": batch.column("h").slice(row, end - row),
+                    "digest": pa.array([hashlib.sha256(raw[offsets[k] : offsets[k + 1]]).digest() for k in range(end - row)], pa.binary()),
                     "n_shingles": pa.array(np.bincount(text, minlength=end - row), pa.int64()),
                     "signature": pa.array([x.tobytes() for x in signature], pa.binary()),
                 }
@@ -127,18 +153,26 @@ class _Sets:
         self.up[max(a, b)] = self.up[min(a, b)] = min(a, b)
 
 
-def _alike(a: np.ndarray, b: np.ndarray, keep: float) -> np.ndarray:
-    """Whether sketches, as four numbers along the last axis, have at least that similarity."""
+def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values two sketches, as four numbers along the last axis, have in common."""
     equal = 0
     for k in range(a.shape[-1]):
         x = a[..., k] ^ b[..., k]
         equal = equal + np.bitwise_count(~(x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).astype(np.int16)
-    return equal >= np.ceil((keep * 0.75 + 0.25) * TREES * DEPTH - 1e-9)  # two bits agree by chance in a quarter of the cases
+    return equal
+
+
+def _least_agreeing(keep: float) -> int:
+    """Two bits agree by chance in a quarter of the cases."""
+    return int(np.ceil((keep * 0.75 + 0.25) * TREES * DEPTH - 1e-9))
 
 
 def _meet(batches: Iterator[pa.RecordBatch], keep: float) -> Iterator[pa.RecordBatch]:
-    """Rows by (node, i, j): an edge from each row to the least id it is tied to in this task."""
-    sets, last = _Sets(), None
+    """Rows by (node, i, j): edges along each set of rows that are tied in this task, and how many pairs agreed in how many values.
+
+    Edges form chains, not stars, so no row has many.
+    """
+    sets, last, counts = _Sets(), None, np.zeros(TREES * DEPTH + 1, np.int64)
     for batch in batches:
         rows = (
             np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("node", "i", "j")], axis=1),
@@ -150,27 +184,40 @@ def _meet(batches: Iterator[pa.RecordBatch], keep: float) -> Iterator[pa.RecordB
             rows = tuple(np.concatenate(x) for x in zip(last, rows, strict=True))
         edges = np.flatnonzero((rows[0][1:] != rows[0][:-1]).any(axis=1)) + 1
         end = edges[-1] if len(edges) else 0  # the last node may go on in the next batch
-        _meet_in_nodes(sets, keep, *(x[:end] for x in rows))
+        _meet_in_nodes(sets, counts, keep, *(x[:end] for x in rows))
         last = tuple(x[end:] for x in rows)
     if last is not None:
-        _meet_in_nodes(sets, keep, *last)
-    nodes = list(sets.up)
-    roots = [sets.find(x) for x in nodes]
-    for at in range(0, len(nodes), 10_000):
-        yield pa.RecordBatch.from_pydict({"src": pa.array(nodes[at : at + 10_000], pa.int64()), "dst": pa.array(roots[at : at + 10_000], pa.int64())})
-
-
-def _meet_in_nodes(sets: _Sets, keep: float, key: np.ndarray, part: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> None:
+        _meet_in_nodes(sets, counts, keep, *last)
+    nodes = np.array(list(sets.up), np.int64)
+    roots = np.array([sets.find(x) for x in sets.up], np.int64)
+    order = np.lexsort((nodes, roots))
+    same = np.flatnonzero(roots[order[1:]] == roots[order[:-1]])
+    src, dst = nodes[order[same]], nodes[order[same + 1]]
+    for at in range(0, len(src), 10_000):
+        n = len(src[at : at + 10_000])
+        yield pa.RecordBatch.from_pydict({"src": pa.array(src[at : at + n]), "dst": pa.array(dst[at : at + n]), "agreeing": pa.nulls(n, pa.int32()), "pairs": pa.nulls(n, pa.int64())})
+    seen = np.flatnonzero(counts)
+    if len(seen):
+        yield pa.RecordBatch.from_pydict({"src": pa.nulls(len(seen), pa.int64()), "dst": pa.nulls(len(seen), pa.int64()), "agreeing": pa.array(seen, pa.int32()), "pairs": pa.array(counts[seen])})
+
+
+def _meet_in_nodes(sets: _Sets, counts: np.ndarray, keep: float, key: np.ndarray, part: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> None:
     """All pairs of whole nodes, or of pairs of their parts."""
+    least = _least_agreeing(keep)
     starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else np.empty(0, np.int64)
     ends = np.append(starts[1:], len(key)) if len(key) else starts
     few = ends - starts <= _FEW
     left = np.repeat(np.where(few, ends, 0), ends - starts) - np.arange(len(key))  # rows of the node from each one on
+    # A row counts only with rows of another part, where its node is cut in two: parts i and j also meet within themselves.
+    whole = key[:, 1] == key[:, 2]
     for gap in range(1, _FEW):
         near = np.flatnonzero(left > gap)
         if not len(near):
             break
-        near = near[_alike(sketch[near], sketch[near + gap], keep)]
+        near = near[whole[near] | (part[near] != part[near + gap])]
+        agreeing = _agreeing(sketch[near], sketch[near + gap])
+        near, agreeing = near[agreeing >= least], agreeing[agreeing >= least]
+        counts += np.bincount(agreeing, minlength=len(counts))
         for a, b in zip(ids[near].tolist(), ids[near + gap].tolist(), strict=True):
             sets.join(a, b)
     for start, end in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
@@ -178,24 +225,44 @@ def _meet_in_nodes(sets: _Sets, keep: float, key: np.ndarray, part: np.ndarray,
         own = start + np.flatnonzero(part[start:end] == i)
         other = own if i == j else start + np.flatnonzero(part[start:end] == j)
         if len(own) and len(other):
-            alike = np.concatenate([_alike(sketch[own[k : k + 256], None], sketch[None, other], keep) for k in range(0, len(own), 256)])
-            if i == j:
-                np.fill_diagonal(alike, False)
+            alike = np.zeros((len(own), len(other)), bool)
+            for k in range(0, len(own), 256):
+                agreeing = _agreeing(sketch[own[k : k + 256], None], sketch[None, other])
+                if i == j:
+                    agreeing[np.arange(len(agreeing)), k + np.arange(len(agreeing))] = 0
+                alike[k : k + 256] = agreeing >= least
+                seen = np.bincount(agreeing[alike[k : k + 256]], minlength=len(counts))
+                counts += seen if i != j else seen // 2 + seen % 2
             _tie(sets, alike, ids[own].tolist(), ids[other].tolist())
 
 
-def _ties(texts: DataFrame, shortest: int, keep: float) -> DataFrame:
-    """Edges (src, dst) that tie texts(text_id, signature) into candidate groups."""
+def _meetings(texts: DataFrame, depth: int, keep: float) -> DataFrame:
+    """Edges that tie texts(text_id, signature) into candidate groups, and counts of pairs by agreeing values."""
     signatures = texts.select("text_id", "signature")
-    sizes = signatures.mapInArrow(lambda batches: _plant(batches, shortest, False), "node long").groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    sizes = sizes.select(F.col("node").alias("large"), F.ceil(F.col("n") / F.lit(PART)).cast("int").alias("parts"))
-    forest = signatures.mapInArrow(lambda batches: _plant(batches, shortest, True), "node long, text_id long, sketch binary")
+    sizes = signatures.mapInArrow(lambda batches: _plant(batches, depth, False), "node long").groupBy("node").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("parts", _parts(F.col("n"))).where("parts > 1").select(F.col("node").alias("large"), "parts")
+    forest = signatures.mapInArrow(lambda batches: _plant(batches, depth, True), "node long, text_id long, sketch binary")
     forest = forest.join(sizes, F.col("node") == F.col("large"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     forest = forest.withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int"))
     forest = forest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     forest = forest.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "text_id", "sketch")
     forest = forest.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return forest.mapInArrow(lambda batches: _meet(batches, keep), "src long, dst long")
+    return forest.mapInArrow(lambda batches: _meet(batches, keep), "src long, dst long, agreeing int, pairs long")
+
+
+def _ties(texts: DataFrame, depth: int, keep: float) -> DataFrame:
+    return _meetings(texts, depth, keep).where("src is not null").select("src", "dst")
+
+
+def candidate_ties(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, int]:
+    """Edges between texts(text_id, signature) that may be similar, and the length of prefix at which the search ended."""
+    shortest, depth = shortest_prefix(threshold, recall), DEPTH
+    while True:
+        met = checkpoint(_meetings(texts, depth, KEEP - (THRESHOLD - threshold)))
+        pairs = met.where("pairs is not null").groupBy("agreeing").agg(F.sum("pairs").alias("pairs")).collect()  # TREES * DEPTH rows at most
+        if depth <= shortest or estimated_recall({r.agreeing: r.pairs for r in pairs}, depth, threshold) >= recall:
+            return met.where("src is not null").select("src", "dst"), depth
+        depth -= 1
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +307,7 @@ def _incidence(sets: list[np.ndarray], slab: np.ndarray) -> np.ndarray:
 
 
 def _verify(group: pa.Table, threshold: float) -> pa.Table:
-    """Of a pair of parts: each text's links to the other part, and an edge to the least text it is tied to."""
+    """Of a pair of parts: each text's links to the other part, and an edge along the texts that it is tied to."""
     rows = {r["text_id"]: r for r in group.to_pylist()}  # a row that comes twice is one text
     parts = sorted({r["part"] for r in rows.values()})
     i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
@@ -262,8 +329,9 @@ def _verify(group: pa.Table, threshold: float) -> pa.Table:
                 for k in np.flatnonzero(own_linked.any(axis=1)):
                     links[own[k]["text_id"]] = [int(own_linked[k].sum()), int(copies[1 - side][own_linked[k]].sum())]
         _tie(found, linked, [r["text_id"] for r in left], [r["text_id"] for r in right])
-    ids = list(links)
-    return pa.table({"src": pa.array(ids, pa.int64()), "dst": pa.array([found.find(x) for x in ids], pa.int64()), "texts": pa.array([links[x][0] for x in ids], pa.int64()), "documents": pa.array([links[x][1] for x in ids], pa.int64())})
+    ids = sorted(links, key=lambda x: (found.find(x), x))
+    after = [y if found.find(x) == found.find(y) else x for x, y in zip(ids, [*ids[1:], *ids[-1:]], strict=True)]
+    return pa.table({"src": pa.array(ids, pa.int64()), "dst": pa.array(after, pa.int64()), "texts": pa.array([links[x][0] for x in ids], pa.int64()), "documents": pa.array([links[x][1] for x in ids], pa.int64())})
 
 
 def _tie(found: _Sets, linked: np.ndarray, left: list[int], right: list[int]) -> None:
@@ -286,44 +354,52 @@ def _tie(found: _Sets, linked: np.ndarray, left: list[int], right: list[int]) ->
                 edge += more.tolist()
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are counted to be few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document row: doc_id, class_id, text_id, n_texts, n_links.
 
     text_id is the smallest id with the same text, class_id the smallest id that
     links lead to, n_texts the number of other texts with a similarity of at least
     the threshold, and n_links the number of other documents, copies included.
+    Texts are equal if their SHA-256 digests are.
 
     A text of one to four words has one shingle, the whole.  Null and empty texts
     have none: each such row is a class of its own (class_id is its id) without
-    links.  A null id never names a class; such a row gets the class of its text if
-    another row has that text, else null.  Rows that share an id count as one
-    document with each of their texts.  Other columns are not read.
+    links.  A null id never names a class, but its row counts as a document and its
+    text links others; such a row gets the class of its text, null if no row there has
+    an id.  Rows that share an id count as one document with each of their texts.
+    Other columns are not read.
     """
-    signed = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign, "doc_id long, digest binary, n_shingles long, signature binary"))
-    texts = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
-    texts = checkpoint(texts.where("text_id is not null"))
-
-    shortest = shortest_prefix(threshold, recall)
-    keep = KEEP - (THRESHOLD - threshold)
-    groups = components(_ties(texts, shortest, keep))
-
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("parts"))
-    members = groups.join(sizes, "root").join(texts.select(F.col("text_id").alias("node"), "copies"), "node")
-    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    own = docs.select(F.col("doc_id").cast("long").alias("text_id"), "text").join(members, F.col("text_id") == F.col("node")).select("text_id", "root", "part", "parts", "copies", "text")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    signed = checkpoint(keyed.mapInArrow(_sign, "doc_id long, h long, digest binary, n_shingles long, signature binary"))
+    first = [F.first(c).alias(c) for c in ("h", "n_shingles", "signature")]
+    texts = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("named"), F.count("*").alias("copies"), *first)
+    texts = checkpoint(texts.withColumn("text_id", F.monotonically_increasing_id()))
+
+    groups = components(candidate_ties(texts, threshold, recall)[0])
+    members = checkpoint(groups.join(texts.select(F.col("text_id").alias("node"), "digest", "h", "named", "copies", "n_shingles"), "node"))
+    sizes = members.groupBy(F.col("root").alias("of")).agg(F.greatest(_parts(F.count("*")), F.ceil(8 * F.sum("n_shingles") / F.lit(PART_BYTES)).cast("int")).alias("parts"))
+    members = members.join(_few(checkpoint(sizes.where("parts > 1"))), F.col("root") == F.col("of"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select(F.col("node").alias("text_id"), "root", "part", "parts", "copies", "digest", F.col("h").alias("own_h"), "named")
+    same = (F.col("h") == F.col("own_h")) & F.col("doc_id").eqNullSafe(F.col("named"))
+    own = keyed.join(_few(members), same).where(F.unhex(F.sha2("text", 256)) == F.col("digest")).select("text_id", "root", "part", "parts", "copies", "text")
     sets = own.mapInArrow(_sets_of, "text_id long, root long, part int, parts int, copies long, shingles binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = sets.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
     found = checkpoint(pairs.groupBy("root", "i", "j").applyInArrow(lambda group: _verify(group, threshold), "src long, dst long, texts long, documents long"))
 
     classes = components(found)
-    names = classes.groupBy("root").agg(F.min("node").alias("class_id"))
+    named = texts.select("text_id", "digest", "named", "copies").join(classes, F.col("text_id") == F.col("node"), "left")
+    names = named.where("root is not null").groupBy(F.col("root").alias("of")).agg(F.min("named").alias("class_id"))
     links = found.groupBy(F.col("src").alias("linked")).agg(F.sum("texts").alias("n_texts"), F.sum("documents").alias("n_documents"))
     named = (
-        texts.select("digest", "text_id", "copies")
-        .join(classes.join(names, "root").select("node", "class_id"), F.col("text_id") == F.col("node"), "left")
-        .join(links, F.col("text_id") == F.col("linked"), "left")
-        .select(F.col("digest").alias("own_digest"), "text_id", F.coalesce("class_id", "text_id").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), (F.coalesce("n_documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        named.join(links, F.col("text_id") == F.col("linked"), "left")
+        .join(_few(checkpoint(names)), F.col("root") == F.col("of"), "left")
+        .select(F.col("digest").alias("own_digest"), F.col("named").alias("text_id"), F.coalesce("class_id", "named").alias("class_id"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), (F.coalesce("n_documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     return signed.select("doc_id", "digest").join(named, F.col("digest") == F.col("own_digest"), "left").select(
         "doc_id",
@@ -336,7 +412,4 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without those whose class has a document with a smaller id; rows with null ids stay."""
-    others = join(docs, **options).where("class_id < doc_id").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(others, docs["doc_id"] == others["other_id"], "left_anti")
-
-
+    return without_ids(docs, join(docs, **options).where("class_id < doc_id").select(F.col("doc_id").alias("id")))
