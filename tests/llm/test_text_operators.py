@@ -307,3 +307,51 @@ def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
         return jaccard_join.candidate_ties(signed.select(F.col("doc_id").alias("text_id"), "signature"))[1]
 
     assert depth(1) == jaccard_join.DEPTH and depth(4) < jaccard_join.DEPTH
+
+
+def test_long_texts_of_sensitive_words_are_linear(spark):
+    import time
+
+    began = time.perf_counter()
+    for text in ("token is a. " * 800_000, "token" * 2_000_000, "x " * 5_000_000 + "secret"):
+        base = secrets.base_spans(text)
+        secrets.novel_spans(text, base, secrets.Novelty())
+    assert time.perf_counter() - began < 40
+
+
+def test_novelty_on_planted_strings(spark):
+    import random
+    import string
+
+    rnd = random.Random(6)
+    around = "the service reads its settings at start and writes them to the log of the machine where "
+    plain = ["configuration_of_the_service", "your_token_goes_here_please", "authentication-middleware", "internationalization_helpers", "abcdefghijklmnopqrstuvwxyz", "example_example_example"]
+    rows = []
+    for k in range(120):
+        own = "".join(rnd.choices(string.ascii_letters + string.digits, k=rnd.randrange(20, 45))) if k % 2 else plain[k // 2 % len(plain)]
+        rows.append((k, f"{around}the {rnd.choice(['pwd', 'bearer', 'credential', 'signature'])} is {own} and {around}"))
+    got = {r.doc_id: r.n_novel for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert sum(got[k] > 0 for k in got if k % 2) >= 57 and not any(got[k] for k in got if not k % 2)
+
+
+def test_benchmark_block_stays_small():
+    items = [(k, words(k, 300, 5000)) for k in range(1500)]
+    block = decontaminate.NgramSet(items)
+    size = len(block.text) + sum(getattr(w, c).nbytes for w in block.sizes.values() for c in ("hashes", "start", "end", "first", "item"))
+    assert size <= 21 * sum(len(t) for _, t in items)
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    from trackloom.llm import common
+
+    text = ("é" * 50 + " " + words(4, 400) + " \n" + "y" * 700 + " z").encode()
+    data = np.frombuffer(text * 3, np.uint8)
+    offsets = np.array([0, len(text), len(text), 2 * len(text), 3 * len(text)])
+    whole = common.Words(data, offsets, common.SOLID)
+    want, places = whole.hashes(), np.array([0, 3, 60, len(text), len(data)])
+    points = common.code_points(data, places)
+    monkeypatch.setattr(common, "SLICE_BYTES", 900)
+    small = common.Words(data, offsets, common.SOLID)
+    assert (small.starts == whole.starts).all() and (small.ends == whole.ends).all() and (small.hashes() == want).all()
+    assert (common.code_points(data, places) == points).all()
+    assert [len(x) for x in small.windows(want, 13)] == [len(x) for x in whole.windows(want, 13)]

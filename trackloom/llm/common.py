@@ -194,6 +194,22 @@ class Words:
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.starts[word:end], self.ends[word:end], strict=True))
 
 
+def spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with one space after each, and where each begins and ends in that."""
+    size = words.ends - words.starts
+    ends = np.cumsum(size + 1) - 1
+    starts = ends - size
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
+    mark = np.zeros(len(words.data) + 1, np.int8)
+    mark[words.starts] = 1
+    mark[words.ends] -= 1
+    place = np.zeros(len(out) + 1, np.int8)
+    place[starts] = 1
+    place[ends] -= 1
+    out[np.cumsum(place[:-1], dtype=np.int8) > 0] = words.data[np.cumsum(mark[:-1], dtype=np.int8) > 0]
+    return out.tobytes(), starts, ends
+
+
 def arrow_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SOLID, Words, arrow_strings, checkpoint, checkpoint_dir, text_slices
+from .common import SOLID, Words, arrow_strings, checkpoint, checkpoint_dir, spaced, text_slices
 
 WIDTH = 13
 #: Text in one text block, and text whose windows one index block holds in the mean.
@@ -106,22 +106,6 @@ def _windows(words: Words, width: int, bits: int) -> tuple[np.ndarray, np.ndarra
     return at, found >> np.uint64(64 - bits) << np.uint64(64 - bits)
 
 
-def _spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """All words with one space after each, and where each begins and ends in that."""
-    size = words.ends - words.starts
-    ends = np.cumsum(size + 1) - 1
-    starts = ends - size
-    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
-    mark = np.zeros(len(words.data) + 1, np.int8)
-    mark[words.starts] = 1
-    mark[words.ends] -= 1
-    spaced = np.zeros(len(out) + 1, np.int8)
-    spaced[starts] = 1
-    spaced[ends] -= 1
-    out[np.cumsum(spaced[:-1], dtype=np.int8) > 0] = words.data[np.cumsum(mark[:-1], dtype=np.int8) > 0]
-    return out.tobytes(), starts, ends
-
-
 class _Reference(_Text):
     """A text block and its distinct windows, in the order of their hashes, each at a place in the least document that has it."""
 
@@ -152,7 +136,7 @@ class _Reference(_Text):
 
     def spaced(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         if not hasattr(self, "_spaced"):
-            self._spaced = _spaced(self.w)
+            self._spaced = spaced(self.w)
         return self._spaced
 
     def factors(self, passages: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
