@@ -225,3 +225,29 @@ def test_components(spark):
         want[find(x)].add(x)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_mixing_keeps_rows_without_or_with_shared_ids(spark):
+    rows = [(None, words(k, 30), "a") for k in range(200)] + [(7, words(1000 + k, 30), "a") for k in range(200)] + [(k, words(2000 + k, 30), "b") for k in range(100)]
+    table = docs(spark, rows)
+    got = mixing.take(table, weight=mixing.length_weight())
+    assert got.columns == table.columns
+    size = {"a": 400 * 30, "b": 100 * 30}
+    taken = {r.source: r.n * 30 for r in got.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    for s, target in brute_targets(size).items():
+        assert abs(taken[s] - target) <= 30
+    assert got.where("doc_id is null").count() > 100 and got.where("doc_id = 7").count() > 100
+    assert max(r["count"] for r in got.groupBy("text").count().collect()) <= 2
+
+
+def test_mixing_inclusion_follows_the_probabilities(spark):
+    """Documents of one size and two weights: each is drawn about as often as its inclusion probability says."""
+    rows = [(k, words(k, 20), "a") for k in range(300)]
+    weight = F.when(F.col("doc_id") % 3 == 0, 2.0).otherwise(1.0)
+    draws = [mixing.mix(docs(spark, rows), weights=(1.0,), share=0.3, seed=seed, weight=weight).select((F.col("doc_id") % 3 == 0).alias("heavy"), "copies") for seed in range(6)]
+    every = draws[0]
+    for more in draws[1:]:
+        every = every.unionByName(more)
+    share = {r.heavy: r.m for r in every.groupBy("heavy").agg(F.avg("copies").alias("m")).collect()}
+    # p is 0.3 w over the mean weight of 4 / 3
+    assert abs(share[True] - 0.45) < 0.05 and abs(share[False] - 0.225) < 0.04

@@ -355,3 +355,16 @@ def test_hashes_do_not_depend_on_pieces(monkeypatch):
     assert (small.starts == whole.starts).all() and (small.ends == whole.ends).all() and (small.hashes() == want).all()
     assert (common.code_points(data, places) == points).all()
     assert [len(x) for x in small.windows(want, 13)] == [len(x) for x in whole.windows(want, 13)]
+
+
+def test_line_dedup_of_long_texts_and_rows_without_ids(spark):
+    """Ten megabytes of lines, and null ids: rows without an id meet others by chunk only."""
+    import time
+
+    lines = [words(k % 5000, 3, 50_000) for k in range(400_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[:1000])), (None, "\n".join(lines[:500])), (None, "\n".join(lines[:500])), (None, "own a\nown b\nown c"), (None, "own a\nown b\nown c")]
+    began = time.perf_counter()
+    got = {(r.doc_id, r.n_lines): r for r in line_dedup.remove_repeats(docs(spark, rows).repartition(3)).collect()}
+    assert time.perf_counter() - began < 90
+    assert got[2, 1000].n_removed > 990 and got[None, 500].n_removed > 490 and got[None, 3].n_removed == 0
+    assert got[1, 400_000].n_removed > 380_000

@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 Each source has a target of words.  A document of it takes `target / size of the
-source` copies in the mean: the whole part is certain, and the rest is the
-inclusion probability p of one copy more.  Documents are ranked by Pareto keys,
-u / (1 - u) divided by p / (1 - p) with u from a hash of the id and a seed, and
-the first in that order are taken until the words that the target still lacks are
-reached.  Documents of a source may have unequal weights; p follows them.
+source` copies in the mean: the whole part is certain, and the rest is dealt out as
+inclusion probabilities p of one copy more, in proportion to the documents' weights.
+Documents are ranked by Pareto keys, u / (1 - u) divided by p / (1 - p) with u from a
+hash of the row and a seed, and the first in that order are taken until the words that
+the target still lacks are reached.
 
 A source may hold most rows, so no source is ranked in one task: its keys are cut
 into about sqrt(rows) ranges, the words of the ranges are summed up, and only the
-one range in which the target falls is ranked.
+one range in which the target falls is ranked.  What comes out is one key a source, up
+to which documents are taken: each row is then decided where it is, and no text moves.
 """
 
 from __future__ import annotations
@@ -29,6 +30,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def length_weight() -> Column:
+    """Weights that grow with the logarithm of a document's words: longer documents are likelier, not in proportion."""
+    return F.log1p(word_count(F.col("text")).cast("double"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
     """source, rows, source_size, target: share of all words dealt by weight, none above `most` times its source.
 
@@ -50,81 +56,100 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return by.select("source", "rows", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = SEED, weight: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (size times copies) for each row of docs.
+#: Sources up to this many are broadcast to the documents; more are joined by key.
+BROADCAST_SOURCES = 20_000
+
+
+def _by_source(rows: DataFrame, by: DataFrame, name: str = "of") -> DataFrame:
+    """rows(source, ...) with the row of their source, or nulls; `by` is small unless there are very many sources."""
+    side = F.broadcast(by) if by.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else by
+    return rows.join(side, F.col("source").eqNullSafe(F.col(name)), "left")
+
+
+def _measured(rows: DataFrame, seed: int, weight: Column | str | None) -> DataFrame:
+    """rows(doc_id, text, source, ...) with size, u and w."""
+    own = F.lit(1.0) if weight is None else F.greatest(F.coalesce((F.col(weight) if isinstance(weight, str) else weight).cast("double"), F.lit(1.0)), F.lit(1e-9))
+    # The 53 high bits of a hash, moved off 0 and 1.  It takes in the text, so that rows which share an id differ.
+    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    return rows.withColumns({"size": word_count(F.col("text")), "u": u, "w": own})
+
+
+def _keyed(measured: DataFrame, by: DataFrame) -> DataFrame:
+    """measured rows with their source's row of `by`, and the Pareto key and its range."""
+    p = F.least(F.greatest(F.col("part") * F.col("w") / F.greatest(F.col("mean_w"), F.lit(1e-9)), F.lit(1e-12)), F.lit(1 - 1e-12))
+    key = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    return _by_source(measured, by).withColumn("key", key).withColumn("range", F.floor(F.col("key") / (1 + F.col("key")) * F.col("ranges")).cast("long"))
+
 
-    weight: a column of positive document weights; null or none counts as 1.
-    Null and empty texts have size 0 and are never taken.  A null source is a
-    source of its own, the last.  Rows with the same id and text are drawn
-    together up to the order of equal keys, which falls by size; ids may be null.
-    An empty table gives an empty result.  A document's copies never exceed `most`.
+def _plan(sizes: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """One row per source of sizes(source, size, u, w): its target, and the keys up to which documents are taken.
+
+    edge_range: the range in which the target falls; cut: the last (key, u) taken
+    in it; extra: one more, which rounds the words off.
     """
-    own = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(1.0)), F.lit(1e-9)) if weight else F.lit(1.0)
-    # The 53 high bits of a hash, moved off 0 and 1.
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    sizes = checkpoint(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), u.alias("u"), own.alias("w")))
     by = targets(sizes, weights, share, most).withColumnRenamed("source", "of")
-    if weight:
-        mean = sizes.groupBy(F.col("source").alias("w_of")).agg((F.sum(F.col("w") * F.col("size")) / F.greatest(F.sum("size"), F.lit(1))).alias("mean_w"))
-        by = by.join(mean, F.col("of").eqNullSafe(F.col("w_of")), "left").drop("w_of")
-    else:
-        by = by.withColumn("mean_w", F.lit(1.0))
+    mean = sizes.groupBy(F.col("source").alias("w_of")).agg((F.sum(F.col("w") * F.col("size")) / F.greatest(F.sum("size"), F.lit(1))).alias("mean_w"))
+    by = by.join(mean, F.col("of").eqNullSafe(F.col("w_of")), "left").drop("w_of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # A rate a hair below a whole number, from rounding, is that number.
     by = by.withColumn("rate", rate).withColumn("whole", F.floor(F.col("rate") + 1e-12).cast("long"))
     by = by.withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0))).withColumn("lacks", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
     by = checkpoint(by.withColumn("ranges", F.ceil(F.sqrt(F.col("rows").cast("double"))).cast("long")))
 
-    joined = _by_source(sizes, by)
-    p = F.least(F.greatest(F.col("part") * F.col("w") / F.greatest(F.col("mean_w"), F.lit(1e-9)), F.lit(1e-12)), F.lit(1 - 1e-12))
-    key = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
-    keyed = joined.withColumn("key", key).withColumn("range", F.floor(F.col("key") / (1 + F.col("key")) * F.col("ranges")).cast("long"))
+    keyed = _keyed(sizes, by).where("lacks > 0 and size > 0")
     running = Window.partitionBy("of").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = keyed.where("lacks > 0").groupBy("of", "range", "lacks").agg(F.sum("size").alias("words"))
+    ranges = keyed.groupBy("of", "range", "lacks").agg(F.sum("size").alias("words"))
     ranges = ranges.withColumn("words_before", F.coalesce(F.sum("words").over(running), F.lit(0)))
     # The range in which the target falls: before it all are taken, after it none.
     edge = ranges.where("words_before < lacks and words_before + words >= lacks").groupBy(F.col("of").alias("edge_of")).agg(F.min_by(F.struct("range", "words_before"), "range").alias("edge"))
     edge = checkpoint(edge.select("edge_of", F.col("edge.range").alias("edge_range"), F.col("edge.words_before").alias("edge_before")))
-    cut = _by_source(keyed, edge, "edge_of")
-    inside = cut.where("lacks > 0 and size > 0 and range = edge_range")
-    rank = Window.partitionBy("of").orderBy("key", "size", "doc_id")
-    inside = inside.withColumn("upto", F.col("edge_before") + F.sum("size").over(rank.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = inside.withColumn("first", F.col("upto") <= F.col("lacks"))
+    inside = _by_source(keyed, edge, "edge_of").where("range = edge_range")
+    # Equal rows have one key and are drawn together.
+    inside = inside.groupBy("of", "edge_range", "edge_before", "lacks", F.struct("key", "u").alias("at")).agg(F.sum("size").alias("words"))
+    rank = Window.partitionBy("of").orderBy("at")
+    inside = inside.withColumn("upto", F.col("edge_before") + F.sum("words").over(rank.rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.col("upto") <= F.col("lacks"))
     whole = Window.partitionBy("of")
     gap = F.col("lacks") - F.coalesce(F.max(F.when(F.col("first"), F.col("upto"))).over(whole), F.col("edge_before"))
     # One document more rounds the sum off: the one that leaves the least gap, if it leaves less.
-    inside = inside.withColumn("gap", gap).withColumn("place", F.row_number().over(rank))
-    last = F.min(F.when(~F.col("first") & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")), F.struct(F.abs(F.col("gap") - F.col("size")).alias("left"), F.col("place")))).over(whole)["place"]
-    inside = inside.withColumn("more", (F.col("first") | (F.col("place") == F.coalesce(last, F.lit(-1)))).cast("long"))
-    outside = cut.where("not (lacks > 0 and size > 0 and range <=> edge_range)").withColumn("more", F.when((F.col("lacks") > 0) & (F.col("size") > 0) & (F.col("edge_range").isNull() | (F.col("range") < F.col("edge_range"))), 1).otherwise(0).cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "more"]
-    copies = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("more"), F.lit(most))).otherwise(0)
-    return (
-        inside.select(*columns)
-        .unionByName(outside.select(*columns))
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-    )
+    left = F.abs(F.col("gap") - F.col("words"))
+    inside = inside.withColumn("gap", gap).withColumn("rounding", F.when(~F.col("first") & (left < F.col("gap")), F.struct(left.alias("left"), F.col("at"))))
+    cuts = inside.groupBy(F.col("of").alias("cut_of"), "edge_range").agg(F.max(F.when(F.col("first"), F.col("at"))).alias("cut"), F.min("rounding")["at"].alias("extra"))
+    return checkpoint(by.join(cuts, F.col("of").eqNullSafe(F.col("cut_of")), "left").drop("cut_of"))
 
 
-#: Sources up to this many are broadcast to the documents; more are joined by key.
-BROADCAST_SOURCES = 20_000
+def _copies(most: int) -> Column:
+    """Of a keyed row: how often it is taken."""
+    at = F.struct("key", "u")
+    edge = F.coalesce(at <= F.col("cut"), F.lit(False)) | F.coalesce(at == F.col("extra"), F.lit(False))
+    before = F.col("edge_range").isNull() | (F.col("range") < F.col("edge_range"))
+    more = (F.col("lacks") > 0) & (before | ((F.col("range") == F.col("edge_range")) & edge))
+    return F.when(F.col("size") > 0, F.least(F.col("whole") + more.cast("long"), F.lit(most))).otherwise(0)
 
 
-def _by_source(docs: DataFrame, by: DataFrame, name: str = "of") -> DataFrame:
-    """docs with the row of their source, or nulls; `by` is small unless there are very many sources."""
-    side = F.broadcast(by) if by.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else by
-    return docs.join(side, F.col("source").eqNullSafe(F.col(name)), "left")
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = SEED, weight: Column | str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (size times copies) for each row of docs.
+
+    weight: positive document weights, a column or an expression over docs; null or
+    none counts as 1.  Null and empty texts have size 0 and are never taken.  A null
+    source is a source of its own, the last.  Rows may share ids or have none; rows
+    equal in id, text and source are drawn together.  An empty table gives an empty
+    result.  A document's copies never exceed `most`.
+    """
+    sizes = checkpoint(_measured(docs, seed, weight).select("doc_id", "source", "size", "u", "w"))
+    drawn = _keyed(sizes, _plan(sizes, weights, share, most)).withColumn("copies", _copies(most))
+    return drawn.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """docs with each document as often as the mix takes it; columns as in docs.
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES, seed: int = SEED, weight: Column | str | None = None) -> DataFrame:
+    """docs with each row as often as the mix takes it, rows with null or shared ids too; columns as in docs.
 
-    Copies go by id; rows that share an id all get the largest of their numbers.
+    Rows are decided where they are, by what is known of their source.
     """
-    drawn = mix(docs, **options).where("copies > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("drawn_id")).agg(F.max("copies").alias("drawn_copies"))
-    return (
-        docs.join(drawn, docs["doc_id"] == drawn["drawn_id"])
-        .withColumn("drawn_copy", F.explode(F.sequence(F.lit(1), F.col("drawn_copies").cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    own = ("doc_id", "text", "source")
+    # All columns travel in one, so that none clashes with those made here.
+    packed = docs.select(*own, F.struct("*").alias("row"), *([weight] if isinstance(weight, str) and weight not in own else []))
+    measured = _measured(packed, seed, weight)
+    sizes = checkpoint(measured.select("source", "size", "u", "w"))
+    drawn = _keyed(measured, _plan(sizes, weights, share, most)).withColumn("copies", _copies(most)).where("copies > 0")
+    drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return drawn.select("row.*")

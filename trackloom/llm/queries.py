@@ -37,7 +37,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), weight=mixing.length_weight()).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
