@@ -251,3 +251,29 @@ def test_mixing_inclusion_follows_the_probabilities(spark):
     share = {r.heavy: r.m for r in every.groupBy("heavy").agg(F.avg("copies").alias("m")).collect()}
     # p is 0.3 w over the mean weight of 4 / 3
     assert abs(share[True] - 0.45) < 0.05 and abs(share[False] - 0.225) < 0.04
+
+
+def test_token_files_are_bounded_by_bytes(spark):
+    path = token_records.new_folder(spark)
+    rows = [(k, words(k, 5 if k % 7 else 3000)) for k in range(200)] + [(None, words(900 + k, 8)) for k in range(50)]
+    token_records.write(docs(spark, rows), path, queries.tokenizer_path(), file_bytes=10_000)
+    index = token_records.index(spark, path)
+    sizes = index.groupBy("file").agg(F.sum("length").alias("bytes"), F.count("*").alias("n")).collect()
+    assert all(r.bytes <= 10_010 or r.n == 1 for r in sizes) and len(sizes) > 20
+    got = [r.start for r in index.orderBy("part", "piece", "record").collect()]
+    assert got == sorted(got) and index.count() == 250
+
+
+def test_bounds_leave_out_blocks_of_gathered_vectors():
+    """Vectors around ten centres: most blocks are never scored, with the same result."""
+    rnd = np.random.RandomState(3)
+    centres = rnd.randn(10, 16) * 1000
+    vectors = np.floor(centres[rnd.randint(0, 10, 4000)] + rnd.randn(4000, 16) * 40)
+    order = topk._gathered(vectors)
+    ids = np.arange(4000)
+    blocks = [(ids[order[k : k + 64]], vectors[order[k : k + 64]]) for k in range(0, 4000, 64)]
+    best, visited = topk._Group(blocks).search(ids[:50], vectors[:50], 10, np.full(50, -np.inf))
+    scores = vectors[:50] @ vectors.T
+    scores[np.arange(50), np.arange(50)] = -np.inf
+    assert all(sorted(best.rows[q][0].tolist()) == np.sort(scores[q])[-10:].tolist() for q in range(50))
+    assert visited < 0.3 * 50 * len(blocks)

@@ -9,9 +9,9 @@ A record is one document's frame:
     0x0A
 
 where masked(c) = rotate_right(c, 15) + 0xA282EAD8, modulo 2**32.  Files are written
-by Spark's own writer, one frame a row, so commit, retry and storage are Spark's; the
-closing byte is that writer's line separator.  Documents are in ascending order of
-doc_id within and over the files.  The index is a Parquet table beside the files,
+by Spark's own writer, one row of frames of about `FILE_BYTES` a file, so commit, retry
+and storage are Spark's; the last closing byte is that writer's line separator.
+Documents are in ascending order of doc_id within and over the files.  The index is a Parquet table beside the files,
 derived from what was read back: file, record, offset, length and counts of ids, with
 which single records can be read in any order.
 """
@@ -30,17 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, span_hashes, text_slices
+from .common import checkpoint_dir, mix, text_slices
 
 MASK = 0xA282EAD8
 HEAD, INNER = struct.Struct("<QI"), struct.Struct("<qBB")
-#: Documents in one file at most; a reader takes a file at a time.
-FILE_DOCUMENTS = 20_000
+#: Bytes of frames after which a file ends; a reader takes a file at a time.  One larger frame is a file by itself.
+FILE_BYTES = 16 << 20
 #: Slots of an encoder's table of pieces, half of which are filled at most, and ids that it keeps.
 SLOT_BITS = 21
 SLOTS, MEMO_IDS = 1 << SLOT_BITS, 6_000_000
 #: Text that is encoded at once.
 ENCODED_BYTES = 1 << 19
+#: Longer pieces are remembered by their bytes, not in the table, which knows a piece by its ends.
+SHORT_PIECE = 16
 
 
 def masked(data: bytes) -> int:
@@ -85,7 +87,9 @@ class Encoder:
     bytes.  A text is always broken before a space that a visible character follows;
     a part between such places that holds anything unusual (an apostrophe, other white
     space, other scripts) is one piece, whatever it holds.  Each piece is encoded by
-    the library once, and its ids are kept in a table by its hash.  Tokenizers of
+    the library once, and its ids are kept: in a table by its first and last eight bytes
+    and its length, which are all of a piece of up to `SHORT_PIECE` bytes, and for longer
+    ones by the bytes themselves.  Tokenizers of
     other kinds, and texts that hold an added token, encode whole texts.
     """
 
@@ -104,8 +108,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(SLOTS, np.uint64)  # 0: free
+        self.keys, self.ends = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
+        self.lengths = np.zeros(SLOTS, np.uint8)  # 0: free
         self.at, self.sizes = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.long: dict[bytes, tuple[int, int]] = {}
         self.pool, self.used, self.known = np.zeros(1 << 20, self.kind), 0, 0
 
     def whole(self, texts: list[str]) -> list[list[int]]:
@@ -119,10 +125,9 @@ class Encoder:
             return np.array([x for own in ids for x in own], self.kind), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
         starts = self._pieces(data, offsets)
         ends = np.append(starts[1:], len(data))
-        slots = self._slots(span_hashes(data, starts, ends), raw, starts, ends)
-        sizes = self.sizes[slots]
+        at, sizes = self._known(data, raw, starts, ends)
         total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        places = np.arange(total[-1]) + np.repeat(self.at[slots] - total[:-1], sizes)
+        places = np.arange(total[-1]) + np.repeat(at - total[:-1], sizes)
         return self.pool[places], total[np.searchsorted(starts, offsets)]
 
     @staticmethod
@@ -151,44 +156,75 @@ class Encoder:
         turn[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE)
         return np.flatnonzero(first | safe | turn & ~hard[part])
 
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash: where it is, or the free one where it would be."""
-        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        rest = np.arange(len(hashes))
+    def _find(self, first: np.ndarray, last: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The slot of each piece: where it is, or the free one where it would be."""
+        slots = (mix(first ^ mix(last + length.astype(np.uint64))) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        rest = np.arange(len(first))
         while len(rest):
-            found = self.keys[slots[rest]]
-            rest = rest[(found != hashes[rest]) & (found != 0)]
+            own = slots[rest]
+            other = (self.lengths[own] != 0) & ((self.keys[own] != first[rest]) | (self.ends[own] != last[rest]) | (self.lengths[own] != length[rest]))
+            rest = rest[other]
             slots[rest] = (slots[rest] + 1) % SLOTS
         return slots
 
-    def _slots(self, hashes: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        hashes = np.maximum(hashes, np.uint64(1))
-        slots = self._find(hashes)
-        missing = np.flatnonzero(self.keys[slots] == 0)
-        if not len(missing):
-            return slots
-        fresh, at = np.unique(hashes[missing], return_index=True)
-        if self.known + len(fresh) > SLOTS // 2 or self.used > MEMO_IDS:
-            self._forget()
-            fresh, at = np.unique(hashes, return_index=True)
-            missing = np.arange(len(hashes))
-        ids = self.whole([raw[starts[k] : ends[k]].decode() for k in missing[at]])
-        sizes = np.array([len(x) for x in ids])
+    def _remember(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool the ids of pieces, encoded by the library, now are, and how many."""
+        ids = self.whole([x.decode() for x in pieces])
+        sizes = np.array([len(x) for x in ids], np.int64)
         flat = np.array([x for own in ids for x in own], self.kind)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), self.kind)])
         self.pool[self.used : self.used + len(flat)] = flat
-        begins = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        begins = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         self.used += len(flat)
-        self.known += len(fresh)
-        rest = np.arange(len(fresh))
+        return begins, sizes
+
+    def _known(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the pool each piece's ids are, and how many."""
+        if self.known + len(self.long) > SLOTS // 4 or self.used > MEMO_IDS:
+            self._forget()
+        size = ends - starts
+        at, sizes = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        long = np.flatnonzero(size > SHORT_PIECE)
+        texts = [raw[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        if fresh := [x for x in dict.fromkeys(texts) if x not in self.long]:
+            self.long.update(zip(fresh, zip(*(x.tolist() for x in self._remember(fresh)), strict=True), strict=True))
+        if texts:
+            at[long], sizes[long] = np.array([self.long[x] for x in texts]).T
+
+        short = np.flatnonzero(size <= SHORT_PIECE)
+        if not len(short):
+            return at, sizes
+        padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        length = size[short].astype(np.uint8)
+        spare = np.maximum(8 - length.astype(np.int64), 0).astype(np.uint64) * np.uint64(8)
+        first = eight[starts[short] + 8] << spare
+        last = eight[ends[short]] >> spare << spare
+        slots = self._find(first, last, length)
+        missing = np.flatnonzero(self.lengths[slots] == 0)
+        if len(missing):
+            _, own = np.unique(np.rec.fromarrays([first[missing], last[missing], length[missing]]), return_index=True)
+            own = missing[own]
+            for k in range(0, len(own), SLOTS // 4):
+                self._insert(first, last, length, own[k : k + SLOTS // 4], [raw[starts[short[j]] : ends[short[j]]] for j in own[k : k + SLOTS // 4]])
+            slots = self._find(first, last, length)
+        at[short], sizes[short] = self.at[slots], self.sizes[slots]
+        return at, sizes
+
+    def _insert(self, first: np.ndarray, last: np.ndarray, length: np.ndarray, own: np.ndarray, pieces: list[bytes]) -> None:
+        begins, sizes = self._remember(pieces)
+        self.known += len(own)
+        rest = np.arange(len(own))
         while len(rest):  # of several that want one slot, the last gets it
-            own = self._find(fresh[rest])
-            self.keys[own] = fresh[rest]
-            placed = self.keys[own] == fresh[rest]
-            self.at[own[placed]], self.sizes[own[placed]] = begins[rest[placed]], sizes[rest[placed]]
+            mine = own[rest]
+            slots = self._find(first[mine], last[mine], length[mine])
+            self.at[slots] = rest
+            placed = self.at[slots] == rest
+            slots, rest_placed = slots[placed], rest[placed]
+            self.keys[slots], self.ends[slots], self.lengths[slots] = first[mine[placed]], last[mine[placed]], length[mine[placed]]
+            self.at[slots], self.sizes[slots] = begins[rest_placed], sizes[rest_placed]
             rest = rest[~placed]
-        return self._find(hashes)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -201,27 +237,38 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A row per file: its frames, with a closing byte between them."""
     coder = encoder(path)
     end = np.array([end_id], coder.kind).tobytes()
+    own, size = [], 0
     for batch in batches:
         doc_ids = batch.column("doc_id").to_pylist()
         for row, last, data, offsets in text_slices(batch.column("text"), ENCODED_BYTES):
             ids, at = coder.encode(data, offsets)
-            rows = [frame(doc_ids[row + k], ids[at[k] : at[k + 1]].tobytes() + end, coder.kind.itemsize) for k in range(last - row)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
-
-
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
+            for k in range(last - row):
+                one = frame(doc_ids[row + k], ids[at[k] : at[k + 1]].tobytes() + end, coder.kind.itemsize)
+                if own and size + len(one) > file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(own)], pa.binary())], ["frames"])
+                    own, size = [], 0
+                own.append(one)
+                size += len(one) + 1
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(own)], pa.binary())], ["frames"])
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, file_bytes: int = FILE_BYTES) -> None:
     """Write the records of docs(doc_id, text) to `path`/records and their index to `path`/index.
 
     tokenizer: a file of the tokenizers library, readable on every executor.  Null
-    and empty texts are the end id alone.  Rows that share an id lie together, by
-    text; a null id comes first.  An empty table writes an empty index.
+    and empty texts are the end id alone.  Rows that share an id lie together, in an
+    order of their texts; a null id comes first.  An empty table writes an empty index.
     """
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    frames = ordered.mapInArrow(lambda batches: _frames(batches, tokenizer, end_id), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_DOCUMENTS).text(f"{path}/records")
+    # The text's hash parts rows that share an id, or have none.
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    ordered = keyed.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
+    frames = ordered.mapInArrow(lambda batches: _frames(batches, tokenizer, end_id, file_bytes), "frames binary")
+    frames.select(F.col("frames").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/records")
     _read_back(docs.sparkSession, path).write.parquet(f"{path}/index")
 
 

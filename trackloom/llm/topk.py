@@ -6,9 +6,14 @@ query, the sum over components of the larger of q * max and q * min bounds every
 score in a block.  Each query visits the blocks of a task by falling bound and ends
 when a bound falls below its k-th score; ties at the bound are still visited.
 
-Queries go to the tasks in broadcast chunks of `CHUNK_QUERIES` and `CHUNK_BYTES` at
-most; more queries mean more passes over the blocks.  Each task returns at most k
-rows a query, and these are ranked by Spark.
+Vectors of a batch are ordered by the nearest of some of them before they are cut into
+ranges, so that a block's vectors lie together.  Blocks are dealt into groups of about
+`GROUP_BYTES`; every query block comes to every group, after its vectors, and is
+searched as it streams by.  A query brings a score along that its k-th best has at
+least, from a bounded sample of all vectors, so blocks are left out from the start in
+every group.  Each group returns at most k rows a query, and these are ranked by Spark.
+
+Bounds over vectors of random directions leave out next to nothing, whatever the blocks.
 """
 
 from __future__ import annotations
@@ -23,9 +28,11 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 K, SCALE = 10, 1024
-BLOCK_VECTORS, CHUNK_QUERIES, CHUNK_BYTES = 512, 4096, 8 << 20
-#: Blocks whose bounds a task orders at once.
-GROUP_BLOCKS = 64
+BLOCK_VECTORS, CHUNK_QUERIES, LEADERS = 128, 512, 64
+#: Vectors that a task holds at once.
+GROUP_BYTES = 64 << 20
+#: Vectors, and bytes of them, that give the first bounds of k-th scores.
+SAMPLE_VECTORS, SAMPLE_BYTES = 1024, 8 << 20
 
 _BLOCKS = "dims int, ids binary, data binary"
 _EXACT = 1 << 53
@@ -35,7 +42,13 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
+def _gathered(vectors: np.ndarray) -> np.ndarray:
+    """An order in which vectors with the same nearest leader lie together; leaders are every so-manieth vector."""
+    leaders = vectors[:: max(1, len(vectors) // LEADERS)][:LEADERS]
+    return np.argsort(np.argmax(vectors @ leaders.T - (leaders**2).sum(axis=1) / 2, axis=1), kind="stable")
+
+
+def _to_blocks(batches: Iterator[pa.RecordBatch], scale: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
         vectors = batch.column("embedding")
@@ -45,14 +58,15 @@ def _to_blocks(batches: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.Rec
         for dims in np.unique(sizes):
             rows = np.flatnonzero(sizes == dims)
             rows = rows[np.argsort(ids[rows], kind="stable")]
-            for at in range(0, len(rows), BLOCK_VECTORS):
-                own = rows[at : at + BLOCK_VECTORS]
-                data = flat[(ends[own] - dims)[:, None] + np.arange(dims)]
-                yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "ids": [ids[own].tobytes()], "data": [data.tobytes()]})
+            data = flat[(ends[rows] - dims)[:, None] + np.arange(dims)]
+            order = _gathered(data)
+            for at in range(0, len(rows), size):
+                own = order[at : at + size]
+                yield pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "ids": [ids[rows[own]].tobytes()], "data": [data[own].tobytes()]})
 
 
-def _blocks(vectors: DataFrame, scale: int) -> DataFrame:
-    return vectors.mapInArrow(lambda batches: _to_blocks(batches, scale), _BLOCKS)
+def _blocks(vectors: DataFrame, scale: int, size: int) -> DataFrame:
+    return vectors.mapInArrow(lambda batches: _to_blocks(batches, scale, size), _BLOCKS)
 
 
 def _products(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -82,64 +96,73 @@ class _Best:
             self.kth[query] = scores[order[-1]]
 
 
-def _search(batches: Iterator[pa.RecordBatch], chunk: dict, k: int) -> Iterator[pa.RecordBatch]:
-    """chunk: by dimension, ids and vectors of the queries."""
-    best = {dims: _Best(len(ids), k) for dims, (ids, _) in chunk.items()}
-    group: dict[int, list] = {}
+class _Group:
+    """Vector blocks of one number of dimensions."""
+
+    def __init__(self, blocks: list[tuple[np.ndarray, np.ndarray]]):
+        self.blocks = blocks
+        self.top = np.array([b[1].max(axis=0) for b in blocks])
+        self.low = np.array([b[1].min(axis=0) for b in blocks])
 
-    def visit(dims: int) -> None:
-        blocks = group.pop(dims)
-        ids, queries = chunk[dims]
-        top = np.array([b[1].max(axis=0) for b in blocks])
-        low = np.array([b[1].min(axis=0) for b in blocks])
-        bounds = np.maximum(queries, 0) @ top.T + np.minimum(queries, 0) @ low.T
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray) -> tuple[_Best, int]:
+        """The k best of each query that reach `least`, and how many (query, block) pairs were scored."""
+        best, visited = _Best(len(ids), k), 0
+        best.kth = least.copy()
+        bounds = np.maximum(queries, 0) @ self.top.T + np.minimum(queries, 0) @ self.low.T
         bounds += np.abs(bounds) * 1e-12  # rounding never hides a score
         order = np.argsort(-bounds, axis=1, kind="stable")
-        mine = best[dims]
-        for turn in range(len(blocks)):
+        for turn in range(len(self.blocks)):
             at = order[:, turn]
-            open_ = np.flatnonzero(bounds[np.arange(len(ids)), at] >= mine.kth)
+            open_ = np.flatnonzero(bounds[np.arange(len(ids)), at] >= best.kth)
             if not len(open_):
                 break
+            visited += len(open_)
             for b in np.unique(at[open_]):
                 asked = open_[at[open_] == b]
-                scores = _products(queries[asked], blocks[b][1])
+                scores = _products(queries[asked], self.blocks[b][1])
                 for q, row in zip(asked, scores, strict=True):
-                    other = blocks[b][0] != ids[q]
-                    mine.add(q, row[other], blocks[b][0][other])
+                    other = (self.blocks[b][0] != ids[q]) & (row >= best.kth[q])
+                    best.add(q, row[other], self.blocks[b][0][other])
+        return best, visited
+
+
+def _unpack(dims: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dims)
+
 
+def _first_bounds(batches: Iterator[pa.RecordBatch], sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pa.RecordBatch]:
+    """Query blocks with what each one's k-th score is at least."""
     for batch in batches:
+        out = []
         for dims, ids, data in zip(*(batch.column(c).to_pylist() for c in ("dims", "ids", "data")), strict=True):
-            if dims in chunk:
-                group.setdefault(dims, []).append((np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dims)))
-                if len(group[dims]) >= GROUP_BLOCKS:
-                    visit(dims)
-    for dims in list(group):
-        visit(dims)
-    for dims, (ids, _) in chunk.items():
-        for q, (scores, found) in zip(ids, best[dims].rows, strict=True):
-            if len(found):
-                yield pa.RecordBatch.from_pydict({"query_id": np.full(len(found), q), "vec_id": found, "score": scores})
-
-
-def _chunks(blocks: DataFrame) -> Iterator[dict]:
-    """Queries in chunks of a bounded number and size."""
-    rows, n, size = [], 0, 0
-
-    def chunk() -> dict:
-        by: dict[int, list] = {}
-        for dims, ids, data in rows:
-            by.setdefault(dims, []).append((np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dims)))
-        return {dims: (np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])) for dims, got in by.items()}
-
-    for row in blocks.toLocalIterator():
-        if rows and (n + len(row["ids"]) // 8 > CHUNK_QUERIES or size + len(row["data"]) > CHUNK_BYTES):
-            yield chunk()
-            rows, n, size = [], 0, 0
-        rows.append((row["dims"], bytes(row["ids"]), bytes(row["data"])))
-        n, size = n + len(row["ids"]) // 8, size + len(row["data"])
-    if rows:
-        yield chunk()
+            own, queries = _unpack(dims, ids, data)
+            least = np.full(len(own), -np.inf)
+            if dims in sample:
+                least = _Group([sample[dims]]).search(own, queries, k, least)[0].kth
+            out.append(least.tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "least"])
+
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows by (place, kind): a group's vector blocks, then query blocks, each searched as it comes."""
+    place, blocks, groups = None, {}, {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["place"] != place:
+                place, blocks, groups = row["place"], {}, {}
+            dims = row["dims"]
+            ids, vectors = _unpack(dims, row["ids"], row["data"])
+            if row["kind"] == 0:
+                blocks.setdefault(dims, []).append((ids, vectors))
+                continue
+            if dims not in blocks:
+                continue
+            if dims not in groups:
+                groups[dims] = _Group(blocks[dims])
+            best, _ = groups[dims].search(ids, vectors, k, np.frombuffer(row["least"], np.float64))
+            size = [len(found) for _, found in best.rows]
+            if sum(size):
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, size), "vec_id": np.concatenate([f for _, f in best.rows]), "score": np.concatenate([s for s, _ in best.rows])})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
@@ -150,22 +173,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     hold a null or non-finite component, take no part.  Only vectors of the query's
     own length are its candidates.  Rows that share the query's id are its own; other
     repeated rows each count.  A query id that occurs twice is asked once, with
-    the smaller vector.  Without queries the result is empty.
+    the smaller vector.  Without queries the result is empty.  An empty vector has a
+    score of 0 with any other, which says nothing, so such rows take no part either.
     """
     spark = vectors.sparkSession
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
-    asked = checkpoint(_blocks(usable.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), scale))
-    blocks = checkpoint(_blocks(usable, scale))
-    found = None
-    for chunk in _chunks(asked):
-        shared = spark.sparkContext.broadcast(chunk)
-        part = blocks.mapInArrow(_searcher(shared, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    asked = _blocks(usable.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), scale, CHUNK_QUERIES)
+    blocks = checkpoint(_blocks(usable, scale, BLOCK_VECTORS))
+    total, widest = blocks.agg(F.sum(F.length("data")), F.max("dims")).first()
+    n = max(-(-(total or 0) // GROUP_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sample: dict[int, list] = {}
+    for row in blocks.limit(min(SAMPLE_VECTORS, SAMPLE_BYTES // (8 * (widest or 1))) // BLOCK_VECTORS + 1).collect():  # bounded in vectors and bytes, up to one block
+        sample.setdefault(row["dims"], []).append(_unpack(row["dims"], bytes(row["ids"]), bytes(row["data"])))
+    shared = spark.sparkContext.broadcast({dims: tuple(map(np.concatenate, zip(*own, strict=True))) for dims, own in sample.items()})
+    bounded = asked.mapInArrow(lambda batches: _first_bounds(batches, shared.value, k), _BLOCKS + ", least binary")
+    place = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    every = blocks.select(F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int").alias("place"), F.lit(0).alias("kind"), "dims", "ids", "data", F.lit(None).cast("binary").alias("least"))
+    every = every.unionByName(bounded.select(place.alias("place"), F.lit(1).alias("kind"), "dims", "ids", "data", "least"))
+    met = every.repartition(n, "place").sortWithinPartitions("place", "kind")
+    found = met.mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _searcher(shared, k: int):
-    return lambda batches: _search(batches, shared.value, k)
