@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SOLID, Words, checkpoint, mix, text_slices, without_ids
-from .graph import components
+from .graph import components, tree_edges
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 16, 8, 0.995
@@ -168,10 +168,7 @@ def _least_agreeing(keep: float) -> int:
 
 
 def _meet(batches: Iterator[pa.RecordBatch], keep: float) -> Iterator[pa.RecordBatch]:
-    """Rows by (node, i, j): edges along each set of rows that are tied in this task, and how many pairs agreed in how many values.
-
-    Edges form chains, not stars, so no row has many.
-    """
+    """Rows by (node, i, j): edges within each set of rows that are tied in this task, and how many pairs agreed in how many values."""
     sets, last, counts = _Sets(), None, np.zeros(TREES * DEPTH + 1, np.int64)
     for batch in batches:
         rows = (
@@ -190,9 +187,7 @@ def _meet(batches: Iterator[pa.RecordBatch], keep: float) -> Iterator[pa.RecordB
         _meet_in_nodes(sets, counts, keep, *last)
     nodes = np.array(list(sets.up), np.int64)
     roots = np.array([sets.find(x) for x in sets.up], np.int64)
-    order = np.lexsort((nodes, roots))
-    same = np.flatnonzero(roots[order[1:]] == roots[order[:-1]])
-    src, dst = nodes[order[same]], nodes[order[same + 1]]
+    src, dst = tree_edges(nodes, roots)
     for at in range(0, len(src), 10_000):
         n = len(src[at : at + 10_000])
         yield pa.RecordBatch.from_pydict({"src": pa.array(src[at : at + n]), "dst": pa.array(dst[at : at + n]), "agreeing": pa.nulls(n, pa.int32()), "pairs": pa.nulls(n, pa.int64())})
@@ -329,8 +324,9 @@ def _verify(group: pa.Table, threshold: float) -> pa.Table:
                 for k in np.flatnonzero(own_linked.any(axis=1)):
                     links[own[k]["text_id"]] = [int(own_linked[k].sum()), int(copies[1 - side][own_linked[k]].sum())]
         _tie(found, linked, [r["text_id"] for r in left], [r["text_id"] for r in right])
-    ids = sorted(links, key=lambda x: (found.find(x), x))
-    after = [y if found.find(x) == found.find(y) else x for x, y in zip(ids, [*ids[1:], *ids[-1:]], strict=True)]
+    ids = sorted(links)
+    above = dict(zip(*(x.tolist() for x in tree_edges(np.array(ids, np.int64), np.array([found.find(x) for x in ids], np.int64))), strict=True))
+    after = [above.get(x, x) for x in ids]
     return pa.table({"src": pa.array(ids, pa.int64()), "dst": pa.array(after, pa.int64()), "texts": pa.array([links[x][0] for x in ids], pa.int64()), "documents": pa.array([links[x][1] for x in ids], pa.int64())})
 
 
