@@ -304,7 +304,8 @@ def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
                 ws[20 + j * 40] = f"edit{k}x{j}"
             rows.append((2 * k + 1, " ".join(ws)))
         signed = docs(spark, rows).select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(jaccard_join._sign, "doc_id long, h long, digest binary, n_shingles long, signature binary")
-        return jaccard_join.candidate_ties(signed.select(F.col("doc_id").alias("text_id"), "signature"))[1]
+        forest = jaccard_join._forest(signed.select(F.col("doc_id").alias("text_id"), "signature"), jaccard_join.shortest_prefix(), jaccard_join.KEEP, jaccard_join.THRESHOLD, jaccard_join.RECALL)
+        return forest.agg(F.min("prefix")).first()[0]
 
     assert depth(1) == jaccard_join.DEPTH and depth(4) < jaccard_join.DEPTH
 

@@ -211,14 +211,18 @@ def spaced(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def arrow_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and offsets of a string column; nulls are empty texts."""
+    """UTF-8 bytes, where they are, and offsets of a string column; nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    offsets = np.frombuffer(offsets, width)[column.offset : column.offset + len(column) + 1]
+    if column.null_count and np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        return arrow_text(column.fill_null(""))  # nulls that hold bytes
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    return data[offsets[0] : offsets[-1]], offsets.astype(np.int64) - int(offsets[0])
 
 
 def text_slices(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

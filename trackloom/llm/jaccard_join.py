@@ -2,14 +2,14 @@
 
 1. Every text gets a digest and a MinHash signature of its shingles of five words.
    Equal texts form one class at once; only its first document goes on.
-2. Signatures are cut into trees.  A node holds the rows that share a tree and a
-   prefix; all rows of a node meet.  Prefixes begin whole and are shortened, one value a
-   round, until the estimated recall reaches the target: pairs that were found, weighted
-   by how likely the trees show a pair of their similarity, tell how many there are.
-   Where none was found, prefixes end as short as a pair at the threshold needs.
-   Nodes beyond a part's size are cut into parts, and pairs of parts meet in places of
-   their own.  Pairs whose sketches are far below the threshold are left out; the
-   others tie rows into candidate groups.
+2. Signatures are cut into trees, and a tree's rows are sorted by their paths.  Rows
+   that share a whole path meet first; matched prefixes are shortened, one value at a
+   time, until the estimated recall of those at hand reaches the target: pairs that were
+   found, weighted by how likely the trees show a pair of their similarity, tell how
+   many there are.  Where none was found, prefixes end as short as a pair at the
+   threshold needs.  All rows that share a prefix meet; nodes beyond a part's size are
+   cut into parts, and pairs of parts meet in places of their own.  Pairs whose sketches
+   are far below the threshold are left out; the others tie rows into candidate groups.
 3. Each candidate group is verified exactly: all pairs of its shingle sets are
    compared, by matrix products over shared shingles.  Large groups are cut into parts
    of a bounded number of texts and of bytes, and pairs of parts are compared in tasks
@@ -39,6 +39,8 @@ KEEP = 0.6
 #: Rows in a part at most, bytes of their shingles, and rows that are broadcast at most.
 PART, PART_BYTES, BROADCAST_ROWS = 2048, 64 << 20, 200_000
 _SLAB = 4096
+#: Rows of whole nodes from which on a task lets them meet.
+_TOGETHER = 100_000
 #: Rows of a node up to which pairs are taken by their distance in the batch, not as a matrix.
 _FEW = 32
 
@@ -68,8 +70,8 @@ def estimated_recall(pairs: dict[int, int], depth: int, threshold: float = THRES
 
 
 def _parts(n: Column) -> Column:
-    """Parts of n rows: a part holds an eighth of them, but no fewer than PART / 8 and no more than PART."""
-    return F.ceil(n / F.greatest(F.lit(max(PART // 8, 1)), F.least(F.lit(PART), n / 8))).cast("int")
+    """Parts of n rows: a part holds half of them, but no fewer than PART / 2 and no more than PART."""
+    return F.ceil(n / F.greatest(F.lit(max(PART // 2, 1)), F.least(F.lit(PART), n / 2))).cast("int")
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -124,14 +126,15 @@ def _nodes(signatures: np.ndarray, tree: int, shortest: int) -> np.ndarray:
 
 
 def _plant(batches: Iterator[pa.RecordBatch], shortest: int, whole: bool) -> Iterator[pa.RecordBatch]:
-    """A row per text and tree: node and, if whole, text and sketch."""
+    """A row per text and tree: node and, if whole, the rest of its path, text and sketch."""
     for every in batches:
         for at in range(0, every.num_rows, 2000):
             batch = every.slice(at, 2000)
             signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, TREES * DEPTH)
             rest = {"text_id": batch.column("text_id"), "sketch": pa.array([x.tobytes() for x in _sketches(signatures)], pa.binary())} if whole else {}
             for tree in range(TREES):
-                yield pa.RecordBatch.from_pydict({"node": pa.array(_nodes(signatures, tree, shortest)), **rest})
+                path = {"path": pa.array([x.tobytes() for x in signatures[:, tree * DEPTH + shortest : (tree + 1) * DEPTH]], pa.binary())} if whole else {}
+                yield pa.RecordBatch.from_pydict({"node": pa.array(_nodes(signatures, tree, shortest)), **path, **rest})
 
 
 class _Sets:
@@ -167,49 +170,59 @@ def _least_agreeing(keep: float) -> int:
     return int(np.ceil((keep * 0.75 + 0.25) * TREES * DEPTH - 1e-9))
 
 
-def _meet(batches: Iterator[pa.RecordBatch], keep: float) -> Iterator[pa.RecordBatch]:
-    """Rows by (node, i, j): edges within each set of rows that are tied in this task, and how many pairs agreed in how many values."""
-    sets, last, counts = _Sets(), None, np.zeros(TREES * DEPTH + 1, np.int64)
+def _meet(batches: Iterator[pa.RecordBatch], shortest: int, keep: float, threshold: float, recall: float) -> Iterator[pa.RecordBatch]:
+    """Rows by (node, i, j, path): edges within each set of rows that are tied in this task, and the prefix at which it ended."""
+    sets, last, ends_at = _Sets(), None, []
     for batch in batches:
-        rows = (
-            np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("node", "i", "j")], axis=1),
-            batch.column("part").to_numpy(),
-            batch.column("text_id").to_numpy(),
-            np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1),
-        )
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("node", "i", "j")], axis=1)
+        path = np.frombuffer(b"".join(batch.column("path").to_pylist()), np.uint16).reshape(batch.num_rows, DEPTH - shortest)
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        rows = (key, path, batch.column("part").to_numpy(), batch.column("text_id").to_numpy(), sketch)
         if last is not None:
             rows = tuple(np.concatenate(x) for x in zip(last, rows, strict=True))
         edges = np.flatnonzero((rows[0][1:] != rows[0][:-1]).any(axis=1)) + 1
-        end = edges[-1] if len(edges) else 0  # the last node may go on in the next batch
-        _meet_in_nodes(sets, counts, keep, *(x[:end] for x in rows))
+        end = edges[-1] if len(edges) and len(rows[0]) >= _TOGETHER else 0  # the last node may go on in the next batch
+        if end:
+            ends_at.append(_shortened(sets, shortest, keep, threshold, recall, *(x[:end] for x in rows)))
         last = tuple(x[end:] for x in rows)
-    if last is not None:
-        _meet_in_nodes(sets, counts, keep, *last)
+    if last is not None and len(last[0]):
+        ends_at.append(_shortened(sets, shortest, keep, threshold, recall, *last))
     nodes = np.array(list(sets.up), np.int64)
-    roots = np.array([sets.find(x) for x in sets.up], np.int64)
-    src, dst = tree_edges(nodes, roots)
+    src, dst = tree_edges(nodes, np.array([sets.find(x) for x in sets.up], np.int64))
     for at in range(0, len(src), 10_000):
-        n = len(src[at : at + 10_000])
-        yield pa.RecordBatch.from_pydict({"src": pa.array(src[at : at + n]), "dst": pa.array(dst[at : at + n]), "agreeing": pa.nulls(n, pa.int32()), "pairs": pa.nulls(n, pa.int64())})
-    seen = np.flatnonzero(counts)
-    if len(seen):
-        yield pa.RecordBatch.from_pydict({"src": pa.nulls(len(seen), pa.int64()), "dst": pa.nulls(len(seen), pa.int64()), "agreeing": pa.array(seen, pa.int32()), "pairs": pa.array(counts[seen])})
+        yield pa.RecordBatch.from_pydict({"src": pa.array(src[at : at + 10_000]), "dst": pa.array(dst[at : at + 10_000]), "prefix": pa.array(np.full(len(src[at : at + 10_000]), min(ends_at)), pa.int32())})
+
+
+def _shortened(sets: _Sets, shortest: int, keep: float, threshold: float, recall: float, key: np.ndarray, path: np.ndarray, part: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> int:
+    """Let whole nodes' rows meet by falling prefix; the length of prefix at which the recall was reached."""
+    counts = np.zeros(TREES * DEPTH + 1, np.int64)
+    # The number of values of the path, beyond the node's own prefix, that a row shares with the row before it.
+    same = (key[1:] == key[:-1]).all(axis=1)
+    alike = np.cumprod(path[1:] == path[:-1], axis=1).sum(axis=1) if path.shape[1] else np.zeros(len(same), np.int64)
+    shared = np.where(same, alike, -1)
+    inner = np.arange(len(key))  # rows of one inner group have met
+    for depth in range(DEPTH, shortest - 1, -1):
+        outer = np.concatenate([[0], np.cumsum(shared < depth - shortest)]) if len(key) else inner
+        _meet_in_groups(sets, counts, keep, outer, inner, key, part, ids, sketch)
+        inner = outer
+        if estimated_recall(dict(enumerate(counts.tolist())), depth, threshold) >= recall:
+            break
+    return depth
 
 
-def _meet_in_nodes(sets: _Sets, counts: np.ndarray, keep: float, key: np.ndarray, part: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> None:
-    """All pairs of whole nodes, or of pairs of their parts."""
+def _meet_in_groups(sets: _Sets, counts: np.ndarray, keep: float, group: np.ndarray, met: np.ndarray, key: np.ndarray, part: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> None:
+    """All pairs of rows of a group that have not met; where a node is cut into parts, of rows of its two parts."""
     least = _least_agreeing(keep)
-    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))) if len(key) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(key)) if len(key) else starts
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(group)) if len(group) else starts
     few = ends - starts <= _FEW
-    left = np.repeat(np.where(few, ends, 0), ends - starts) - np.arange(len(key))  # rows of the node from each one on
-    # A row counts only with rows of another part, where its node is cut in two: parts i and j also meet within themselves.
-    whole = key[:, 1] == key[:, 2]
+    left = np.repeat(np.where(few, ends, 0), ends - starts) - np.arange(len(group))  # rows of the group from each one on
+    whole = key[:, 1] == key[:, 2]  # parts i and j also meet within themselves, elsewhere
     for gap in range(1, _FEW):
         near = np.flatnonzero(left > gap)
         if not len(near):
             break
-        near = near[whole[near] | (part[near] != part[near + gap])]
+        near = near[(met[near] != met[near + gap]) & (whole[near] | (part[near] != part[near + gap]))]
         agreeing = _agreeing(sketch[near], sketch[near + gap])
         near, agreeing = near[agreeing >= least], agreeing[agreeing >= least]
         counts += np.bincount(agreeing, minlength=len(counts))
@@ -219,45 +232,33 @@ def _meet_in_nodes(sets: _Sets, counts: np.ndarray, keep: float, key: np.ndarray
         i, j = key[start, 1:]
         own = start + np.flatnonzero(part[start:end] == i)
         other = own if i == j else start + np.flatnonzero(part[start:end] == j)
-        if len(own) and len(other):
+        if len(own) and len(other) and (met[own[0]] != met[own[-1]] or i != j):
             alike = np.zeros((len(own), len(other)), bool)
             for k in range(0, len(own), 256):
                 agreeing = _agreeing(sketch[own[k : k + 256], None], sketch[None, other])
-                if i == j:
-                    agreeing[np.arange(len(agreeing)), k + np.arange(len(agreeing))] = 0
+                agreeing[met[own[k : k + 256], None] == met[None, other]] = 0
                 alike[k : k + 256] = agreeing >= least
                 seen = np.bincount(agreeing[alike[k : k + 256]], minlength=len(counts))
                 counts += seen if i != j else seen // 2 + seen % 2
             _tie(sets, alike, ids[own].tolist(), ids[other].tolist())
 
 
-def _meetings(texts: DataFrame, depth: int, keep: float) -> DataFrame:
-    """Edges that tie texts(text_id, signature) into candidate groups, and counts of pairs by agreeing values."""
+def _forest(texts: DataFrame, shortest: int, keep: float, threshold: float, recall: float) -> DataFrame:
+    """Edges (src, dst, prefix) that tie texts(text_id, signature) into candidate groups; rows are dealt by their shortest prefix, once."""
     signatures = texts.select("text_id", "signature")
-    sizes = signatures.mapInArrow(lambda batches: _plant(batches, depth, False), "node long").groupBy("node").agg(F.count("*").alias("n"))
+    sizes = signatures.mapInArrow(lambda batches: _plant(batches, shortest, False), "node long").groupBy("node").agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("parts", _parts(F.col("n"))).where("parts > 1").select(F.col("node").alias("large"), "parts")
-    forest = signatures.mapInArrow(lambda batches: _plant(batches, depth, True), "node long, text_id long, sketch binary")
+    forest = signatures.mapInArrow(lambda batches: _plant(batches, shortest, True), "node long, path binary, text_id long, sketch binary")
     forest = forest.join(sizes, F.col("node") == F.col("large"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     forest = forest.withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int"))
     forest = forest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    forest = forest.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "text_id", "sketch")
-    forest = forest.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return forest.mapInArrow(lambda batches: _meet(batches, keep), "src long, dst long, agreeing int, pairs long")
-
-
-def _ties(texts: DataFrame, depth: int, keep: float) -> DataFrame:
-    return _meetings(texts, depth, keep).where("src is not null").select("src", "dst")
+    forest = forest.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "path", "part", "text_id", "sketch")
+    forest = forest.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "path")
+    return forest.mapInArrow(lambda batches: _meet(batches, shortest, keep, threshold, recall), "src long, dst long, prefix int")
 
 
-def candidate_ties(texts: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, int]:
-    """Edges between texts(text_id, signature) that may be similar, and the length of prefix at which the search ended."""
-    shortest, depth = shortest_prefix(threshold, recall), DEPTH
-    while True:
-        met = checkpoint(_meetings(texts, depth, KEEP - (THRESHOLD - threshold)))
-        pairs = met.where("pairs is not null").groupBy("agreeing").agg(F.sum("pairs").alias("pairs")).collect()  # TREES * DEPTH rows at most
-        if depth <= shortest or estimated_recall({r.agreeing: r.pairs for r in pairs}, depth, threshold) >= recall:
-            return met.where("src is not null").select("src", "dst"), depth
-        depth -= 1
+def _ties(texts: DataFrame, shortest: int, keep: float, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    return _forest(texts, shortest, keep, threshold, recall).select("src", "dst")
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,7 +377,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     texts = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("named"), F.count("*").alias("copies"), *first)
     texts = checkpoint(texts.withColumn("text_id", F.monotonically_increasing_id()))
 
-    groups = components(candidate_ties(texts, threshold, recall)[0])
+    groups = components(_ties(texts, shortest_prefix(threshold, recall), KEEP - (THRESHOLD - threshold), threshold, recall))
     members = checkpoint(groups.join(texts.select(F.col("text_id").alias("node"), "digest", "h", "named", "copies", "n_shingles"), "node"))
     sizes = members.groupBy(F.col("root").alias("of")).agg(F.greatest(_parts(F.count("*")), F.ceil(8 * F.sum("n_shingles") / F.lit(PART_BYTES)).cast("int")).alias("parts"))
     members = members.join(_few(checkpoint(sizes.where("parts > 1"))), F.col("root") == F.col("of"), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))

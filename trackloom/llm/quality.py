@@ -53,6 +53,7 @@ PENALTY = {"text_view": {"regParam": 2e-4, "elasticNetParam": 0.0}, "page_view":
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[0x30:0x3A], _SHAPE[0x41:0x5B], _SHAPE[0x61:0x7B], _SHAPE[0x80:] = 0x30, 0x41, 0x61, 0x61
 _RUNS = np.zeros(256, bool)
+_NEAR_BITS = 16
 _RUNS[[0x30, 0x41, 0x61]] = True
 
 
@@ -60,25 +61,34 @@ def _rows_of(words: Words) -> np.ndarray:
     return np.repeat(np.arange(len(words.offsets) - 1), words.counts())
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray]:
-    """(row, hash) of all lower-cased words, of their beginnings, and of all words' shapes; the solid words and their hashes."""
-    low = Words(LOWER[data], offsets, NORMAL)
+def _beginnings(low: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of distinct beginnings of words, and of those that come often."""
     long = np.flatnonzero(low.ends - low.starts >= BEGINNING)
     begun, begin = _rows_of(low)[long], mix(span_hashes(low.data, low.starts[long], low.starts[long] + BEGINNING) + np.uint64(2))
     order = np.lexsort((begin, begun))
     begun, begin = begun[order], begin[order]
     first = np.flatnonzero(np.append(True, (begun[1:] != begun[:-1]) | (begin[1:] != begin[:-1]))) if len(begin) else np.empty(0, np.int64)
     n = np.diff(np.append(first, len(begin)))
-    often = [(begun[first[n >= k]], mix(begin[first[n >= k]] + np.uint64(k))) for k in REPEATS]
-    solid = Words(data, offsets, SOLID)
+    yield begun[first], begin[first]
+    for k in REPEATS:
+        yield begun[first[n >= k]], mix(begin[first[n >= k]] + np.uint64(k))
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray, solid: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash), a kind at a time: of all lower-cased words, of their beginnings, and of all words' shapes."""
+    low = Words(LOWER[data], offsets, NORMAL)
+    yield _rows_of(low), low.hashes()
+    yield from _beginnings(low)
+    del low
     shape = _SHAPE[data]
     kept = np.ones(len(data), bool)
     kept[1:] = (shape[1:] != shape[:-1]) | ~_RUNS[shape[1:]]
     kept[solid.starts] = True
-    place = np.concatenate([[0], np.cumsum(kept)])
-    shapes = mix(span_hashes(shape[kept], place[solid.starts], place[solid.ends]) + np.uint64(1))
-    rows = [_rows_of(low), _rows_of(solid), begun[first], *(r for r, _ in often)]
-    return np.concatenate(rows), np.concatenate([low.hashes(), shapes, begin[first], *(h for _, h in often)]), solid, solid.hashes()
+    place = np.zeros(len(data) + 1, np.int64 if len(data) >> 31 else np.int32)
+    np.cumsum(kept, out=place[1:])
+    starts, ends = place[solid.starts].astype(np.int64), place[solid.ends].astype(np.int64)
+    del place
+    yield _rows_of(solid), mix(span_hashes(shape[kept], starts, ends) + np.uint64(1))
 
 
 def _distinct(rows: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -93,7 +103,7 @@ def _layout(data: np.ndarray, offsets: np.ndarray, solid: Words, hashes: np.ndar
     """Length, lines, shares of upper case, digits and marks, of distinct words and lines, and the words' mean length."""
     n, size = len(offsets) - 1, np.diff(offsets)
     whole = np.maximum(size, 1)
-    count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    count = lambda flags: np.array([np.count_nonzero(flags[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
     line_kind = np.ones(256, bool)
     line_kind[10] = False
     lines = Words(data, offsets, line_kind)
@@ -119,9 +129,12 @@ def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document and distinct token."""
     for batch in batches:
         for row, end, data, offsets in text_slices(batch.column("text")):
-            rows, hashes, _, _ = _tokens(data, offsets)
-            pairs = np.unique(np.rec.fromarrays([rows, hashes]))
-            yield pa.RecordBatch.from_arrays([batch.column("good").slice(row, end - row).take(pa.array(pairs.f0)), pa.array(pairs.f1.view(np.int64))], ["good", "token"])
+            for rows, hashes in _tokens(data, offsets, Words(data, offsets, SOLID)):
+                order = np.lexsort((hashes, rows))
+                rows, hashes = rows[order], hashes[order]
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("good").slice(row, end - row).take(pa.array(rows[fresh])), pa.array(hashes[fresh].view(np.int64))], ["good", "token"])
 
 
 @dataclass
@@ -130,25 +143,31 @@ class _Telling:
 
     hashes: np.ndarray
 
-    def present(self, rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __post_init__(self):
+        self.near = np.zeros(1 << _NEAR_BITS, bool)
+        self.near[self.hashes >> np.uint64(64 - _NEAR_BITS)] = True
+
+    def present(self, tokens: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """(row, place in the vocabulary) of the words that occur, each once a row."""
-        if not len(self.hashes):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = np.flatnonzero(self.hashes[at] == hashes)
-        pairs = np.unique(rows[hit] * len(self.hashes) + at[hit])
-        return pairs // len(self.hashes), pairs % len(self.hashes)
+        pairs, n = [np.empty(0, np.int64)], len(self.hashes)
+        for rows, hashes in tokens if n else ():
+            maybe = np.flatnonzero(self.near[hashes >> np.uint64(64 - _NEAR_BITS)])
+            at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), n - 1)
+            hit = self.hashes[at] == hashes[maybe]
+            pairs.append(np.unique(rows[maybe[hit]] * n + at[hit]))
+        pairs = np.unique(np.concatenate(pairs))
+        return pairs // max(n, 1), pairs % max(n, 1)
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch], telling: _Telling) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, end, data, offsets in text_slices(batch.column("text")):
-            rows, hashes, solid, own = _tokens(data, offsets)
-            at, word = telling.present(rows, hashes)
+            solid = Words(data, offsets, SOLID)
+            at, word = telling.present(_tokens(data, offsets, solid))
             cut = np.searchsorted(at, np.arange(end - row + 1))
             columns = {c: batch.column(c).slice(row, end - row) for c in ("doc_id", "good", "meta")}
             columns["words"] = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(word.astype(str), pa.string()))
-            columns["layout"] = pa.array(_layout(data, offsets, solid, own).tolist(), pa.list_(pa.float64()))
+            columns["layout"] = pa.array(_layout(data, offsets, solid, solid.hashes()).tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -166,11 +185,11 @@ def _log_odds(batches: Iterator[pa.RecordBatch], telling: _Telling, views: dict[
     for batch in batches:
         for row, end, data, offsets in text_slices(batch.column("text")):
             n = end - row
-            rows, hashes, solid, own = _tokens(data, offsets)
-            at, word = telling.present(rows, hashes)
+            solid = Words(data, offsets, SOLID)
+            at, word = telling.present(_tokens(data, offsets, solid))
             by_text = text.offset + np.bincount(at, text.weights[word], n)
             meta = np.array(batch.column("meta").slice(row, n).to_pylist(), np.int64).reshape(n, 2)
-            by_page = page.offset + page.weights[meta].sum(axis=1) + _layout(data, offsets, solid, own) @ page.weights[META_BUCKETS:]
+            by_page = page.offset + page.weights[meta].sum(axis=1) + _layout(data, offsets, solid, solid.hashes()) @ page.weights[META_BUCKETS:]
             columns = {c: batch.column(c).slice(row, n) for c in carried}
             columns |= {f"{v}_logit": pa.array(np.clip(x, -30, 30)) for v, x in zip(VIEWS, (by_text, by_page), strict=True)}
             yield pa.RecordBatch.from_pydict(columns)
@@ -253,9 +272,11 @@ def _telling(train: DataFrame) -> _Telling:
 def _features(rows: DataFrame, telling: _Telling) -> DataFrame:
     """rows(doc_id, text, good, meta) of a bounded sample, with both views as vectors instead of the text."""
     made = rows.mapInArrow(lambda batches: _sample_features(batches, telling), "doc_id long, good double, meta array<int>, words array<string>, layout array<double>")
-    vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(max(len(telling.hashes), 1))], inputCol="words", outputCol="text_view", minTF=1.0)
-    hot = F.transform(F.sequence(F.lit(0), F.lit(META_BUCKETS - 1)), lambda k: F.array_contains("meta", k).cast("double"))
-    return vectors.setBinary(True).transform(made).select("doc_id", "good", "text_view", array_to_vector(F.concat(hot, "layout")).alias("page_view"), "meta")
+    occur = lambda n, c, out: CountVectorizerModel.from_vocabulary([str(k) for k in range(max(n, 1))], inputCol=c, outputCol=out).setBinary(True)
+    made = made.withColumn("places", F.col("meta").cast("array<string>")).withColumn("layout", array_to_vector("layout"))
+    made = occur(META_BUCKETS, "places", "meta_view").transform(occur(len(telling.hashes), "words", "text_view").transform(made))
+    made = VectorAssembler(inputCols=["meta_view", "layout"], outputCol="page_view").transform(made)
+    return made.select("doc_id", "good", "text_view", "page_view", "meta")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | ConstantModel:
