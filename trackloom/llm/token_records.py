@@ -35,9 +35,9 @@ from .common import checkpoint_dir, mix, text_slices
 MASK = 0xA282EAD8
 HEAD, INNER = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Bytes of frames after which a file ends; a reader takes a file at a time.  One larger frame is a file by itself.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 4 << 20
 #: Slots of an encoder's table of pieces, half of which are filled at most, and ids that it keeps.
-SLOT_BITS = 21
+SLOT_BITS = 20
 SLOTS, MEMO_IDS = 1 << SLOT_BITS, 6_000_000
 #: Text that is encoded at once.
 ENCODED_BYTES = 1 << 19
