@@ -236,3 +236,34 @@ def test_staged_videos_are_the_first_by_id(spark):
 def test_path_conversions(spark):
     row = spark.range(1).select(*[C.relative_path(F.lit(p), "lib") for p in ("lib", "lib/a/b", "library/a")], C.full_path(F.lit(""), "lib"), C.full_path(F.lit("a"), "lib")).first()
     assert tuple(row) == ("", "a/b", None, "lib", "lib/a")
+
+
+def test_single_row_or_error(spark):
+    rows = spark.range(3)
+    assert S.single(rows.where("id = 1")).first().id == 1
+    for wrong in (rows, rows.where("id = 9")):
+        with pytest.raises(ValueError):
+            S.single(wrong)
+
+
+def test_draws_do_not_follow_partitions(spark):
+    from trackloom.operators import evaluate as E
+    from trackloom.operators import metrics as M
+    from trackloom.operators.config import Config
+
+    anchor = {k: float(getattr(Config(), k)) for k in E.BOUNDS}
+    drawn = sorted(map(tuple, E.draw_parameters(spark, anchor, 40, seed=3).collect()))
+    assert drawn == sorted(map(tuple, E.draw_parameters(spark, anchor, 40, seed=3).repartition(7).collect()))
+    rows = spark.range(2000)
+    some = sorted(r.id for r in M.sample(rows, 0.25, 5).collect())
+    assert some == sorted(r.id for r in M.sample(rows.repartition(7), 0.25, 5).collect()) and 400 < len(some) < 600
+
+
+def test_deep_test_results_and_odd_prefixes(spark):
+    node = {"name": "leaf", "status": "Passed"}
+    for k in range(12):
+        node = {"name": f"n{k}", "children": json.dumps([node])}
+    tree = spark.createDataFrame([(node["name"], None, node["children"])], "name string, status string, children string")
+    assert readers.flatten_results(tree).first().name == "/".join([f"n{k}" for k in range(11, -1, -1)] + ["leaf"])
+    named = spark.createDataFrame([("A+ (7",), ("A+ (9",), ("AA (50",)], "name string")
+    assert named.agg(T.next_number(F.col("name"), "A+ (").alias("n")).first().n == 10

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Characters that a search term loses, names no folder may have, and characters no folder name may hold.
 SEARCH_STRIPPED = ',(){}"\\'
+MOST_CHARACTERS, UNNAMED = 255, "New Folder"
+#: White space and line breaks, also those beyond ASCII, as a set of a pattern.
+BLANK = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"{x}{k}" for x in ("COM", "LPT") for k in range(1, 10))]
 FORBIDDEN = r'[/\\:*?"<>|]'
 MEBIBYTE, GIBIBYTE = 1 << 20, 1 << 30
@@ -67,12 +72,14 @@ def in_subtree(path: Column, folder: str) -> Column:
 
 
 def valid_folder_name(name: Column) -> Column:
-    """1 to 255 characters, none forbidden, not reserved, no dot or space at an end."""
-    return F.length(name).between(1, 255) & ~name.rlike(FORBIDDEN) & ~F.upper(name).isin(RESERVED_NAMES) & ~name.rlike(r"^[. ]|[. ]$")
+    """1 to 255 characters, none forbidden, not reserved, no dot, white space or line break at an end."""
+    return F.length(name).between(1, MOST_CHARACTERS) & ~name.rlike(FORBIDDEN) & ~F.upper(name).isin(RESERVED_NAMES) & ~name.rlike(rf"\A[.{BLANK}]|[.{BLANK}]\z")
 
 
 def sanitized_folder_name(name: Column) -> Column:
-    return F.trim(F.regexp_replace(name, FORBIDDEN, "_"))
+    """Without white space and line breaks at its ends, forbidden characters replaced, cut to length; never empty."""
+    cut = F.substring(F.regexp_replace(F.regexp_replace(name, rf"\A[{BLANK}]+|[{BLANK}]+\z", ""), FORBIDDEN, "_"), 1, MOST_CHARACTERS)
+    return F.when(cut == "", F.lit(UNNAMED)).otherwise(cut)
 
 
 def human_bytes(size: Column) -> Column:
@@ -87,12 +94,12 @@ def compact_count(n: Column) -> Column:
 
 def next_number(names: Column, prefix: str) -> Column:
     """Aggregate: one more than the largest number right after the prefix; 1 if there is none."""
-    found = F.regexp_extract(names, f"^{prefix}([0-9]+)", 1)
+    found = F.regexp_extract(names, f"^{re.escape(prefix)}([0-9]+)", 1)
     return F.coalesce(F.max(F.when(found != "", found.cast("long"))), F.lit(0)) + 1
 
 
 def numbered_name(prefix: str, number: Column, rest: Column) -> Column:
-    return F.format_string(f"{prefix}%02d %s", number, rest)
+    return F.format_string(prefix.replace("%", "%%") + "%02d %s", number, rest)
 
 
 def even_times(start: Column, end: Column, n: int) -> Column:

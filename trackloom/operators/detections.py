@@ -116,3 +116,6 @@ def median_box(detections: DataFrame, key: str = "video_id") -> DataFrame:
     return detections.groupBy(key).agg(*[F.median(c).alias(c) for c in ("x", "y", "w", "h")], F.avg("conf").alias("conf"))
 
 
+def nearest(boxes: Column, x: Column, y: Column) -> Column:
+    """Of a frame's boxes, structs of det_idx, x and y, the one nearest to a point; ties by det_idx."""
+    return F.array_min(F.transform(boxes, lambda b: F.struct(F.hypot(b["x"] - x, b["y"] - y).alias("distance"), b["det_idx"].alias("det_idx"), b["x"].alias("x"), b["y"].alias("y"))))

@@ -77,11 +77,13 @@ def replay(evidence: DataFrame, config: Config, padded: bool = True, duration: D
 def draw_parameters(spark: SparkSession, anchor: dict[str, float], n: int, seed: int, around: dict[str, float] | None = None, spread: float = 0.08, first_id: int = 0) -> DataFrame:
     """The anchor and n drawn parameter rows: uniform in the bounds, or within `spread` of the spans around one."""
     rows = spark.range(first_id, first_id + n).withColumnRenamed("id", "param_id")
+    # Drawn from the row's own number, so that the draw does not follow partitions.
+    draw = lambda k: (F.shiftrightunsigned(F.xxhash64("param_id", F.lit(seed), F.lit(k)), 11).cast("double") + 0.5) / float(1 << 53)
     for k, (name, (low, high)) in enumerate(BOUNDS.items()):
         if around is None:
-            v = F.lit(low) + F.rand(seed + k) * (high - low)
+            v = F.lit(low) + draw(k) * (high - low)
         else:
-            v = F.greatest(F.lit(low), F.least(F.lit(high), F.lit(around[name]) + (F.rand(seed + k) * 2 - 1) * (high - low) * spread))
+            v = F.greatest(F.lit(low), F.least(F.lit(high), F.lit(around[name]) + (draw(k) * 2 - 1) * (high - low) * spread))
         rows = rows.withColumn(name, v)
     if around is not None:
         return rows

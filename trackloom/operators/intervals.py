@@ -130,3 +130,11 @@ def trail(points: DataFrame, probes: DataFrame, key: str, probe_id: str, history
     p = probes.select(F.col(key).alias("p_key"), probe_id, "at")
     near = points.join(p, (F.col(key) == F.col("p_key")) & (F.col("t") >= F.col("at") - history) & (F.col("t") <= F.col("at") + ahead)).drop("p_key")
     return near.withColumn("place", F.row_number().over(Window.partitionBy(probe_id, "track_id").orderBy(F.desc("t")))).where(F.col("place") <= n)
+
+
+def window_with_straddling(points: DataFrame, probes: DataFrame, key: str, probe_id: str, span: float) -> DataFrame:
+    """points(key, t, ...) from `span` before each of probes(probe_id, key, at) up to it, and the one that is under way as that begins."""
+    began = probes.withColumn("t", F.col("at") - span)
+    since = as_of(began, points.withColumn("since", F.col("t")), key, "t", "since")
+    p = since.select(F.col(key).alias("p_key"), probe_id, "at", F.coalesce("since", F.col("at") - span).alias("since"))
+    return points.join(p, (F.col(key) == F.col("p_key")) & (F.col("t") >= F.col("since")) & (F.col("t") <= F.col("at"))).drop("p_key")

@@ -254,4 +254,17 @@ def around(rows: DataFrame, key: str, place: str, current: DataFrame, reach: int
 
 
 def sample(rows: DataFrame, rate: float, seed: int) -> DataFrame:
-    return rows.where(F.rand(seed) < rate)
+    """About `rate` of the rows, drawn by their own values, so that a rerun draws the same; equal rows go together."""
+    return rows.where(F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+
+
+def tally(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys and n, the number of their rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def strip(evidence: DataFrame, key: str) -> DataFrame:
+    """evidence(key, t, has_ball, is_projectile) with its colour, and how long until the next frame; 0 for the last."""
+    colour = F.when(F.col("is_projectile"), "projectile").when(F.col("has_ball"), "vetoed").otherwise("none")
+    after = F.lead("t").over(Window.partitionBy(key).orderBy("t"))
+    return evidence.withColumns({"colour": colour, "width": F.coalesce(after, F.col("t")) - F.col("t")})

@@ -61,6 +61,20 @@ def people(follows: DataFrame, profiles: DataFrame, user: str | int, followers:
     return profiles.join(ids, "id", "left_semi").orderBy("id")
 
 
+def single(rows: DataFrame) -> DataFrame:
+    """rows, which must be exactly one."""
+    n = rows.limit(2).count()
+    if n != 1:
+        raise ValueError("no row where one is wanted" if n == 0 else "several rows where one is wanted")
+    return rows
+
+
+def touch(rows: DataFrame, changed: DataFrame, key: str, now: Column) -> DataFrame:
+    """rows(key, updated_at, ...) with `updated_at` set to now where changed(key) names them."""
+    hit = changed.select(key).distinct().withColumn("is_changed", F.lit(True))
+    return rows.join(hit, key, "left").withColumn("updated_at", F.when(F.col("is_changed"), now).otherwise(F.col("updated_at"))).drop("is_changed")
+
+
 def is_following(ids: DataFrame, follows: DataFrame, user: str | int) -> DataFrame:
     """ids(id) with whether the user follows each."""
     mine = followed_by(follows, user).distinct().withColumn("hit", F.lit(True))

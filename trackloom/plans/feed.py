@@ -63,15 +63,15 @@ def follower_list(spark, sf):
     return S.people(follows(spark, sf), profiles(spark, sf), 20, followers=True).select("id", "username")
 
 
-@query(f"WITH {FOLLOWS_SQL} SELECT c_custkey AS id, c_custkey IN (SELECT following_id FROM follows WHERE follower_id = 5) AS is_following FROM customer WHERE c_custkey < 100")
+@query(f"WITH {FOLLOWS_SQL} SELECT c_custkey AS id, c_custkey IN (SELECT following_id FROM follows WHERE follower_id = 5) AS is_following FROM customer")
 def follow_status(spark, sf):
-    return S.is_following(profiles(spark, sf).where("id < 100").select("id"), follows(spark, sf), 5)
+    return S.is_following(profiles(spark, sf).select("id"), follows(spark, sf), 5)
 
 
-@query("SELECT o_orderkey AS poll_id, l_linenumber AS my_option FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_suppkey = 7 WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS poll_id, l_linenumber AS my_option FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_suppkey = 7")
 def my_votes(spark, sf):
     votes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("poll_id"), F.col("l_linenumber").alias("option_id"), F.col("l_suppkey").alias("user_id"))
-    return S.my_votes(highlights(spark, sf).where("id < 500").select(F.col("id").alias("poll_id")), votes, 7)
+    return S.my_votes(highlights(spark, sf).select(F.col("id").alias("poll_id")), votes, 7)
 
 
 @query("""SELECT o_orderkey AS id, count(l_orderkey) AS comments_count, CAST(coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END), 0) AS BIGINT) AS likes_count

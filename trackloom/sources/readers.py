@@ -87,14 +87,14 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("videoId").alias("video_id"), F.posexplode("labels").alias("seg_idx", "l")).select("video_id", "seg_idx", "l.start", "l.end")
 
 
-def flatten_results(rows: DataFrame, levels: int = 8) -> DataFrame:
-    """(name, status) of a test tree: rows(name, status, children json array), down to `levels` below the root.
+def flatten_results(rows: DataFrame) -> DataFrame:
+    """(name, status) of a test tree: rows(name, status, children json array), however deep.
 
     A parent without a status gives its name as a prefix to its children.
     """
     node = "array<struct<name:string,status:string,children:string>>"
     level, out = rows.select("name", "status", "children"), None
-    for _ in range(levels):
+    while out is None or not level.isEmpty():
         leaves = level.where("status is not null").select("name", "status")
         out = leaves if out is None else out.unionByName(leaves)
         below = level.where("children is not null").select(F.col("name").alias("prefix"), F.explode(F.from_json("children", node)).alias("c"))
