@@ -67,7 +67,7 @@ def nearest_detection(spark, sf):
 
 
 @query(f"""WITH {FRAMES_SQL}, p AS (SELECT event_id AS probe, video_id, t AS seen FROM frames WHERE event_type = 'signup'),
-b AS (SELECT probe, p.video_id, seen, coalesce(max(f.t), seen - 24) AS since FROM p LEFT JOIN frames f ON f.video_id = p.video_id AND f.t <= seen - 24 GROUP BY ALL)
+b AS (SELECT probe, p.video_id, seen, coalesce(max(f.t), any_value(seen) - 24) AS since FROM p LEFT JOIN frames f ON f.video_id = p.video_id AND f.t <= seen - 24 GROUP BY probe, p.video_id, seen)
 SELECT probe, event_id FROM b JOIN frames f ON f.video_id = b.video_id AND f.t >= b.since AND f.t <= b.seen""")
 def overlay_window(spark, sf):
     f = frames(spark, sf)
