@@ -37,7 +37,7 @@ HEAD, INNER = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Bytes of frames after which a file ends; a reader takes a file at a time.  One larger frame is a file by itself.
 FILE_BYTES = 4 << 20
 #: Slots of an encoder's table of pieces, half of which are filled at most, and ids that it keeps.
-SLOT_BITS = 20
+SLOT_BITS = 21
 SLOTS, MEMO_IDS = 1 << SLOT_BITS, 6_000_000
 #: Text that is encoded at once.
 ENCODED_BYTES = 1 << 19
@@ -181,7 +181,7 @@ class Encoder:
 
     def _known(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool each piece's ids are, and how many."""
-        if self.known + len(self.long) > SLOTS // 4 or self.used > MEMO_IDS:
+        if self.known > SLOTS // 4 or len(self.long) > SLOTS // 8 or self.used > MEMO_IDS:
             self._forget()
         size = ends - starts
         at, sizes = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
@@ -204,10 +204,16 @@ class Encoder:
         slots = self._find(first, last, length)
         missing = np.flatnonzero(self.lengths[slots] == 0)
         if len(missing):
-            _, own = np.unique(np.rec.fromarrays([first[missing], last[missing], length[missing]]), return_index=True)
+            _, own, same = np.unique(np.rec.fromarrays([first[missing], last[missing], length[missing]]), return_index=True, return_inverse=True)
             own = missing[own]
-            for k in range(0, len(own), SLOTS // 4):
-                self._insert(first, last, length, own[k : k + SLOTS // 4], [raw[starts[short[j]] : ends[short[j]]] for j in own[k : k + SLOTS // 4]])
+            pieces = [raw[starts[short[j]] : ends[short[j]]] for j in own]
+            if self.known + len(own) > SLOTS // 2:  # more than the table takes: used once, and all is forgotten at the next call
+                begins, numbers = self._remember(pieces)
+                at[short], sizes[short] = self.at[slots], self.sizes[slots]
+                at[short[missing]], sizes[short[missing]] = begins[same], numbers[same]
+                self.known = SLOTS
+                return at, sizes
+            self._insert(first, last, length, own, pieces)
             slots = self._find(first, last, length)
         at[short], sizes[short] = self.at[slots], self.sizes[slots]
         return at, sizes
