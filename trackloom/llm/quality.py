@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -41,7 +40,7 @@ SURE_GOOD, SURE_BAD = 0.97, 0.03
 TELLING = 30.0
 #: Bytes of a word's beginning, and the numbers of times from which on its repeats are signs of their own.
 BEGINNING, REPEATS = 6, (2, 4)
-META_BUCKETS = 256
+META_BUCKETS, LAYOUT = 256, 8
 #: Partitions of the bounded sample: each iteration of a fit sends one gradient a partition to the driver.
 SAMPLE_PARTITIONS = 3
 #: Documents with a smaller score are rejected.
@@ -273,9 +272,9 @@ def _features(rows: DataFrame, telling: _Telling) -> DataFrame:
     """rows(doc_id, text, good, meta) of a bounded sample, with both views as vectors instead of the text."""
     made = rows.mapInArrow(lambda batches: _sample_features(batches, telling), "doc_id long, good double, meta array<int>, words array<string>, layout array<double>")
     occur = lambda n, c, out: CountVectorizerModel.from_vocabulary([str(k) for k in range(max(n, 1))], inputCol=c, outputCol=out).setBinary(True)
-    made = made.withColumn("places", F.col("meta").cast("array<string>")).withColumn("layout", array_to_vector("layout"))
+    made = made.withColumn("places", F.col("meta").cast("array<string>")).select("*", *[F.get("layout", F.lit(k)).alias(f"layout_{k}") for k in range(LAYOUT)])
     made = occur(META_BUCKETS, "places", "meta_view").transform(occur(len(telling.hashes), "words", "text_view").transform(made))
-    made = VectorAssembler(inputCols=["meta_view", "layout"], outputCol="page_view").transform(made)
+    made = VectorAssembler(inputCols=["meta_view", *(f"layout_{k}" for k in range(LAYOUT))], outputCol="page_view").transform(made)
     return made.select("doc_id", "good", "text_view", "page_view", "meta")
 
 
