@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.util import inheritable_thread_target
 
 from .common import LOWER, NORMAL, SOLID, Words, checkpoint, mix, span_hashes, text_slices
 
@@ -256,6 +258,17 @@ def _fit(rows: DataFrame, view: str) -> View:
     return View(model.coefficients.toArray(), float(model.intercept))
 
 
+def _fit_views(rows: dict[str, DataFrame]) -> dict[str, View]:
+    """Both views, fitted side by side on bounded samples: a fit mostly waits for its many small jobs.
+
+    No more than `SAMPLE_PARTITIONS` tasks an iteration, so that Spark adds up gradients without a shuffle.
+    """
+    session = next(iter(rows.values())).sparkSession
+    one = inheritable_thread_target(session)(lambda view: _fit(rows[view].coalesce(SAMPLE_PARTITIONS), view))
+    with ThreadPool(len(VIEWS)) as pool:
+        return dict(zip(VIEWS, pool.map(one, VIEWS), strict=True))
+
+
 def _telling(train: DataFrame) -> _Telling:
     """The words of train(text, good) whose documents' labels differ most from all documents' labels."""
     n_good, n = train.agg(F.sum("good"), F.count("*")).first()
@@ -301,10 +314,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | ConstantModel:
     telling = _telling(known.where(~held))
     rows = checkpoint(_features(known, telling))
     train, calibrate = rows.where(~held), rows.where(held)
-    views = {view: _fit(train, view) for view in VIEWS}
+    views = _fit_views(dict.fromkeys(VIEWS, train))
     for k in range(ROUNDS):
         taught = _pseudo_labelled(docs, texts, labelled, telling, views, k)
-        views = {view: _fit(train.unionByName(_features(taught.where(F.col("view") == view).drop("view"), telling)), view) for view in VIEWS}
+        views = _fit_views({view: train.unionByName(_features(taught.where(F.col("view") == view).drop("view"), telling)) for view in VIEWS})
 
     odds = checkpoint(_judged(docs.join(F.broadcast(some.where(held)), "doc_id"), telling, views, ["good"]).withColumnRenamed("c0", "good"))
     calibration, small = {}, odds.coalesce(1)  # held-out rows, two numbers each
