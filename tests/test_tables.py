@@ -98,6 +98,8 @@ def test_writes(spark):
     grown, refused = S.insert_new(table, spark.createDataFrame([("b", 9), ("c", 3), ("c", 4), (None, 5), (None, 6)], "id string, n int"), "id")
     assert sorted(r.id or "" for r in grown.collect()) == ["", "", "a", "b", "c"] and [r.id for r in refused.collect()] == ["b"]
     up = {r.id: r.n for r in S.upsert(table, spark.createDataFrame([("b", None), ("d", 4)], "id string, n int"), "id", ["n"]).collect()}
+    twice = spark.createDataFrame([("d", 4), ("d", 9), ("d", None), ("d", 7)], "id string, n int").repartition(3)
+    assert [(r.id, r.n) for r in S.upsert(table, twice, "id", ["n"]).where("id = 'd'").collect()] == [("d", 9)]
     assert up == {"a": 1, "b": None, "d": 4}
     good, bad = S.violations(spark.createDataFrame([("a", "b"), ("a", "a"), ("a", None)], "follower_id string, following_id string"), S.checks_of("follows"))
     assert good.count() == 2 and bad.first().broken == ["no_self_follow"]

@@ -126,19 +126,27 @@ def apply_changes(counters: DataFrame, changes: DataFrame, key: str, name: str,
 
 # ------------------------------------------------------------------ writes
 
+def _one_a_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of several rows of a key the one whose other columns, in their order, are greatest; these must have an order (no maps)."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("row")).select(*keys, *[F.col("row")[c].alias(c) for c in rest])
+
+
 def insert_new(table: DataFrame, rows: DataFrame, *unique: str) -> tuple[DataFrame, DataFrame]:
     """The table with rows whose key is new, and the rows that were refused.  A key with a null is always new."""
     whole = F.lit(True)
     for c in unique:
         whole = whole & F.col(c).isNotNull()
-    keyed, loose = rows.where(whole).dropDuplicates(list(unique)), rows.where(~whole)
+    keyed, loose = _one_a_key(rows.where(whole), *unique), rows.where(~whole)
     known = table.select(*unique)
     return table.unionByName(keyed.join(known, list(unique), "left_anti").select(*table.columns)).unionByName(loose.select(*table.columns)), keyed.join(known, list(unique), "left_semi")
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows update `columns` of known keys and are added otherwise; of several for a key any one holds."""
-    new = rows.dropDuplicates([key])
+    """Rows update `columns` of known keys and are added otherwise; of several for a key the greatest holds."""
+    new = _one_a_key(rows, key)
     fresh = new.select(F.col(key).alias("new_key"), F.lit(True).alias("is_new"), *[F.col(c).alias(f"new_{c}") for c in columns])
     joined = table.join(fresh, F.col(key) == F.col("new_key"), "left")
     kept = joined.select(*[(F.when(F.col("is_new"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)) for c in table.columns])
