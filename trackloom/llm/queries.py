@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality, secrets, substring_dedup, token_records, topk, url_filter
+from . import decontaminate, jaccard_join, line_dedup, merkle, mixing, quality, secrets, substring_dedup, token_records, topk, url_filter
 from .common import table
 
 
@@ -84,6 +84,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.prove(table(spark, sf_dir, "documents"), tampered, merkle.lower_cased(F.col("text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secrets": op2_secrets,
@@ -95,10 +100,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_topk": op9_topk,
     "op10_token_records": op10_token_records,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: One row with the list of the 256 steps of crc32, each after eight bits.
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS crcs FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, (c & 1) * 3988292384)) AS v FROM range(256) AS t(i))"
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text, where `crcs` is in reach."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])))"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -157,5 +172,36 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op13_merkle_manifest": rf"""
+WITH RECURSIVE crc_table AS ({_CRC_TABLE}),
+d AS (SELECT *, {_crc32('CAST(doc_id AS VARCHAR)')} % 5 = 0 AS tampered, {_LOWERED} AS lowered FROM documents, crc_table),
+f AS (SELECT doc_id, source, tampered,
+      concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+             coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+      coalesce(strlen(text) || ':' || text, '-') AS tail, CASE WHEN text IS NULL THEN '-' ELSE strlen(lowered) || ':' || lowered END AS lowered_tail FROM d),
+leaves AS (SELECT doc_id, source, sha256(head || tail) AS leaf, CASE WHEN tampered THEN sha256(head || lowered_tail) ELSE sha256(head || tail) END AS start FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes AS (SELECT source, 0 AS level, spot, n, leaf AS digest FROM placed
+          UNION ALL
+          SELECT source, level + 1, spot // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY spot)) FROM nodes WHERE n > 1 GROUP BY source, level, spot // 16, n),
+subroots AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spot, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (SELECT 0 AS level, spot, n, subroot AS digest FROM subroots
+          UNION ALL
+          SELECT level + 1, spot // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY spot)) FROM upper WHERE n > 1 GROUP BY level, spot // 16, n),
+steps AS (SELECT a.source, a.level, a.spot, coalesce(string_agg(b.digest, '' ORDER BY b.spot) FILTER (b.spot < a.spot), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.spot) FILTER (b.spot > a.spot), '') AS r
+          FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.spot // 16 = b.spot // 16 WHERE a.n > 1 GROUP BY a.source, a.level, a.spot),
+upper_steps AS (SELECT a.level, a.spot, coalesce(string_agg(b.digest, '' ORDER BY b.spot) FILTER (b.spot < a.spot), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.spot) FILTER (b.spot > a.spot), '') AS r
+                FROM upper a JOIN upper b ON a.level = b.level AND a.spot // 16 = b.spot // 16 WHERE a.n > 1 GROUP BY a.level, a.spot),
+walk AS (SELECT doc_id, leaf, source, spot, n, 0 AS level, start AS h, '' AS proof FROM placed
+         UNION ALL
+         SELECT w.doc_id, w.leaf, w.source, w.spot // 16, (w.n + 15) // 16, w.level + 1, sha256(s.l || w.h || s.r), w.proof || s.l || s.r
+         FROM walk w JOIN steps s ON w.source IS NOT DISTINCT FROM s.source AND w.level = s.level AND w.spot = s.spot WHERE w.n > 1),
+over AS (SELECT w.doc_id, w.leaf, s.subroot, s.spot, s.n, 0 AS level, w.h, w.proof FROM walk w JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source WHERE w.n = 1
+         UNION ALL
+         SELECT w.doc_id, w.leaf, w.subroot, w.spot // 16, (w.n + 15) // 16, w.level + 1, sha256(s.l || w.h || s.r), w.proof || s.l || s.r
+         FROM over w JOIN upper_steps s ON w.level = s.level AND w.spot = s.spot WHERE w.n > 1)
+SELECT o.doc_id, o.leaf, o.subroot, u.digest AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = u.digest AS verified
+FROM over o, upper u WHERE o.n = 1 AND u.n = 1
 """,
 }
