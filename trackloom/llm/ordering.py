@@ -40,3 +40,21 @@ def ranked(groups: DataFrame, group: str) -> DataFrame:
     own = F.row_number().over(Window.partitionBy("part").orderBy(group)) - 1
     numbered = begins.withColumn("own", own)
     return numbered.join(offsets, F.col("part") == F.col("of")).select(group, "total", (F.col("offset") + F.col("own")).alias("rank"))
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], weight: str, how: str = "inner", share: int = 1000) -> DataFrame:
+    """rows joined with keyed, which has a row a key, on equal keys; keyed's other columns follow.
+
+    weight: a column of `keyed` that bounds how many rows have the key; its sum bounds
+    all rows.  Keys with more than 1 / share of that sum, fewer than `share` keys, are broadcast,
+    so that no task of the shuffled rest has such a key.  Both tables should be checkpointed.
+    """
+    total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    more = [c for c in keyed.columns if c not in keys]
+    named = [F.col(c).alias(f"other_{k}") for k, c in enumerate(keys)]
+    heavy = F.col(weight) > total / share
+    same = [F.col(c) == F.col(f"other_{k}") for k, c in enumerate(keys)]
+    hot = rows.join(F.broadcast(keyed.where(heavy).select(*named, *more)), same)
+    light = rows.join(F.broadcast(keyed.where(heavy).select(*named)), same, "left_anti")
+    rest = light.join(keyed.where(~heavy).select(*named, *more), same, how)
+    return hot.select(*rows.columns, *more).unionByName(rest.select(*rows.columns, *more))

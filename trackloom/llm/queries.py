@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, merkle, mixing, quality, secrets, substring_dedup, token_records, topk, url_filter
+from . import decontaminate, jaccard_join, line_dedup, merkle, mixing, prefix_trie, quality, secrets, substring_dedup, token_records, topk, url_filter
 from .common import table
 
 
@@ -84,6 +84,11 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), conv - conv % 100, F.crc32(conv.cast("string")) % 6)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return merkle.prove(table(spark, sf_dir, "documents"), tampered, merkle.lower_cased(F.col("text")))
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_topk": op9_topk,
     "op10_token_records": op10_token_records,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -172,6 +178,25 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
       FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op11_prefix_trie": rf"""
+WITH RECURSIVE crc_table AS ({_CRC_TABLE}),
+t AS (SELECT conv_id, length(coalesce(text, '')) AS chars, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, turn FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS p FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+turns AS (SELECT c.conv_id, 0 AS part, p.p, p.digest, p.chars FROM c JOIN p ON p.conv_id = c.base AND p.p <= c.h
+          UNION ALL SELECT c.conv_id, 1, p.p, p.digest, p.chars FROM c JOIN p ON p.conv_id = c.conv_id AND p.p > c.h),
+lists AS (SELECT c.conv_id, coalesce(ds, []) AS ds, coalesce(cs, []) AS cs FROM c LEFT JOIN
+          (SELECT conv_id, list(digest ORDER BY part, p) AS ds, list(chars ORDER BY part, p) AS cs FROM turns GROUP BY conv_id) USING (conv_id)),
+pre AS (SELECT conv_id, d, array_to_string(ds[1 : d], ',') AS k, CASE WHEN d > 0 THEN array_to_string(ds[1 : d - 1], ',') END AS pk, d = len(ds) AS ends, CASE WHEN d > 0 THEN cs[d] ELSE 0 END AS chars
+        FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS d FROM lists)),
+nodes AS (SELECT d, k, min(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n, min(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM pre GROUP BY d, k),
+children AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY d, pk),
+whole AS (SELECT x.*, coalesce(ch.n, 0) AS n_children, y.conv_id AS parent_conv_id FROM nodes x LEFT JOIN children ch ON x.d = ch.d AND x.k = ch.k LEFT JOIN nodes y ON y.d = x.d - 1 AND y.k = x.pk),
+below AS (SELECT a.d, a.k, sum((w.n - 1) * w.chars) AS saved, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS leaves
+          FROM whole w JOIN pre a ON a.conv_id = w.conv_id AND a.d <= w.d GROUP BY a.d, a.k)
+SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, w.parent_conv_id, w.n AS n_convs, w.n_children, CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM whole w JOIN below b ON w.d = b.d AND w.k = b.k
 """,
     "op13_merkle_manifest": rf"""
 WITH RECURSIVE crc_table AS ({_CRC_TABLE}),
