@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, merkle, mixing, prefix_trie, quality, secrets, substring_dedup, token_records, topk, url_filter
+from . import bottom_k, decontaminate, jaccard_join, line_dedup, merkle, mixing, prefix_trie, quality, secrets, substring_dedup, token_records, topk, url_filter
 from .common import table
 
 
@@ -89,6 +89,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"), conv - conv % 100, F.crc32(conv.cast("string")) % 6)
 
 
+def op12_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottom_k.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return merkle.prove(table(spark, sf_dir, "documents"), tampered, merkle.lower_cased(F.col("text")))
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk": op9_topk,
     "op10_token_records": op10_token_records,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_near_dedup": op12_near_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -197,6 +202,16 @@ below AS (SELECT a.d, a.k, sum((w.n - 1) * w.chars) AS saved, sum(CASE WHEN w.n_
           FROM whole w JOIN pre a ON a.conv_id = w.conv_id AND a.d <= w.d GROUP BY a.d, a.k)
 SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, w.parent_conv_id, w.n AS n_convs, w.n_children, CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, w.ends_sha256
 FROM whole w JOIN below b ON w.d = b.d AND w.k = b.k
+""",
+    "op12_near_dedup": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + 4], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(0, greatest(len(ws) - 3, 1))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.w = b.w AND a.doc_id <> b.doc_id JOIN n x ON a.doc_id = x.doc_id JOIN n y ON b.doc_id = y.doc_id
+          GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS top FROM d UNION SELECT l.a, r.top FROM reach r JOIN links l ON r.doc_id = l.b),
+c AS (SELECT doc_id, min(top) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c ON d.doc_id = c.doc_id
 """,
     "op13_merkle_manifest": rf"""
 WITH RECURSIVE crc_table AS ({_CRC_TABLE}),
