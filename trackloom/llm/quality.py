@@ -301,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel | ConstantModel:
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("double")
     labelled = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good).alias("good"))
     order = [F.xxhash64("doc_id", F.lit(5)), "doc_id"]
+    docs = docs.select("doc_id", "text", "lang", "source")  # others may have the names of columns that are made here
     some = checkpoint(labelled.orderBy(*order).limit(MAX_LABELLED))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _meta())
     # At most MAX_LABELLED rows of two numbers.
@@ -354,7 +355,8 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE) ->
     """doc_id, text_score, page_score, score and keep of each row of docs, by a model fitted on docs and labels.
 
     Null texts, languages and sources are values of their own; ids may repeat or be
-    null.  An empty table gives an empty result.
+    null, and each row is judged by itself, whole texts of any length.  Columns beside doc_id,
+    text, lang and source are not read.  An empty table gives an empty result.
     """
     return fit(docs, labels).score(docs).withColumn("keep", F.col("score") >= least)
 
