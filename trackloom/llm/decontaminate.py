@@ -133,13 +133,18 @@ def _scan_batches(batches: Iterator[pa.RecordBatch], ngrams: NgramSet, text: str
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """Items in blocks whose text has a checked bound; each is fetched by itself."""
-    sized = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-2 * total // block_bytes) if total > block_bytes else 1
-    for k in range(n):
-        part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.toLocalIterator()]
+    """Items in blocks, cut where a running sum of their bytes passes `block_bytes`; a larger item is a block by itself.
+
+    Items stream to the driver, which holds one block; there is one block at least, and none is empty but that of an empty table.
+    """
+    block, size = [], 0
+    for item_id, text, n in benchmark.where(F.length("text") > 0).select("item_id", "text", F.octet_length("text")).toLocalIterator():
+        if block and size + n > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((item_id, text))
+        size += n
+    yield block
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int, carried: list[str]) -> DataFrame:
