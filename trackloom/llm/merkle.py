@@ -66,14 +66,19 @@ def _siblings(nodes: DataFrame, fan: int) -> DataFrame:
     return found.groupBy("in_tree", "own").agg(_joined(F.collect_list(F.struct(F.col("wanted").alias("place"), "digest"))).alias("others"))
 
 
-def _paths(levels: list[DataFrame], tops: DataFrame, fan: int) -> DataFrame:
+def _paths(levels: list[DataFrame], tops: DataFrame | None, fan: int) -> DataFrame:
     """The rows of the lowest level with `steps`, an array of (pos, others) up to the root, and `subroot`.
 
-    tops(of, top_steps): for each tree, the steps of its top node.
+    tops(of, top_steps): for each tree, the steps of its top node; None: there are none.
     """
     paths = None
     for nodes in reversed(levels):
-        top = nodes.where("n = 1").join(tops, F.col("tree") == F.col("of")).select(*nodes.columns, F.col("top_steps").alias("steps"), _hex(F.col("digest")).alias("subroot"))
+        top = nodes.where("n = 1")
+        if tops is None:
+            top = top.withColumn("top_steps", F.array().cast("array<struct<pos:int,others:string>>"))
+        else:
+            top = top.join(tops, F.col("tree") == F.col("of"))
+        top = top.select(*nodes.columns, F.col("top_steps").alias("steps"), _hex(F.col("digest")).alias("subroot"))
         if paths is not None:
             up = paths.select(F.col("tree").alias("up_tree"), F.col("at").alias("up_at"), F.col("steps").alias("up_steps"), "subroot")
             others = F.coalesce("others", F.lit(""))
@@ -120,9 +125,7 @@ def prove(docs: DataFrame, tampered: Column | None = None, tampered_text: Column
     above = checkpoint(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), F.lit(n_sources).cast("long").alias("n"), "digest"))
     upper = _levels(above, n_sources, fan)
     root = upper[-1].select(_hex(F.col("digest"))).first()  # one digest
-    nothing = F.array().cast("array<struct<pos:int,others:string>>")
-    no_steps = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("of"), nothing.alias("top_steps"))
-    tops = checkpoint(_paths(upper, no_steps, fan).select(F.col("at").alias("of"), F.col("steps").alias("top_steps")))
+    tops = checkpoint(_paths(upper, None, fan).select(F.col("at").alias("of"), F.col("steps").alias("top_steps")))
     paths = _paths(levels, tops, fan)
     folded = _folded(_hex(F.coalesce("changed", "digest")), F.col("steps"))
     out = paths.select(
