@@ -38,8 +38,8 @@ KEEP = 0.53
 #: Texts in a part.
 PART = 1024
 _ALL = np.iinfo(np.int64).max
-#: Rows of lists that are judged pair by pair at once, and pairs.
-_ROWS, _PAIRS, _FEW = 20_000, 20_000, 32
+#: Rows of lists, and pairs, that are judged at once; lists of more than _FEW rows are judged as matrices, this many rows of a side at once.
+_ROWS, _PAIRS, _FEW, _SIDE = 20_000, 20_000, 32, 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -200,17 +200,32 @@ def _meet_in_lists(sets: _Sets, keep: float, retained: int, key: np.ndarray, par
         whole = key[near, 1] == key[near, 2]
         near = near[(cluster[near] != cluster[near + gap]) & (whole | (part[near] != part[near + gap]))]
         pairs.append(np.stack([near, near + gap], axis=1))
+    _judged(sets, keep, retained, pairs, ids, sketch, size)
     for start, end in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
         i, j = key[start, 1:]
         own = start + np.flatnonzero(part[start:end] == i)
         other = own if i == j else start + np.flatnonzero(part[start:end] == j)
-        for k in own.tolist():
-            right = other[(other > k) | (i != j)]
-            right = right[cluster[right] != cluster[k]]
-            pairs.append(np.stack([np.full(len(right), k), right], axis=1))
-            if len(pairs) > 64:
-                pairs = _judged(sets, keep, retained, pairs, ids, sketch, size)
-    _judged(sets, keep, retained, pairs, ids, sketch, size)
+        names, n = np.unique(cluster[start:end], return_counts=True)
+        tied = names[np.argmax(n)]  # texts of the largest cluster need not meet each other
+        loose = own[cluster[own] != tied]
+        sides = [(loose, other)] if i == j else [(loose, other), (own[cluster[own] == tied], other[cluster[other] != tied])]
+        for x, y in sides:
+            for k in range(0, len(x), _SIDE):
+                z = x[k : k + _SIDE]
+                near = (_estimated(sketch[z], sketch[y], size[z], size[y], retained) >= keep) & (cluster[z][:, None] != cluster[y][None])
+                _tie(sets, near, ids[z].tolist(), ids[y].tolist())
+
+
+def _estimated(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, retained: int) -> np.ndarray:
+    """`estimates` of all rows of one side with all of the other."""
+    if not len(a) or not len(b):
+        return np.zeros((len(a), len(b)))
+    left, right = [x[:n] for x, n in zip(a, sizes_a, strict=True)], [x[:n] for x, n in zip(b, sizes_b, strict=True)]
+    common = _shared(left, right)
+    last_a, last_b = _last(a, sizes_a, retained), _last(b, sizes_b, retained)
+    n_a = np.array([np.searchsorted(x, np.minimum(last_b, last), "right") for x, last in zip(left, last_a, strict=True)])
+    n_b = np.array([np.searchsorted(x, np.minimum(last_a, last), "right") for x, last in zip(right, last_b, strict=True)]).T
+    return common / np.maximum(n_a + n_b - common, 1)
 
 
 def _judged(sets: _Sets, keep: float, retained: int, pairs: list[np.ndarray], ids: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
