@@ -11,7 +11,10 @@ from trackloom.operators import evaluate as E
 from trackloom.operators import gate, intervals, stateful
 from trackloom.operators import metrics as M
 from trackloom.operators.config import Config
-from trackloom.operators.kernels import Court, Decider, Selector, Tracker
+from trackloom.operators import court as K
+from trackloom.operators import decider as P
+from trackloom.operators.decider import Decider
+from trackloom.operators.kernels import Selector, Tracker
 
 C = Config()
 
@@ -107,16 +110,75 @@ def test_decider_ends_hard_only():
         for _ in range(200):
             t += rnd.choice([0.02, 0.033, 0.3])
             rows.append((t, rnd.random() < 0.5, rnd.random() < 0.3, rnd.random()))
-        whole, hard = Decider(C), Decider(C)
-
-        def ends(now, own=hard):
-            if own.since is not None and now - own.since < C.min_active_sec or own.last_flight is not None and now - own.last_flight <= C.recent_sec:
-                return False
-            gone = math.inf if own.last_ball is None else now - own.last_ball
-            return gone >= (C.sky_timeout if (own.ball_y or 0) >= C.sky_y else min(0.8, C.end_timeout))
-
-        hard._ends = ends
-        assert [whole.step(*r) for r in rows] == [hard.step(*r) for r in rows]
+        frame = tuple(np.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (float, bool, bool, float), strict=True))
+        may_start, may_end = P.conditions(P.Memory(), *frame, C)
+        gone = np.array([min((t - u for u, ball, *_ in rows[: k + 1] if ball), default=math.inf) for k, (t, *_) in enumerate(rows)])
+        quiet = np.array([min((t - u for u, _, flight, _ in rows[: k + 1] if flight), default=math.inf) for k, (t, *_) in enumerate(rows)]) > C.recent_sec
+        high = [next((y for _, ball, _, y in reversed(rows[: k + 1]) if ball), 0.0) >= C.sky_y for k in range(len(rows))]
+        hard = quiet & (gone >= np.where(high, C.sky_timeout, min(0.8, C.end_timeout)))
+        assert (P.switched(frame[0], may_start, may_end, None, C)[0] == P.switched(frame[0], may_start, hard, None, C)[0]).all()
+
+
+def random_frames(seed, n):
+    """(t, ball, flight, height), with stretches that are rich and poor in balls, and runs that fall apart."""
+    rnd, rich, t, rows = random.Random(seed), True, 0.0, []
+    for _ in range(n):
+        t += rnd.choice([0.033, 0.033, 0.1, 0.4])
+        rich ^= rnd.random() < 0.06
+        ball = rnd.random() < (0.9 if rich else 0.1)
+        rows.append((t, ball, ball and rnd.random() < 0.6, rnd.choice([None, 0.5, 0.9]) if ball else None))
+    return rows
+
+
+def by_frames(rows, config):
+    """Play by the words of the rules, frame by frame, from the start of the video."""
+    out, since = [], None
+    for k, (t, *_) in enumerate(rows):
+        past = rows[: k + 1]
+        gone = lambda c, p=past, t=t: min((t - r[0] for r in p if r[c]), default=math.inf)
+        run, missed = None, 0
+        for r in past:
+            if r[2]:
+                run, missed = (r[0] if run is None else run), 0
+            elif (missed := missed + 1) > config.grace_frames:
+                run = None
+        height = next((r[3] for r in reversed(past) if r[1] and r[3] is not None), 0.0)
+        if since is None:
+            since = t if run is not None and t - run >= config.start_buffer else None
+        elif t - since >= config.min_active_sec and gone(2) > config.recent_sec:
+            rate = sum(r[1] and r[0] >= t - config.evidence_sec for r in past) / config.evidence_sec
+            over = gone(1) >= config.sky_timeout if height >= config.sky_y else gone(1) >= min(0.8, config.end_timeout) or gone(2) > 1.5 and rate < 0.5
+            since = None if over else since
+        out.append(since is not None)
+    return out
+
+
+@pytest.mark.parametrize("config", [C, Config(grace_frames=1, end_timeout=2.0, start_buffer=0.0, min_active_sec=0.5), C.scaled(3.0)])
+def test_decider_for_any_cut(config):
+    for seed in range(25):
+        rows = random_frames(seed, 150)
+        want = by_frames(rows, config)
+        assert run(rows, config) == want
+        frames, memory, since, got = tuple(np.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (float, bool, bool, float), strict=True)), P.Memory(), None, []
+        cuts = [0, *sorted(random.Random(seed).sample(range(1, 150), seed % 12)), 150]
+        for a, b in zip(cuts, cuts[1:]):
+            own = tuple(x[a:b] for x in frames)
+            may = P.conditions(memory, *own, config)
+            active, left = P.switched(own[0], *may, since, config)
+            assert P.exits(own[0], *may, config).leave(since, config) == left
+            since, memory = left, P.after(memory, P.digest(*own, config), config)
+            got += active.tolist()
+        assert got == want
+
+
+def test_decider_over_split_videos(spark):
+    rows = [(v, *r) for v in (1, 2, None) for r in random_frames(v or 3, 120)]
+    table = spark.createDataFrame([*rows, (1, None, True, True, 0.5)], "video_id long, t double, has_ball boolean, is_projectile boolean, ball_y double").repartition(5)
+    want = {(v, r[0]): x for v in (1, 2, None) for r, x in zip(random_frames(v or 3, 120), by_frames(random_frames(v or 3, 120), C), strict=True)}
+    for cut in (0.5, 7.0, 1e6):
+        got = stateful.decide(table, C, cut=cut).collect()
+        assert len(got) == len(want) and {(r.video_id, r.t): r.is_active for r in got} == want
+    assert stateful.decide(table.where("t < 0")).collect() == []
 
 
 def activity(spark, *spans, end=20.0, step=0.1):
@@ -266,17 +328,18 @@ def test_decoding(spark):
 
 
 def test_court():
-    court = Court((0.1, 0.45, 0.8, 0.1))
-    path = [(0.5, 0.3 + 0.04 * k if k < 12 else 0.74 - 0.04 * (k - 12)) for k in range(24)]
-    states = [court.step(k, k / 10, [(*p, 0.9)])[0] for k, p in enumerate(path)]
-    states += [court.step(24 + k, 2.4 + k / 10, [])[0] for k in range(20)]
+    net = (0.1, 0.45, 0.8, 0.1)
+    path = [(k, k / 10, [(0.5, 0.3 + 0.04 * k if k < 12 else 0.74 - 0.04 * (k - 12), 0.9)]) for k in range(24)]
+    log = K.trace(path + [(24 + k, 2.4 + k / 10, []) for k in range(20)], net)
+    states = log.after.tolist()
     assert states[:3] == ["tracking", "tracking", "active"] and "lost" in states and states[-1] == "idle"
-    (r,) = court.finish()
+    (r,) = K.rallies(log, net).to_dict("records")
     assert r["end_reason"] == "ball absent (timeout)" and r["side_changes"] == r["net_crossings"] == 2 and r["end_time"] == pytest.approx(2.3)
-    still = Court((0.1, 0.45, 0.8, 0.1))
-    for k in range(60):
-        still.step(k, k / 10, [(0.5, 0.3 + 0.02 * min(k, 8), 0.9)])
-    assert [x["end_reason"] for x in still.rallies] == ["ball stationary"]
+    still = K.trace([(k, k / 10, [(0.5, 0.3 + 0.02 * min(k, 8), 0.9)]) for k in range(60)], net)
+    assert K.rallies(still, net).end_reason.tolist() == ["ball stationary"]
+    going = K.rallies(K.trace(path[:12], net), net)
+    assert going.end_reason.tolist() == ["video ended"] and going.end_frame.tolist() == [11]
+    assert K.rallies(K.trace([], net), net).empty
 
 
 def test_scoring(spark):

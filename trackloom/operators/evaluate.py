@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
 from . import intervals, stateful
 from .config import Config
+from .decider import Memory, columns_of, decided
 
 #: Fixed ranges of the swept parameters.
 BOUNDS = {"start_buffer": (0.0, 1.5), "end_timeout": (0.3, 3.0), "grace_frames": (0.0, 8.0), "min_active_sec": (0.5, 6.0), "merge_gap": (0.0, 2.0), "min_length": (0.0, 4.0)}
@@ -22,21 +24,36 @@ MAX_PARAMETERS, CHUNK = 5000, 50
 def greedy_match(pairs: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
     """One-to-one matches by falling IoU; ties by the predicted, then the true segment's index.
 
-    Pairs of one video only, and only those above the least IoU, so groups are small.
+    In rounds: a pair that is the best of both its segments is one that greedy choice
+    keeps, whatever else is there.  All such pairs of all keys are kept at once, and pairs with a
+    segment that is taken go; until none is left.  The best pair of what is left always is one, and
+    rounds are as many as pairs that wait for each other in a chain.  Each round's rest
+    is checkpointed where the session names a folder for that, else persisted.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["iou", "p_idx", "t_idx"], ascending=[False, True, True], kind="stable")
-        p, t, kept = set(), set(), []
-        for row in zip(group.p_idx, group.t_idx, strict=True):
-            free = row[0] not in p and row[1] not in t
-            kept.append(free)
-            if free:
-                p.add(row[0])
-                t.add(row[1])
-        return group[kept]
-
-    return pairs.groupBy(*keys).applyInPandas(run, pairs.schema)
+    order = [F.desc("iou"), "p_idx", "t_idx"]
+    kept, rest = None, _settled(pairs)
+    while not rest.isEmpty():
+        ranked = rest
+        for side in ("p_idx", "t_idx"):
+            ranked = ranked.withColumn(f"best_{side}", F.row_number().over(Window.partitionBy(*keys, side).orderBy(*order)) == 1)
+        best = _settled(ranked.where("best_p_idx and best_t_idx").select(*pairs.columns))
+        kept = best if kept is None else kept.unionByName(best)
+        for side in ("p_idx", "t_idx"):
+            taken = best.select(*[F.col(c).alias(f"taken_{c}") for c in (*keys, side)])
+            rest = rest.join(taken, [F.col(c).eqNullSafe(F.col(f"taken_{c}")) for c in (*keys, side)], "left_anti")
+        rest = _settled(rest)
+    return rest if kept is None else kept
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """df, computed once: at a reliable checkpoint if the session has a folder for these."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
 
 
 def score(predicted: DataFrame, truth: DataFrame, matches: DataFrame, keys: tuple[str, ...] = (), tolerance: float = 0.5) -> DataFrame:
@@ -90,6 +107,17 @@ def draw_parameters(spark: SparkSession, anchor: dict[str, float], n: int, seed:
     return rows.unionByName(spark.createDataFrame([(-1, *[float(anchor[k]) for k in BOUNDS])], "param_id long, " + ", ".join(f"{k} double" for k in BOUNDS)))
 
 
+def _merged(runs: Iterable[tuple[float, float]], own: dict) -> list[tuple[int, float, float]]:
+    """Runs with short gaps closed, those that are long enough, numbered."""
+    merged: list[list[float]] = []
+    for start, end in runs:
+        if merged and start - merged[-1][1] <= own["merge_gap"]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([start, end])
+    return [(k, *x) for k, x in enumerate(x for x in merged if x[1] - x[0] >= own["min_length"])]
+
+
 def evaluate_parameters(evidence: DataFrame, truth: DataFrame, params: DataFrame, anchor: dict[str, float]) -> DataFrame:
     """params with f1, objective, drift from the anchor and rank_score.
 
@@ -106,29 +134,16 @@ def evaluate_parameters(evidence: DataFrame, truth: DataFrame, params: DataFrame
     fanned = by_video.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((len(listed) - 1) // CHUNK)))).repartition("video_id", "chunk")
 
     def run(batches):
-        from .kernels import Decider
-
         for batch in batches:
             out = []
-            for r, own in ((r, p) for r in batch.itertuples() for p in listed[r.chunk * CHUNK : (r.chunk + 1) * CHUNK]):
-                machine = Decider(Config(**{**base.__dict__, **{k: own[k] for k in BOUNDS}, "grace_frames": round(own["grace_frames"])}))
-                opened, runs = None, []
-                for f in r.frames:
-                    active = machine.step(f["t"], f["has_ball"], f["is_projectile"], f["ball_y"])
-                    if active and opened is None:
-                        opened = f["t"]
-                    if not active and opened is not None:
-                        runs.append((opened, f["t"]))
-                        opened = None
-                if opened is not None:
-                    runs.append((opened, r.frames[-1]["t"]))
-                merged: list[list[float]] = []
-                for s, e in runs:
-                    if merged and s - merged[-1][1] <= own["merge_gap"]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
-                out += [(own["param_id"], r.video_id, k, s, e) for k, (s, e) in enumerate(x for x in merged if x[1] - x[0] >= own["min_length"])]
+            for r in batch.itertuples():
+                frames = columns_of(pd.DataFrame(list(r.frames), columns=["t", "has_ball", "is_projectile", "ball_y"]))
+                for own in listed[r.chunk * CHUNK : (r.chunk + 1) * CHUNK]:
+                    config = Config(**{**base.__dict__, **{k: own[k] for k in BOUNDS}, "grace_frames": round(own["grace_frames"])})
+                    active = decided(Memory(), None, frames, config)[0]
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], active, [False]]).astype(np.int8)))
+                    times = np.append(frames[0], frames[0][-1:])
+                    out += [(own["param_id"], r.video_id, *x) for x in _merged(zip(times[edges[0::2]].tolist(), times[edges[1::2]].tolist(), strict=True), own)]
             yield pd.DataFrame(out, columns=["param_id", "video_id", "seg_idx", "start", "end"])
 
     kind = evidence.schema["video_id"].dataType.simpleString()

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 from . import gate
 from .config import Config
-from .kernels import Court, CourtConfig, Decider, Selector, Tracker
+from .court import CourtConfig, rallies, trace
+from .decider import decide
+from .kernels import Selector, Tracker
+
+__all__ = ["court_rallies", "decide", "gated", "select", "track"]
 
 TRACK_POINTS = "video_id string, frame_idx long, t double, det_idx int, track_id long, age int, x double, y double, raw_x double, raw_y double, vx double, vy double, mean_area double, radius double"
 
@@ -77,22 +81,6 @@ def select(points: DataFrame, frames: DataFrame, config: Config = Config()) -> D
     return flat.groupBy("video_id").applyInPandas(run, EVIDENCE)
 
 
-def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] = ("video_id",)) -> DataFrame:
-    """keys, t and is_active of each row of frames(keys, t, has_ball, is_projectile, ball_y); rows with one time keep no order."""
-    columns = [*keys, "t"]
-    rows = frames.select(*keys, F.col("t").cast("double"), "has_ball", "is_projectile", F.col("ball_y").cast("double"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        machine = Decider(config)
-        out = group[columns].copy()
-        out["is_active"] = [machine.step(t, bool(b), bool(p), None if pd.isna(y) else y) for t, b, p, y in zip(group.t, group.has_ball, group.is_projectile, group.ball_y, strict=True)]
-        return out
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in columns)
-    return rows.groupBy(*keys).applyInPandas(run, f"{schema}, is_active boolean")
-
-
 RALLIES = "video_id string, rally_id int, start_frame long, end_frame long, start_time double, end_time double, net_crossings int, side_changes int, lost_events int, confidence int, end_reason string"
 STATES = "video_id string, frame_idx long, t double, state string, ball_x double, ball_y double"
 
@@ -106,15 +94,11 @@ def court_rallies(detections: DataFrame, nets: DataFrame, config: CourtConfig =
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         net = tuple(float(group[c].iloc[0]) for c in ("net_x", "net_y", "net_w", "net_h"))
-        court, video, log = Court(net, config), group.video_id.iloc[0], []
         group = group.sort_values(["t", "frame_idx", "det_idx"], kind="stable")
         ordered = zip(*(group[c].to_numpy() for c in ("t", "frame_idx", "x", "y", "w", "h", "conf")), strict=True)
-        for (t, frame), own in itertools.groupby(ordered, key=lambda r: r[:2]):
-            state, ball = court.step(int(frame), t, [(x + w / 2, y + h / 2, conf) for _, _, x, y, w, h, conf in own if x == x])
-            log.append((video, frame, t, state, *(ball or (None, None))))
-        if states:
-            return pd.DataFrame(log, columns=[x.split()[0] for x in STATES.split(", ")])
-        names = [x.split()[0] for x in RALLIES.split(", ")]
-        return pd.DataFrame([{"video_id": video} | r for r in court.finish()], columns=names)
+        balls = ((int(frame), t, [(x + w / 2, y + h / 2, conf) for _, _, x, y, w, h, conf in own if x == x]) for (t, frame), own in itertools.groupby(ordered, key=lambda r: r[:2]))
+        log = trace(balls, net, config)
+        out = log.rename(columns={"frame": "frame_idx", "after": "state", "shown_x": "ball_x", "shown_y": "ball_y"}) if states else rallies(log, net, config)
+        return out.assign(video_id=group.video_id.iloc[0])[[x.split()[0] for x in (STATES if states else RALLIES).split(", ")]]
 
     return joined.groupBy("video_id").applyInPandas(run, STATES if states else RALLIES)

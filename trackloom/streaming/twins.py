@@ -1,12 +1,14 @@
 """Streams of frames and of changes.
 
-State is kept per key: per video for the decider, per counter for changes.  Rows
-later than the watermark are dropped by Spark and counted in its progress reports.
+State is kept per key: per video for the decider, per counter for changes.  Where a
+function sets a watermark, later rows are dropped by Spark and counted in its progress reports.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,32 +16,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.config import Config
-from ..operators.kernels import Decider
-
-DECIDER_STATE = "active boolean, since double, run_start double, drops int, last_ball double, last_flight double, ball_y double, seen array<double>"
-_FIELDS = [x.split()[0] for x in DECIDER_STATE.split(", ")]
-
+from ..operators.decider import Memory, columns_of, decided
 
 def decide(frames: DataFrame, config: Config = Config()) -> DataFrame:
-    """video_id, t and is_active of a stream frames(video_id, t, has_ball, is_projectile, ball_y).
+    """video_id, t and is_active of a stream frames(video_id, t, has_ball, is_projectile, ball_y), as soon as they come.
 
     Frames of a video come in order from micro-batch to micro-batch; within one they
-    are sorted here.
+    are sorted here.  State never expires; `live.decide` puts frames in order up to a watermark and forgets silent videos.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = Decider(config)
-        if state.exists:
-            for name, value in zip(_FIELDS, state.get, strict=True):
-                setattr(machine, name, list(value) if name == "seen" else value)
+        memory, since = json.loads(state.get[0]) if state.exists else (asdict(Memory()), None)
         rows = pd.concat(list(parts)).sort_values("t", kind="stable")
-        active = [machine.step(t, bool(b), bool(p), None if pd.isna(y) else y) for t, b, p, y in zip(rows.t, rows.has_ball, rows.is_projectile, rows.ball_y, strict=True)]
-        state.update(tuple(getattr(machine, name) for name in _FIELDS))
+        active, memory, since = decided(Memory(**memory), since, columns_of(rows), config)
+        state.update((json.dumps((asdict(memory), since)),))
         yield pd.DataFrame({"video_id": key[0], "t": rows.t.to_numpy(), "is_active": active})
 
     rows = frames.select("video_id", F.col("t").cast("double").alias("t"), "has_ball", "is_projectile", F.col("ball_y").cast("double").alias("ball_y"))
     kind = rows.schema["video_id"].dataType.simpleString()
-    return rows.groupBy("video_id").applyInPandasWithState(run, f"video_id {kind}, t double, is_active boolean", DECIDER_STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("video_id").applyInPandasWithState(run, f"video_id {kind}, t double, is_active boolean", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_rate(events: DataFrame, ts: str, key: str, flag: str, length: str = "5 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
