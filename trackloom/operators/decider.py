@@ -222,18 +222,14 @@ def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
     rows; the result does not hang on the cut.  Null flags are false; rows with a null time are left out.
     """
     names = [*keys, "piece"]
-    rows = frames.where("t is not null").select(*keys, F.floor(F.col("t").cast("double") / cut).alias("piece"), F.col("t").cast("double"), "has_ball", "is_projectile", F.col("ball_y").cast("double"))
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c)
+    rows = frames.where("t is not null").select(*keys, F.floor(F.col("t").cast("double") / cut).alias("piece"), F.struct(F.col("t").cast("double").alias("t"), flag("has_ball"), flag("is_projectile"), F.coalesce(F.col("ball_y").cast("double"), F.lit(float("nan"))).alias("ball_y")).alias("frame"))
     named = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     same = lambda a, b: [a[c].eqNullSafe(b[f"of_{c}"]) for c in names]
 
-    def packed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t", kind="stable")
-        own = columns_of(group)
-        out = group[names].head(1).copy()
-        out["digest"] = json.dumps(asdict(digest(*own, config)))
-        for name, values in zip(("t", "ball", "flight", "height"), own, strict=True):
-            out[name] = [values.tobytes()]
-        return out
+    def digested(batches):
+        for batch in batches:
+            yield batch[names].assign(digest=[json.dumps(asdict(digest(r.t, r.has_ball, r.is_projectile, r.ball_y, config))) for r in batch.itertuples()])
 
     def remembered(group: pd.DataFrame) -> pd.DataFrame:
         memory, out = Memory(), []
@@ -247,9 +243,8 @@ def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
         for batch in batches:
             found = []
             for r in batch.itertuples():
-                own = np.frombuffer(r.t), np.frombuffer(r.ball, bool), np.frombuffer(r.flight, bool), np.frombuffer(r.height)
-                may = conditions(Memory(**json.loads(r.memory)), *own, config)
-                found.append((may[0].tobytes(), may[1].tobytes(), json.dumps(asdict(exits(own[0], *may, config)))))
+                may = conditions(Memory(**json.loads(r.memory)), r.t, r.has_ball, r.is_projectile, r.ball_y, config)
+                found.append((may[0].tolist(), may[1].tolist(), json.dumps(asdict(exits(r.t, *may, config)))))
             yield batch[[*names, "t"]].assign(**{c: [f[k] for f in found] for k, c in enumerate(("may_start", "may_end", "exits"))})
 
     def followed(group: pd.DataFrame) -> pd.DataFrame:
@@ -260,17 +255,16 @@ def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
             since = Exits(**json.loads(text)).leave(since, config)
         return group[names].assign(since=np.array(out, float))
 
-    def unpacked(batches):
+    def entered(batches):
         for batch in batches:
-            for r in batch.itertuples():
-                t = np.frombuffer(r.t)
-                active, _ = switched(t, np.frombuffer(r.may_start, bool), np.frombuffer(r.may_end, bool), None if pd.isna(r.since) else r.since, config)
-                yield pd.DataFrame({**{c: [getattr(r, c)] * len(t) for c in keys}, "t": t, "is_active": active})
-
-    pieces = rows.groupBy(*names).applyInPandas(packed, f"{named}, digest string, t binary, ball binary, flight binary, height binary")
-    memories = pieces.select(*names, "digest").groupBy(*keys).applyInPandas(remembered, f"{named}, memory string").withColumnsRenamed({c: f"of_{c}" for c in names})
-    judged_pieces = pieces.join(memories, same(pieces, memories)).select(*names, "t", "ball", "flight", "height", "memory").mapInPandas(judged, f"{named}, t binary, may_start binary, may_end binary, exits string")
-    entered = judged_pieces.select(*names, "exits").groupBy(*keys).applyInPandas(followed, f"{named}, since double").withColumnsRenamed({c: f"of_{c}" for c in names})
-    whole = judged_pieces.join(entered, same(judged_pieces, entered)).select(*names, "t", "may_start", "may_end", "since")
+            active = [switched(r.t, r.may_start, r.may_end, None if pd.isna(r.since) else r.since, config)[0].tolist() for r in batch.itertuples()]
+            yield batch[[*keys, "t"]].assign(active=active)
+
+    pieces = rows.groupBy(*names).agg(F.array_sort(F.collect_list("frame")).alias("frames")).select(*names, *[F.col(f"frames.{c}").alias(c) for c in ("t", "has_ball", "is_projectile", "ball_y")])
+    digests = pieces.mapInPandas(digested, f"{named}, digest string")
+    memories = digests.groupBy(*keys).applyInPandas(remembered, f"{named}, memory string").withColumnsRenamed({c: f"of_{c}" for c in names})
+    found = pieces.join(memories, same(pieces, memories)).select(*pieces.columns, "memory").mapInPandas(judged, f"{named}, t array<double>, may_start array<boolean>, may_end array<boolean>, exits string")
+    states = found.select(*names, "exits").groupBy(*keys).applyInPandas(followed, f"{named}, since double").withColumnsRenamed({c: f"of_{c}" for c in names})
     keyed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
-    return whole.mapInPandas(unpacked, f"{keyed}, t double, is_active boolean")
+    out = found.join(states, same(found, states)).select(*found.columns, "since").mapInPandas(entered, f"{keyed}, t array<double>, active array<boolean>")
+    return out.select(*keys, F.explode(F.arrays_zip("t", F.col("active").alias("is_active"))).alias("x")).select(*keys, "x.t", "x.is_active")

@@ -7,8 +7,9 @@ size in shares of the picture), conf and, where it matters, label.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,16 +93,29 @@ class StaticCell:
 
 
 def suppress_static(detections: DataFrame, config: Config = Config(), order: str = "kept_idx") -> DataFrame:
-    """Without hits of cells that stay where they are; rows of a video go by time, then `order`."""
+    """Without hits of cells that stay where they are; rows of a cell go by time, then `order`.
+
+    State is per cell of a video, and so rows are dealt: a video's cells lie in any tasks, and stream by in order.
+    """
     centred = detections.withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
-    celled = centred.withColumn("cell", cell(F.col("cy"), config.static_grid) * config.static_grid + cell(F.col("cx"), config.static_grid))
+    celled = centred.withColumn("cell", cell_of(F.col("cx"), F.col("cy"), config))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, StaticCell(config)
+        for batch in batches:
+            kept = []
+            for video, number, t, x, y in zip(*(batch.column(c).to_pylist() for c in ("video_id", "cell", "t", "cx", "cy")), strict=True):
+                if (video, number) != last:
+                    last, state = (video, number), StaticCell(config)
+                kept.append(state.keeps(t, x, y))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    dealt = celled.repartition("video_id", "cell").sortWithinPartitions("video_id", "cell", "t", order)
+    return dealt.mapInArrow(run, celled.schema).drop("cell", "cx", "cy")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t", order], kind="stable")
-        states: dict[int, StaticCell] = {}
-        return group[[states.setdefault(c, StaticCell(config)).keeps(t, x, y) for c, t, x, y in zip(group.cell, group.t, group.cx, group.cy, strict=True)]]
 
-    return celled.groupBy("video_id").applyInPandas(run, celled.schema).drop("cell", "cx", "cy")
+def cell_of(x: Column, y: Column, config: Config = Config()) -> Column:
+    return cell(y, config.static_grid) * config.static_grid + cell(x, config.static_grid)
 
 
 def sampled(frames: DataFrame, detections: DataFrame, stride: int) -> DataFrame:

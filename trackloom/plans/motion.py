@@ -213,16 +213,6 @@ def _evidence(spark, sf):
 SLOW = Config().scaled(24.0)
 
 
-@query()
-def rally_decider(spark, sf):
-    return stateful.decide(_evidence(spark, sf), SLOW).withColumn("t", F.round("t", 6))
-
-
-@query()
-def evidence_replay(spark, sf):
-    return _rounded(E.replay(_evidence(spark, sf), SLOW, padded=False), "start", "end")
-
-
 @query()
 def param_sweep(spark, sf):
     """Scores of a small seeded grid, all parameters, not only the best."""
@@ -234,21 +224,6 @@ def param_sweep(spark, sf):
     return out.select("param_id", *[F.round(c, 6).alias(c) for c in ("f1", "objective", "drift", "rank_score")])
 
 
-@query()
-def dedupe_greedy(spark, sf):
-    return D.dedupe_by_center(detections(spark, sf)).select("video_id", "frame_idx", "kept_idx", "det_idx")
-
-
-@query()
-def overlap_suppressed(spark, sf):
-    return D.suppress_overlaps(detections(spark, sf).withColumns({"w": F.lit(0.3), "h": F.lit(0.3)})).select("video_id", "frame_idx", "kept_idx", "det_idx")
-
-
-@query()
-def static_suppress(spark, sf):
-    return D.suppress_static(D.dedupe_by_center(detections(spark, sf))).select("video_id", "frame_idx", "det_idx")
-
-
 def _points(spark, sf):
     return stateful.track(D.suppress_static(D.dedupe_by_center(detections(spark, sf))))
 
