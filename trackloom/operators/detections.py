@@ -78,6 +78,16 @@ class StaticCell:
     def __init__(self, config: Config):
         self.config, self.last, self.streak, self.muted_until = config, None, 0, 0.0
 
+    def snapshot(self) -> list:
+        return [self.last, self.streak, self.muted_until]
+
+    @classmethod
+    def resumed(cls, config: Config, kept: list | None) -> StaticCell:
+        state = cls(config)
+        if kept:
+            state.last, state.streak, state.muted_until = kept
+        return state
+
     def keeps(self, t: float, x: float, y: float) -> bool:
         lx, ly, lt = self.last or (x, y, t)
         self.last = x, y, t

@@ -24,6 +24,24 @@ __all__ = ["court_rallies", "decide", "gated", "select", "track"]
 TRACK_POINTS = "video_id string, frame_idx long, t double, det_idx int, track_id long, age int, x double, y double, raw_x double, raw_y double, vx double, vy double, mean_area double, radius double"
 
 
+def followed(tracker: Tracker, rows: pd.DataFrame, stride: bool = False) -> pd.DataFrame:
+    """The points that a tracker makes of one video's rows, which come in order of t, frame_idx and det_idx."""
+    made, wait = [], -1
+    ordered = zip(*(rows[c].to_numpy() for c in ("video_id", "t", "frame_idx", "det_idx", "x", "y", "w", "h")), strict=True)
+    for (video, t, frame), own in itertools.groupby(ordered, key=lambda r: r[:3]):
+        if stride and frame < wait:
+            continue
+        own = list(own)
+        boxes = [(x + w / 2, y + h / 2, w, h) for *_, x, y, w, h in own]
+        joined = tracker.step(t, boxes)
+        by_id = {track.id: track for track in tracker.tracks}
+        for b, track_id in joined:
+            track = by_id[track_id]
+            made.append((video, frame, t, own[b][3], track_id, track.age, track.x, track.y, *boxes[b][:2], track.vx, track.vy, track.mean_area(), track.radius()))
+        wait = frame + tracker.stride(t)
+    return pd.DataFrame(made, columns=[x.split()[0] for x in TRACK_POINTS.split(", ")])
+
+
 def track(detections: DataFrame, config: Config = Config(), stride: bool = False) -> DataFrame:
     """Points of tracks, one per detection that joined or began one; x and y are filtered.
 
@@ -31,21 +49,7 @@ def track(detections: DataFrame, config: Config = Config(), stride: bool = False
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        tracker, rows, wait = Tracker(config), [], -1
-        group = group.sort_values(["t", "frame_idx", "det_idx"], kind="stable")
-        ordered = zip(*(group[c].to_numpy() for c in ("t", "frame_idx", "det_idx", "x", "y", "w", "h")), strict=True)
-        for (t, frame), own_rows in itertools.groupby(ordered, key=lambda r: r[:2]):
-            if stride and frame < wait:
-                continue
-            boxes = list(own_rows)
-            made = [(x + w / 2, y + h / 2, w, h) for _, _, _, x, y, w, h in boxes]
-            joined = tracker.step(t, made)
-            by_id = {x.id: x for x in tracker.tracks}
-            for b, track_id in joined:
-                own = by_id[track_id]
-                rows.append((group.video_id.iloc[0], frame, t, boxes[b][2], track_id, own.age, own.x, own.y, made[b][0], made[b][1], own.vx, own.vy, own.mean_area(), own.radius()))
-            wait = frame + tracker.stride(t)
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in TRACK_POINTS.split(", ")])
+        return followed(Tracker(config), group.sort_values(["t", "frame_idx", "det_idx"], kind="stable"), stride)
 
     return detections.withColumn("video_id", F.col("video_id").cast("string")).groupBy("video_id").applyInPandas(run, TRACK_POINTS)
 
