@@ -13,6 +13,7 @@ from trackloom.operators import metrics as M
 from trackloom.operators.config import Config
 from trackloom.operators import court as K
 from trackloom.operators import decider as P
+from trackloom.operators import timejoin as T
 from trackloom.operators.decider import Decider
 from trackloom.operators.kernels import Selector, Tracker
 
@@ -234,6 +235,47 @@ def test_joins_by_time_equal_brute_force(spark):
             assert near.get(i) == (min(ok)[1] if ok else None) and first.get(i) == (min(j for _, j in ok) if ok else None)
 
 
+def spans_and_points(seed, n=300):
+    """A third of all rows are of one video, crowded in one moment; ranges from none to very long, some turned around."""
+    rnd = random.Random(seed)
+    key = lambda k: "hot" if k % 3 == 0 else rnd.choice(["a", "b", None])
+    points = [(key(k), rnd.choice([50.0 + rnd.random(), 100 * rnd.random()]), k) for k in range(n)] + [("a", None, -1)]
+    ranges = []
+    for k in range(60):
+        start = 100 * rnd.random()
+        ranges.append((key(k), start, start + rnd.choice([0.0, 0.5, 3.0, 3.0, 80.0, -1.0]), k))
+    return points, ranges
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_points_in_ranges_equal_brute_force(spark, how):
+    points, ranges = spans_and_points(1)
+    p, r = spark.createDataFrame(points, "video_id string, t double, id long"), spark.createDataFrame(ranges, "video_id string, start double, end double, seg long")
+    held = {k: [seg for v2, a, b, seg in ranges if v is not None and v == v2 and t is not None and a <= b and a - 0.5 <= t <= b + 0.5] for v, t, k in points}
+    want = {"inner": [(k, s) for k, own in held.items() for s in own], "left": [(k, s) for k, own in held.items() for s in own or [None]], "left_semi": [(k, 0) for k, own in held.items() if own], "left_anti": [(k, 0) for k, own in held.items() if not own]}[how]
+    for large in (5, 10_000):
+        got = [(x.id, x.seg if "seg" in x else 0) for x in T.points_in_ranges(p, r, "video_id", margin=0.5, how=how, large=large).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert T.points_in_ranges(p.where("id < -1"), r, "video_id").count() == 0 and T.points_in_ranges(p, r.where("seg < 0"), "video_id", how="left").count() == len(points)
+
+
+def test_overlaps_equal_brute_force(spark):
+    _, ranges = spans_and_points(2)
+    a = spark.createDataFrame([x for x in ranges if x[2] >= x[1]], "video_id string, start double, end double, seg long")
+    b = a.select("video_id", (F.col("start") + 0.25).alias("start"), (F.col("end") + 1).alias("end"), "seg")
+    for closed in (False, True):
+        want = sorted((x.seg, y.seg) for x in a.collect() for y in b.collect() if x.video_id is not None and x.video_id == y.video_id and (x.start <= y.end and x.end >= y.start if closed else x.start < y.end and x.end > y.start))
+        assert sorted((x.seg, x.r_seg) for x in T.overlapping(a, b, "video_id", closed).collect()) == want
+
+
+def test_a_crowded_moment_is_split(spark):
+    p = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("video_id"), F.when(F.col("id") % 3 == 0, 50.0).otherwise(F.col("id") / 100).alias("t"))
+    r = spark.createDataFrame([("hot", 0.0, 100.0)], "video_id string, start double, end double")
+    hot = T.hot_bins(p.withColumn("bin", F.floor(F.col("t") / 10)), "video_id", 100).collect()
+    assert [(x.hot_key, x.parts) for x in hot] == [("hot", 100)]
+    assert T.points_in_ranges(p, r, "video_id", width=10.0, large=100).count() == 10_000
+
+
 def test_tracker():
     tracker = Tracker()
     box = lambda x, y: (x, y, 0.02, 0.02)

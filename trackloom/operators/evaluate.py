@@ -13,6 +13,7 @@ from ..functions.numeric import ratio
 from . import intervals, stateful
 from .config import Config
 from .decider import Memory, columns_of, decided
+from .settled import settled
 
 #: Fixed ranges of the swept parameters.
 BOUNDS = {"start_buffer": (0.0, 1.5), "end_timeout": (0.3, 3.0), "grace_frames": (0.0, 8.0), "min_active_sec": (0.5, 6.0), "merge_gap": (0.0, 2.0), "min_length": (0.0, 4.0)}
@@ -31,31 +32,20 @@ def greedy_match(pairs: DataFrame, keys: tuple[str, ...] = ("video_id",)) -> Dat
     is checkpointed where the session names a folder for that, else persisted.
     """
     order = [F.desc("iou"), "p_idx", "t_idx"]
-    kept, rest = None, _settled(pairs)
+    kept, rest = None, settled(pairs)
     while not rest.isEmpty():
         ranked = rest
         for side in ("p_idx", "t_idx"):
             ranked = ranked.withColumn(f"best_{side}", F.row_number().over(Window.partitionBy(*keys, side).orderBy(*order)) == 1)
-        best = _settled(ranked.where("best_p_idx and best_t_idx").select(*pairs.columns))
+        best = settled(ranked.where("best_p_idx and best_t_idx").select(*pairs.columns))
         kept = best if kept is None else kept.unionByName(best)
         for side in ("p_idx", "t_idx"):
             taken = best.select(*[F.col(c).alias(f"taken_{c}") for c in (*keys, side)])
             rest = rest.join(taken, [F.col(c).eqNullSafe(F.col(f"taken_{c}")) for c in (*keys, side)], "left_anti")
-        rest = _settled(rest)
+        rest = settled(rest)
     return rest if kept is None else kept
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df, computed once: at a reliable checkpoint if the session has a folder for these."""
-    spark = df.sparkSession
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def score(predicted: DataFrame, truth: DataFrame, matches: DataFrame, keys: tuple[str, ...] = (), tolerance: float = 0.5) -> DataFrame:
     """Counts, precision, recall, F1, boundary errors and the sweep's objective, per `keys` or pooled over all.
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import interval_iou
+from . import timejoin
 from .config import Config
+from .settled import settled
 
 
 def islands(frames: DataFrame, key: str = "video_id", t: str = "t", active: str = "is_active", duration: DataFrame | float | None = None) -> DataFrame:
@@ -63,31 +65,21 @@ def build(frames: DataFrame, key: str = "video_id", duration: DataFrame | float
 
 
 def in_range(points: DataFrame, ranges: DataFrame, key: str, t: str = "t", bin_width: float | None = None, margin: float = 0.0, how: str = "inner") -> DataFrame:
-    """points with the ranges(key, start, end, ...) that hold their time, both ends included.
+    """points with the ranges(key, start, end, ...) that hold their time, both ends included, by bins of time.
 
-    bin_width: cut time into bins of this width and join on them too, for keys with
-    very many rows.  how: inner, left or left_semi; bins are for inner only.
+    bin_width: else it is made from the ranges' lengths.  how: inner, left, left_semi or left_anti.
     """
-    within = (F.col(f"p.{t}") >= F.col("r.start") - margin) & (F.col(f"p.{t}") <= F.col("r.end") + margin)
-    same = F.col(f"p.{key}") == F.col(f"r.{key}")
-    if bin_width is None or how != "inner":
-        joined = points.alias("p").join(ranges.alias("r"), same & within, how)
-        return joined.select("p.*") if how == "left_semi" else joined.select("p.*", *[F.col(f"r.{c}") for c in ranges.columns if c != key])
-    left = points.withColumn("bin", F.floor(F.col(t) / bin_width))
-    spread = F.explode(F.sequence(F.floor((F.col("start") - margin) / bin_width), F.floor((F.col("end") + margin) / bin_width)))
-    right = ranges.withColumn("bin", spread)
-    joined = left.alias("p").join(right.alias("r"), same & (F.col("p.bin") == F.col("r.bin")) & within)
-    return joined.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"r.{c}") for c in ranges.columns if c != key])
+    return timejoin.points_in_ranges(points, ranges if bin_width else settled(ranges), key, t, margin, how, bin_width)
 
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, closed: bool = False) -> DataFrame:
-    """Pairs of rows of one key whose (start, end) overlap; columns of the right get the prefix `r_`.
+def overlapping(left: DataFrame, right: DataFrame, key: str, closed: bool = False, width: float | None = None) -> DataFrame:
+    """Pairs of rows of one key whose (start, end) overlap, by bins of time; columns of the right get the prefix `r_`.
 
     closed: touching ends count.
     """
-    b = right.select(F.col(key).alias("r_key"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != key])
-    test = (F.col("start") <= F.col("r_end")) & (F.col("end") >= F.col("r_start")) if closed else (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))
-    return left.join(b, (F.col(key) == F.col("r_key")) & test).drop("r_key")
+    if width is None:
+        left, right = settled(left), settled(right)
+    return timejoin.overlapping(left, right, key, closed, width)
 
 
 def as_of(probes: DataFrame, rows: DataFrame, key: str, t: str, value: str) -> DataFrame:
@@ -127,8 +119,8 @@ def trail(points: DataFrame, probes: DataFrame, key: str, probe_id: str, history
 
     points(key, track_id, t, ...): tracks are told apart by track_id.
     """
-    p = probes.select(F.col(key).alias("p_key"), probe_id, "at")
-    near = points.join(p, (F.col(key) == F.col("p_key")) & (F.col("t") >= F.col("at") - history) & (F.col("t") <= F.col("at") + ahead)).drop("p_key")
+    p = probes.select(key, probe_id, "at", (F.col("at") - history).alias("start"), (F.col("at") + ahead).alias("end"))
+    near = timejoin.points_in_ranges(points, p, key, width=history + ahead).drop("start", "end")
     return near.withColumn("place", F.row_number().over(Window.partitionBy(probe_id, "track_id").orderBy(F.desc("t")))).where(F.col("place") <= n)
 
 

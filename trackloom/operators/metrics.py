@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
-from . import intervals
+from . import intervals, timejoin
 from .config import Config
+from .settled import settled
 
 
 def histogram(confidence: Column) -> list[Column]:
@@ -52,27 +53,21 @@ def segment_metrics(segments: DataFrame, physics: DataFrame, trajectories: DataF
 
     physics(key, t, is_valid, r2, confidence) within both ends; trajectories(key,
     start, end, n_points) that overlap strictly.  Each is 0 where nothing is there.
-    limits: only as many latest rows count as the history holds.
+    limits: only as many latest rows count as the history holds.  Segments are found once, and rows meet
+    them by bins of time whose width is made from their lengths, unless `bin_width` gives it.
     """
     if limits:
         physics = last_rows(physics, key, "t", config.max_validations)
         trajectories = last_rows(trajectories, key, "end", config.max_trajectories)
     confidence, quality = F.avg("confidence").alias("confidence"), F.avg(F.when(F.col("is_valid") & (F.col("r2") > 0), F.col("r2"))).alias("quality")
     zero = {"confidence": 0.0, "quality": 0.0, "detection_count": 0, "mean_trajectory_length": 0.0}
-    if bin_width is not None:
-        rows = intervals.in_range(physics, segments, key, bin_width=bin_width)
-        p = rows.groupBy(key, "seg_idx").agg(confidence, quality, F.count("*").alias("detection_count"))
-        over = intervals.overlapping(segments, trajectories.select(key, "start", "end", "n_points"), key)
-        t = over.groupBy(key, "seg_idx").agg(F.avg("r_n_points").alias("mean_trajectory_length"))
-        return segments.join(p, [key, "seg_idx"], "left").join(t, [key, "seg_idx"], "left").fillna(zero)
-    # One chain of left joins, so that segments are found once, however they are made.
-    own = [key, *[c for c in segments.columns if c != key]]
-    p = physics.withColumnRenamed(key, "p_key")
-    near = segments.join(p, (F.col(key) == F.col("p_key")) & (F.col("t") >= F.col("start")) & (F.col("t") <= F.col("end")), "left")
-    near = near.groupBy(*own).agg(confidence, quality, F.count("t").alias("detection_count"))
-    t = trajectories.select(F.col(key).alias("t_key"), F.col("start").alias("t_start"), F.col("end").alias("t_end"), "n_points")
-    over = near.join(t, (F.col(key) == F.col("t_key")) & (F.col("t_start") < F.col("end")) & (F.col("t_end") > F.col("start")), "left")
-    return over.groupBy(*own, "confidence", "quality", "detection_count").agg(F.avg("n_points").alias("mean_trajectory_length")).fillna(zero)
+    segments = settled(segments)
+    width = bin_width or timejoin.width_of(segments)
+    rows = timejoin.points_in_ranges(physics, segments, key, width=width)
+    p = rows.groupBy(key, "seg_idx").agg(confidence, quality, F.count("*").alias("detection_count"))
+    over = timejoin.overlapping(segments, trajectories.select(key, "start", "end", "n_points"), key, width=width)
+    t = over.groupBy(key, "seg_idx").agg(F.avg("r_n_points").alias("mean_trajectory_length"))
+    return segments.join(p, [key, "seg_idx"], "left").join(t, [key, "seg_idx"], "left").fillna(zero)
 
 
 def size_trend(points: DataFrame, segments: DataFrame, key: str = "video_id", first: int = 10) -> DataFrame:

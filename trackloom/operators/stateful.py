@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import gate
+from . import gate, timejoin
 from .config import Config
 from .court import CourtConfig, rallies, trace
 from .decider import decide
@@ -66,10 +66,11 @@ EVIDENCE = "video_id string, t double, has_ball boolean, is_projectile boolean,
 def select(points: DataFrame, frames: DataFrame, config: Config = Config()) -> DataFrame:
     """One row per frame of frames(video_id, t): whether a fresh track is there, and the chosen one's verdict."""
     latest = frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("t").cast("double").alias("t"))
-    near = latest.alias("f").join(points.alias("p"), (F.col("f.video_id") == F.col("p.video_id")) & (F.col("p.t") <= F.col("f.t")) & (F.col("p.t") >= F.col("f.t") - config.fresh_sec), "left")
-    w = Window.partitionBy("f.video_id", "f.t", "p.track_id").orderBy(F.desc("p.t"))
+    fresh = points.select("video_id", F.col("t").alias("start"), (F.col("t") + config.fresh_sec).alias("end"), "track_id", "is_valid", "gate_confidence", "acceleration", "mean_area", "age", "y")
+    near = timejoin.points_in_ranges(latest, fresh, "video_id", how="left", width=4 * config.fresh_sec)
+    w = Window.partitionBy("video_id", "t", "track_id").orderBy(F.desc("start"))
     last = near.withColumn("place", F.row_number().over(w)).where("place = 1")
-    flat = last.select("f.video_id", "f.t", "p.track_id", "p.is_valid", "p.gate_confidence", "p.acceleration", "p.mean_area", "p.age", "p.y")
+    flat = last.select("video_id", "t", "track_id", "is_valid", "gate_confidence", "acceleration", "mean_area", "age", "y")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         chooser, rows = Selector(config), []
