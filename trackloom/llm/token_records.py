@@ -105,9 +105,10 @@ class Encoder:
         split = made["pre_tokenizer"] or {}
         self.added = [x["content"].encode() for x in made["added_tokens"]]
         self.by_piece = made["normalizer"] is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Keep no pieces; the empty tables take no memory until they are written to."""
         self.keys, self.ends = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
         self.lengths = np.zeros(SLOTS, np.uint8)  # 0: free
         self.at, self.sizes = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
@@ -182,7 +183,7 @@ class Encoder:
     def _known(self, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool each piece's ids are, and how many."""
         if self.known > SLOTS // 4 or len(self.long) > SLOTS // 8 or self.used > MEMO_IDS:
-            self._forget()
+            self.forget()
         size = ends - starts
         at, sizes = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
         long = np.flatnonzero(size > SHORT_PIECE)
@@ -261,6 +262,7 @@ def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int, file_byte
                 size += len(one) + 1
     if own:
         yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(own)], pa.binary())], ["frames"])
+    coder.forget()  # a worker that waits for another task would keep its tables, and an executor has more workers than tasks
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, file_bytes: int = FILE_BYTES) -> None:
