@@ -1,13 +1,15 @@
 """Stateful streams against their batch twins, with rows out of order, late rows and silent keys."""
 
 import random
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.operators import detections as D
-from trackloom.operators import stateful
-from trackloom.streaming import live
+from trackloom.operators import intervals, stateful
+from trackloom.streaming import live, twins
 
 FRAMES = "video_id long, t double, has_ball boolean, is_projectile boolean, ball_y double"
 BOXES = "video_id string, frame_idx long, t double, det_idx int, x double, y double, w double, h double, kept_idx int"
@@ -101,3 +103,56 @@ def test_static_cells_in_any_order(spark, stream):
     with pytest.raises(ValueError):
         live.suppress_static(spark.createDataFrame([], BOXES), silent=5.0)
 
+
+
+def test_counters_after_replay_and_compaction(spark, tmp_path):
+    changes, table = str(tmp_path / "changes"), str(tmp_path / "table")
+
+    def put(k, rows):
+        spark.createDataFrame(rows, "key string, delta long").coalesce(1).write.mode("append").json(changes)
+        read = spark.readStream.schema("key string, delta long").json(changes)
+        twins.into_table(read, table, str(tmp_path / f"checkpoint{k}"), "key", "n").awaitTermination(120)
+
+    def counts():
+        return {r.key: r.n for r in twins.counter_table(spark, table, "key", "n", clamp=False).collect()}
+
+    put(0, [("a", 1), ("b", 2)])
+    put(0, [("a", 1), ("c", -1)])
+    put(0, [("b", 5)])
+    want = {"a": 2, "b": 7, "c": -1}
+    assert counts() == want
+    assert twins.compact(spark, table, "key", "n", upto=1) == 1 and counts() == want
+    # batch 0 is written again, as after a failure between its write and its commit
+    spark.createDataFrame([("a", 1), ("b", 2)], "key string, n long").write.mode("overwrite").parquet(f"{table}/batch=0")
+    assert counts() == want
+    # a compaction that ended before it was finished
+    spark.createDataFrame([("a", 99)], "key string, n long").write.parquet(f"{table}/base=2")
+    (tmp_path / "table" / "base=2" / "_SUCCESS").unlink()
+    assert counts() == want
+    twins.sweep(spark, table)
+    assert counts() == want and not (tmp_path / "table" / "batch=0").exists() and (tmp_path / "table" / "batch=2").exists()
+    assert twins.compact(spark, table, "key", "n") == 2 and counts() == want
+    put(0, [("d", 3)])
+    assert counts() == want | {"d": 3}
+
+
+def test_streams_joined_in_time(spark, tmp_path):
+    rnd = random.Random(9)
+    at = lambda k: datetime(2024, 1, 1) + timedelta(seconds=k)
+    probes = [(rnd.choice("xy"), at(k * 7 + rnd.randrange(5)), k) for k in range(40)]
+    rows = [(rnd.choice("xy"), at(rnd.randrange(300)), k) for k in range(80)]
+    for name, schema, data in (("p", "key string, ts timestamp, probe long", probes), ("r", "key string, ts timestamp, row long", rows)):
+        ends = [("z", at(100_000 + k), -1 - k) for k in range(2)]
+        for k, part in enumerate((data[::2], data[1::2], ends[:1], ends[1:])):
+            spark.createDataFrame(part, schema).coalesce(1).write.json(str(tmp_path / name / f"{k}"))
+    for nearest in (True, False):
+        read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(tmp_path / name))
+        found = twins.nearest_within(read("p", "key string, ts timestamp, probe long"), read("r", "key string, ts timestamp, row long"), "key", "row", "5 seconds", "probe", "10 minutes", nearest)
+        out = str(tmp_path / f"out{nearest}")
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        assert query.exception() is None
+        got = {r.probe: r.row for r in spark.read.parquet(out).collect() if r.probe >= 0}
+        p, r = (spark.createDataFrame(d, f"key string, ts timestamp, {n} long").withColumn("t", F.unix_timestamp("ts").cast("double")) for d, n in ((probes, "probe"), (rows, "row")))
+        batch = intervals.nearest_within(p, r, "key", "t", "row", 5.0, "probe") if nearest else intervals.first_within(p, r, "key", "t", "row", 5.000001, "probe")
+        assert got == {x.probe: x.r_row for x in batch.collect()} and got

@@ -323,6 +323,22 @@ def test_tracks_do_not_depend_on_row_order(spark):
     assert sorted(map(repr, a)) == sorted(map(repr, b)) and {r.track_id for r in a} == {1, 2, 3}
 
 
+def test_tracker_chooses_its_frames(spark):
+    rnd = random.Random(6)
+    rows = [("v", k, k / 30, i, x, y, 0.03, 0.03) for k in range(1, 200) if not 80 < k < 150 for i, (x, y) in enumerate([(0.1 + k / 400, 0.3)] + [(rnd.random(), rnd.random())] * (k % 3 == 0))]
+    tracker, want, wait = Tracker(C), [], 0
+    for k in sorted({r[1] for r in rows}):
+        if k < wait:
+            continue
+        own = [r for r in rows if r[1] == k]
+        for b, track_id in tracker.step(k / 30, [(x + w / 2, y + h / 2, w, h) for *_, x, y, w, h in own]):
+            want.append((k, own[b][3], track_id))
+        wait = k + tracker.stride(k / 30)
+    table = spark.createDataFrame(rows, "video_id string, frame_idx long, t double, det_idx int, x double, y double, w double, h double").repartition(3)
+    got = sorted((r.frame_idx, r.det_idx, r.track_id) for r in stateful.track(table, C, stride=True).collect())
+    assert got == sorted(want) and len(got) < stateful.track(table, C).count()
+
+
 def test_selector_sticks():
     s = Selector()
     assert s.step([(1, True, 0.8, 0.8, 0.01, 9), (2, True, 0.7, 0.8, 0.01, 9)])[0] == 1

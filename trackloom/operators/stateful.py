@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,20 +26,26 @@ TRACK_POINTS = "video_id string, frame_idx long, t double, det_idx int, track_id
 
 
 def followed(tracker: Tracker, rows: pd.DataFrame, stride: bool = False) -> pd.DataFrame:
-    """The points that a tracker makes of one video's rows, which come in order of t, frame_idx and det_idx."""
-    made, wait = [], -1
-    ordered = zip(*(rows[c].to_numpy() for c in ("video_id", "t", "frame_idx", "det_idx", "x", "y", "w", "h")), strict=True)
-    for (video, t, frame), own in itertools.groupby(ordered, key=lambda r: r[:3]):
-        if stride and frame < wait:
-            continue
-        own = list(own)
-        boxes = [(x + w / 2, y + h / 2, w, h) for *_, x, y, w, h in own]
-        joined = tracker.step(t, boxes)
+    """The points that a tracker makes of one video's rows, which come in order of t, frame_idx and det_idx.
+
+    stride: after each frame the tracker says how many frames on it wants to be, and the first frame
+    from there on is looked up; rows between are not touched.
+    """
+    columns = {c: rows[c].to_numpy() for c in ("video_id", "t", "frame_idx", "det_idx", "x", "y", "w", "h")}
+    frame, t = columns["frame_idx"], columns["t"]
+    starts = np.flatnonzero(np.append(True, (frame[1:] != frame[:-1]) | (t[1:] != t[:-1]))) if len(rows) else np.empty(0, np.int64)
+    ends, reach = np.append(starts[1:], len(rows)), np.maximum.accumulate(frame[starts])
+    made, k = [], 0
+    while k < len(starts):
+        a, b = starts[k], ends[k]
+        boxes = [(x + w / 2, y + h / 2, w, h) for x, y, w, h in zip(*(columns[c][a:b].tolist() for c in "xywh"), strict=True)]
+        now = float(t[a])
+        joined = tracker.step(now, boxes)
         by_id = {track.id: track for track in tracker.tracks}
-        for b, track_id in joined:
+        for at, track_id in joined:
             track = by_id[track_id]
-            made.append((video, frame, t, own[b][3], track_id, track.age, track.x, track.y, *boxes[b][:2], track.vx, track.vy, track.mean_area(), track.radius()))
-        wait = frame + tracker.stride(t)
+            made.append((columns["video_id"][a], frame[a], now, columns["det_idx"][a + at], track_id, track.age, track.x, track.y, *boxes[at][:2], track.vx, track.vy, track.mean_area(), track.radius()))
+        k = max(k + 1, int(np.searchsorted(reach, frame[a] + tracker.stride(now)))) if stride else k + 1
     return pd.DataFrame(made, columns=[x.split()[0] for x in TRACK_POINTS.split(", ")])
 
 

@@ -233,6 +233,13 @@ def kalman_track(spark, sf):
     return _points(spark, sf).select("video_id", "frame_idx", "det_idx", "track_id", "age", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+@query()
+def kalman_track_strided(spark, sf):
+    """Tracks of the frames that the tracker itself chooses to look at."""
+    rows = stateful.track(D.dedupe_by_center(detections(spark, sf)), stride=True)
+    return rows.select("video_id", "frame_idx", "det_idx", "track_id", "age", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 @query()
 def physics_gate(spark, sf):
     return stateful.gated(_points(spark, sf)).select("video_id", "frame_idx", "track_id", "is_valid", F.round("r2", 6).alias("r2"), "movement_type", "rejection_reason")
