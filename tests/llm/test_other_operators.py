@@ -277,3 +277,11 @@ def test_bounds_leave_out_blocks_of_gathered_vectors():
     scores[np.arange(50), np.arange(50)] = -np.inf
     assert all(sorted(best.rows[q][0].tolist()) == np.sort(scores[q])[-10:].tolist() for q in range(50))
     assert visited < 0.3 * 50 * len(blocks)
+
+
+def test_blocks_of_vectors_fall_on_all_groups(spark):
+    rows = spark.range(64 * 48, numPartitions=64).select(F.col("id").alias("vec_id"), F.array(*[F.rand(3).cast("float") for _ in range(4)]).alias("embedding"))
+    for n in (16, 200):
+        blocks = topk._blocks(rows.withColumn("embedding", F.col("embedding").cast("array<double>")), 1024, 4)
+        sizes = [r["count"] for r in blocks.groupBy(topk._place(n).alias("place")).count().collect()]
+        assert len(sizes) > 0.9 * n and max(sizes) < 3 * sum(sizes) / n + 5

@@ -369,3 +369,12 @@ def test_line_dedup_of_long_texts_and_rows_without_ids(spark):
     assert time.perf_counter() - began < 90
     assert got[2, 1000].n_removed > 990 and got[None, 500].n_removed > 490 and got[None, 3].n_removed == 0
     assert got[1, 400_000].n_removed > 380_000
+
+
+def test_benchmark_blocks_have_a_checked_size(spark):
+    sizes = [10, 2000, 10, 0, 700, 700, 5000, 1, 1, 1]
+    items = spark.createDataFrame([(k, "x" * n if n else None) for k, n in enumerate(sizes)], "item_id long, text string").repartition(4)
+    blocks = list(decontaminate._blocks(items, 1500))
+    assert sorted(k for b in blocks for k, _ in b) == [k for k, n in enumerate(sizes) if n]
+    assert all(len(b) == 1 or sum(len(t) for _, t in b) <= 1500 for b in blocks) and all(blocks)
+    assert list(decontaminate._blocks(items.where("item_id < 0"), 1500)) == [[]]

@@ -165,6 +165,11 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, size), "vec_id": np.concatenate([f for _, f in best.rows]), "score": np.concatenate([s for s, _ in best.rows])})
 
 
+def _place(n: int) -> Column:
+    """The group of a block, by its ids: running numbers of rows would fall on few of 2**k groups."""
+    return F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best scores among all other rows.
 
@@ -188,7 +193,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE)
     shared = spark.sparkContext.broadcast({dims: tuple(map(np.concatenate, zip(*own, strict=True))) for dims, own in sample.items()})
     bounded = asked.mapInArrow(lambda batches: _first_bounds(batches, shared.value, k), _BLOCKS + ", least binary")
     place = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    every = blocks.select(F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int").alias("place"), F.lit(0).alias("kind"), "dims", "ids", "data", F.lit(None).cast("binary").alias("least"))
+    every = blocks.select(_place(n).alias("place"), F.lit(0).alias("kind"), "dims", "ids", "data", F.lit(None).cast("binary").alias("least"))
     every = every.unionByName(bounded.select(place.alias("place"), F.lit(1).alias("kind"), "dims", "ids", "data", "least"))
     met = every.repartition(n, "place").sortWithinPartitions("place", "kind")
     found = met.mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
