@@ -263,3 +263,23 @@ def strip(evidence: DataFrame, key: str) -> DataFrame:
     colour = F.when(F.col("is_projectile"), "projectile").when(F.col("has_ball"), "vetoed").otherwise("none")
     after = F.lead("t").over(Window.partitionBy(key).orderBy("t"))
     return evidence.withColumns({"colour": colour, "width": F.coalesce(after, F.col("t")) - F.col("t")})
+
+
+def variation(value: str, reference: float = 0.25) -> dict[str, Column]:
+    """Aggregates over rows, which combine before a shuffle: `functions.numeric.cv_open`, `steadiness` and `size_dynamics` of a column, without an array of it."""
+    v = F.col(value)
+    positive = F.when(~F.isnan(v) & (v > 0) & (v < float("inf")), v)
+    return {
+        "open_cv": F.when(F.count(v) < 2, F.lit(0.0)).when(F.avg(v) > 0, F.stddev_pop(v) / F.avg(v)).otherwise(F.lit(1.0)),
+        "steadiness": F.when(F.count(positive) >= 2, N.clamp(1 - F.stddev_pop(positive) / F.avg(positive))).otherwise(F.lit(0.0)),
+        "dynamics": F.when((F.count(v) >= 3) & (F.avg(v) > 1e-9), F.least(F.lit(1.0), F.stddev_pop(v) / F.avg(v) / reference)).otherwise(F.lit(0.0)),
+    }
+
+
+def speed_variation(points: DataFrame, key: str = "video_id") -> DataFrame:
+    """(key, cv): variation of the speeds between points(key, t, x, y) that follow each other, at most 1, and 1 without a positive mean."""
+    w = Window.partitionBy(key).orderBy("t")
+    took = F.col("t") - F.lag("t").over(w)
+    speed = F.when(took > 0, F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) / took)
+    by = points.select(key, speed.alias("speed")).where("speed is not null").groupBy(key)
+    return by.agg(F.when(F.avg("speed") > 0, F.least(F.lit(1.0), F.stddev_pop("speed") / F.avg("speed"))).otherwise(F.lit(1.0)).alias("cv"))

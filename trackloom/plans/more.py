@@ -121,9 +121,8 @@ def quality_levels(spark, sf):
 
 @query("SELECT user_id AS video_id, CAST(ts AS DATE) AS day, round(CASE WHEN count(*) < 2 THEN 0.0 WHEN avg(value) > 0 THEN stddev_pop(value) / avg(value) ELSE 1.0 END, 6) AS open_cv, round(CASE WHEN count_if(value > 0) >= 2 THEN greatest(0.0, least(1.0, 1 - stddev_pop(value) FILTER (value > 0) / avg(value) FILTER (value > 0))) ELSE 0.0 END, 6) AS steadiness, round(CASE WHEN count(*) >= 3 AND avg(value) > 1e-9 THEN least(1.0, stddev_pop(value) / avg(value) / 0.25) ELSE 0.0 END, 6) AS dynamics FROM events GROUP BY ALL")
 def value_variation(spark, sf):
-    by = table(spark, sf, "events").groupBy(F.col("user_id").alias("video_id"), F.to_date("ts").alias("day")).agg(F.collect_list("value").alias("v"))
-    v = F.col("v")
-    return by.select("video_id", "day", F.round(N.cv_open(v), 6).alias("open_cv"), F.round(N.steadiness(v), 6).alias("steadiness"), F.round(N.size_dynamics(v), 6).alias("dynamics"))
+    by = table(spark, sf, "events").groupBy(F.col("user_id").alias("video_id"), F.to_date("ts").alias("day"))
+    return by.agg(*[F.round(c, 6).alias(name) for name, c in M.variation("value").items()])
 
 
 @query("SELECT c_custkey AS id, c_name AS username FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'user_' || substr(CAST(c_custkey AS VARCHAR), 1, 8) FROM customer WHERE c_custkey % 2 = 1")

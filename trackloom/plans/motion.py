@@ -84,9 +84,8 @@ def confidence_histogram(spark, sf):
 @query(f"""WITH {FRAMES_SQL}, l AS (SELECT video_id, t - lag(t) OVER {_W} AS dt, abs(value - lag(value) OVER {_W}) AS dv FROM frames), v AS (SELECT video_id, dv / dt AS v FROM l WHERE dt > 0)
 SELECT video_id, round(CASE WHEN avg(v) > 0 THEN least(1.0, stddev_pop(v) / avg(v)) ELSE 1.0 END, 6) AS cv FROM v GROUP BY video_id""")
 def lag_velocity_cv(spark, sf):
-    point = F.struct("t", F.lit(0.0).alias("x"), F.col("value").alias("y"))
-    tracks = frames(spark, sf).groupBy("video_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
-    return tracks.select("video_id", F.round(N.cv_capped(N.speeds(F.col("points"))), 6).alias("cv"))
+    points = frames(spark, sf).select("video_id", "t", F.lit(0.0).alias("x"), F.col("value").alias("y"))
+    return _rounded(M.speed_variation(points), "cv")
 
 
 @query(f"""WITH {FRAMES_SQL}, x AS (SELECT video_id, (t - min(t) OVER (PARTITION BY video_id)) / 720 AS t, value / 500 AS y FROM frames),
