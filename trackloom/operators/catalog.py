@@ -170,17 +170,14 @@ def review_state(actions: DataFrame, key: str = "video_id") -> DataFrame:
 
     save, remove and favorite add; undo_* takes out of that set.  Removing takes an
     index out of saved and favorited, and undoing that does not bring them back.
-    """
-    ordered = actions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "idx"))).alias("log"))
-    empty = F.expr("named_struct('saved', array_remove(array(0), 0), 'removed', array_remove(array(0), 0), 'favorited', array_remove(array(0), 0))")
-
-    def apply(acc: Column, a: Column) -> Column:
-        i, what = F.array(a["idx"]), a["action"]
-        put = lambda name, add, drop: F.when(what.isin(*add), F.array_union(acc[name], i)).when(what.isin(*drop), F.array_except(acc[name], i)).otherwise(acc[name]).alias(name)
-        return F.struct(put("saved", ["save"], ["undo_save", "remove"]), put("removed", ["remove"], ["undo_remove", "save"]), put("favorited", ["favorite"], ["undo_favorite", "remove"]))
 
-    done = ordered.withColumn("s", F.aggregate("log", empty, apply))
-    return done.select(key, *[F.array_sort(F.col("s")[c]).alias(c) for c in ("saved", "removed", "favorited")])
+    Of an index only the last action that touches a set counts for it, so no log is gathered.
+    """
+    last = lambda add, *drop: F.max(F.when(F.col("action").isin(add, *drop), F.struct("seq", "action")))["action"] == add
+    ends = actions.groupBy(key, "idx").agg(
+        last("save", "undo_save", "remove").alias("saved"), last("remove", "undo_remove", "save").alias("removed"), last("favorite", "undo_favorite", "remove").alias("favorited")
+    )
+    return ends.groupBy(key).agg(*[F.array_sort(F.collect_list(F.when(F.col(c), F.col("idx")))).alias(c) for c in ("saved", "removed", "favorited")])
 
 
 def free_names(wanted: DataFrame, folders: DataFrame) -> DataFrame:

@@ -142,7 +142,14 @@ def upload_summary(spark, sf):
 _ACTIONS = "CASE event_type WHEN 'view' THEN 'save' WHEN 'click' THEN 'remove' WHEN 'purchase' THEN 'favorite' WHEN 'error' THEN 'undo_remove' ELSE 'undo_save' END"
 
 
-@query()
+def _kept(add: str, *drop: str) -> str:
+    return f"coalesce(arg_max(action, seq) FILTER (action IN {(add, *drop)}) = '{add}', FALSE)"
+
+
+@query(f"""WITH a AS (SELECT user_id AS video_id, event_id AS seq, {_ACTIONS} AS action, CAST(floor(value) AS BIGINT) % 6 AS idx FROM events),
+s AS (SELECT video_id, idx, {_kept('save', 'undo_save', 'remove')} AS saved, {_kept('remove', 'undo_remove', 'save')} AS removed, {_kept('favorite', 'undo_favorite', 'remove')} AS favorited FROM a GROUP BY video_id, idx)
+SELECT video_id, coalesce(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (saved), '') AS saved, coalesce(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (removed), '') AS removed,
+  coalesce(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (favorited), '') AS favorited FROM s GROUP BY video_id""")
 def review_state(spark, sf):
     rows = table(spark, sf, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("seq"), F.expr(_ACTIONS).alias("action"), (F.floor("value") % 6).cast("int").alias("idx"))
     return C.review_state(rows).select("video_id", *[F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("saved", "removed", "favorited")])

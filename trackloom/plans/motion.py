@@ -343,7 +343,19 @@ def _staged(f):
     return f.where("video_id < '2'").select(F.col("video_id").alias("local_video_id")).distinct().orderBy("local_video_id").limit(20)
 
 
-@query()
+@query(f"""WITH {FRAMES_SQL}, m AS (SELECT *, lead(t) OVER {_W} AS nx, CASE WHEN is_active AND NOT coalesce(lag(is_active) OVER {_W}, FALSE) THEN 1 ELSE 0 END AS s FROM frames),
+r AS (SELECT *, sum(s) OVER {_W} AS run FROM m),
+islands AS (SELECT video_id, run, min(t) AS st, arg_max(coalesce(nx, t), t) AS en FROM r WHERE is_active GROUP BY video_id, run),
+padded AS (SELECT video_id, greatest(0.0, st - CASE WHEN en - st < {C.short_sec} THEN {C.short_preroll} ELSE {C.preroll} END) AS st, en + {C.postroll} AS en FROM islands),
+marked AS (SELECT *, CASE WHEN st - max(en) OVER (PARTITION BY video_id ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= {C.merge_gap} THEN 0 ELSE 1 END AS fresh FROM padded),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id ORDER BY st, en) AS g FROM marked),
+merged AS (SELECT video_id, min(st) AS st, max(en) AS en FROM grouped GROUP BY video_id, g),
+segments AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY st) - 1 AS seg_idx, st, en FROM merged WHERE en - st >= {C.min_length}),
+sure AS (SELECT CAST(s.video_id AS VARCHAR) AS video_id, s.seg_idx, coalesce(avg(f.value / 490.02), 0) AS confidence FROM segments s LEFT JOIN frames f ON f.video_id = s.video_id AND f.t BETWEEN s.st AND s.en GROUP BY ALL),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY confidence, seg_idx) AS place FROM sure WHERE confidence <= 0.5),
+staged AS (SELECT DISTINCT CAST(video_id AS VARCHAR) AS video_id FROM frames WHERE CAST(video_id AS VARCHAR) < '2' ORDER BY 1 LIMIT 20),
+added AS (SELECT DISTINCT video_id FROM chosen WHERE place <= 2 AND video_id NOT IN (SELECT video_id FROM staged) ORDER BY 1 LIMIT (SELECT greatest(0, 50 - count(*)) FROM staged))
+SELECT video_id AS local_video_id, place AS seq, 'low_score' AS reason FROM chosen WHERE place <= 2 AND video_id IN (SELECT video_id FROM staged UNION ALL SELECT video_id FROM added)""")
 def passive_capture(spark, sf):
     from ..operators.capture import capture
 
