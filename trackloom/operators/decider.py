@@ -231,13 +231,16 @@ def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
         for batch in batches:
             yield batch[names].assign(digest=[json.dumps(asdict(digest(r.t, r.has_ball, r.is_projectile, r.ball_y, config))) for r in batch.itertuples()])
 
-    def remembered(group: pd.DataFrame) -> pd.DataFrame:
-        memory, out = Memory(), []
-        group = group.sort_values("piece")
-        for text in group.digest:
-            out.append(json.dumps(asdict(memory)))
-            memory = after(memory, Digest(**json.loads(text)), config)
-        return group[names].assign(memory=out)
+    def remembered(batches):
+        for batch in batches:
+            found = []
+            for digests in batch["own"]:
+                memory, out = Memory(), []
+                for text in digests:
+                    out.append(json.dumps(asdict(memory)))
+                    memory = after(memory, Digest(**json.loads(text)), config)
+                found.append(out)
+            yield batch[[*keys, "piece"]].assign(memory=found)
 
     def judged(batches):
         for batch in batches:
@@ -247,13 +250,23 @@ def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
                 found.append((may[0].tolist(), may[1].tolist(), json.dumps(asdict(exits(r.t, *may, config)))))
             yield batch[[*names, "t"]].assign(**{c: [f[k] for f in found] for k, c in enumerate(("may_start", "may_end", "exits"))})
 
-    def followed(group: pd.DataFrame) -> pd.DataFrame:
-        since, out = None, []
-        group = group.sort_values("piece")
-        for text in group.exits:
-            out.append(since)
-            since = Exits(**json.loads(text)).leave(since, config)
-        return group[names].assign(since=np.array(out, float))
+    def followed(batches):
+        for batch in batches:
+            found = []
+            for tables in batch["own"]:
+                since, out = None, []
+                for text in tables:
+                    out.append(since)
+                    since = Exits(**json.loads(text)).leave(since, config)
+                found.append(out)
+            yield batch[[*keys, "piece"]].assign(since=found)
+
+    def in_order(pieces: DataFrame, what: str, run, out: str, kind: str) -> DataFrame:
+        """A row per piece with what `run` makes of all pieces of its video, one text each, in order."""
+        own = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece", F.col(what).alias("text")))).alias("own"))
+        made = own.select(*keys, F.col("own.piece").alias("piece"), F.col("own.text").alias("own")).mapInPandas(run, f"{keyed}, piece array<bigint>, {out} array<{kind}>")
+        flat = made.select(*keys, F.explode(F.arrays_zip("piece", out)).alias("x")).select(*[F.col(c).alias(f"of_{c}") for c in keys], F.col("x.piece").alias("of_piece"), f"x.{out}")
+        return flat
 
     def entered(batches):
         for batch in batches:
@@ -262,9 +275,9 @@ def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
 
     pieces = rows.groupBy(*names).agg(F.array_sort(F.collect_list("frame")).alias("frames")).select(*names, *[F.col(f"frames.{c}").alias(c) for c in ("t", "has_ball", "is_projectile", "ball_y")])
     digests = pieces.mapInPandas(digested, f"{named}, digest string")
-    memories = digests.groupBy(*keys).applyInPandas(remembered, f"{named}, memory string").withColumnsRenamed({c: f"of_{c}" for c in names})
-    found = pieces.join(memories, same(pieces, memories)).select(*pieces.columns, "memory").mapInPandas(judged, f"{named}, t array<double>, may_start array<boolean>, may_end array<boolean>, exits string")
-    states = found.select(*names, "exits").groupBy(*keys).applyInPandas(followed, f"{named}, since double").withColumnsRenamed({c: f"of_{c}" for c in names})
     keyed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    memories = in_order(digests, "digest", remembered, "memory", "string")
+    found = pieces.join(memories, same(pieces, memories)).select(*pieces.columns, "memory").mapInPandas(judged, f"{named}, t array<double>, may_start array<boolean>, may_end array<boolean>, exits string")
+    states = in_order(found.select(*names, "exits"), "exits", followed, "since", "double")
     out = found.join(states, same(found, states)).select(*found.columns, "since").mapInPandas(entered, f"{keyed}, t array<double>, active array<boolean>")
     return out.select(*keys, F.explode(F.arrays_zip("t", F.col("active").alias("is_active"))).alias("x")).select(*keys, "x.t", "x.is_active")
