@@ -35,7 +35,7 @@ from .common import checkpoint_dir, mix, text_slices
 MASK = 0xA282EAD8
 HEAD, INNER = struct.Struct("<QI"), struct.Struct("<qBB")
 #: Bytes of frames after which a file ends; a reader takes a file at a time.  One larger frame is a file by itself.
-FILE_BYTES = 4 << 20
+FILE_BYTES = 32 << 20
 #: Slots of an encoder's table of pieces, half of which are filled at most, and ids that it keeps.
 SLOT_BITS = 21
 SLOTS, MEMO_IDS = 1 << SLOT_BITS, 6_000_000
@@ -262,7 +262,6 @@ def _frames(batches: Iterator[pa.RecordBatch], path: str, end_id: int, file_byte
                 size += len(one) + 1
     if own:
         yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(own)], pa.binary())], ["frames"])
-    coder.forget()  # a worker that waits for another task would keep its tables, and an executor has more workers than tasks
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, file_bytes: int = FILE_BYTES) -> None:
