@@ -12,6 +12,7 @@ SEARCH_STRIPPED = ',(){}"\\'
 MOST_CHARACTERS, UNNAMED = 255, "New Folder"
 #: White space and line breaks, also those beyond ASCII, as a set of a pattern.
 BLANK = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Names that no file may have, and characters that no name may hold.
 RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"{x}{k}" for x in ("COM", "LPT") for k in range(1, 10))]
 FORBIDDEN = r'[/\\:*?"<>|]'
 MEBIBYTE, GIBIBYTE = 1 << 20, 1 << 30

@@ -117,6 +117,7 @@ def validate(df: DataFrame, points: str = "points", loop_points: str = "loop_poi
     loops = F.lit(c.reject_loops) & (F.size(loop_points) >= 4) & (excursion >= c.loop_min_excursion) & (F.abs(F.element_at(xs, -1) - F.get(xs, F.lit(0))) <= excursion * c.loop_return_ratio)
     kind = F.col("movement_type")
     vetoes = F.lit(c.classify)
+    # The reasons are fixed output values.
     reason = (
         F.when(n < c.min_points, "too few points in window")
         .when(F.hypot(last["x"] - prior["x"], last["y"] - prior["y"]) > c.max_jump, "position jump too big")
