@@ -2,13 +2,15 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom.functions import numeric as N
 from trackloom.operators import detections as D
 from trackloom.operators import evaluate as E
-from trackloom.operators import gate, intervals, stateful
+from trackloom.operators import gate, intervals, lockstep, stateful
 from trackloom.operators import metrics as M
 from trackloom.operators.config import Config
 from trackloom.operators import court as K
@@ -339,6 +341,41 @@ def test_tracker_chooses_its_frames(spark):
     assert got == sorted(want) and len(got) < stateful.track(table, C).count()
 
 
+def random_boxes(seed, videos=12, frames=90):
+    rnd, rows = random.Random(seed), []
+    for v in range(videos):
+        t = 0.0
+        for k in range(1, rnd.randrange(1, frames)):
+            t += rnd.choice([0.0, 1 / 30, 1 / 30, 1 / 30, 0.5, 2.5])
+            spots = [(0.1 + k / 200, 0.3), (0.1 + k / 200, 0.34), (rnd.random() * 0.3, rnd.random() * 0.3), (0.5, 0.5)]
+            own = rnd.sample(spots, rnd.randrange(1, 5))
+            rows += [(f"v{v:02}", 2 * k, t, d, x, y, rnd.choice([0.03, 0.05]), 0.03) for d, (x, y) in enumerate(own)]
+    return pd.DataFrame(rows, columns=["video_id", "frame_idx", "t", "det_idx", "x", "y", "w", "h"])
+
+
+@pytest.mark.parametrize("stride", [False, True])
+@pytest.mark.parametrize("config", [C, Config(strong_age=1, max_positions=7), Config(area_points=3, stale_sec=0.4)])
+def test_videos_in_step_equal_each_alone(config, stride):
+    """Many videos advance in one step, in portions of any size, and get what the tracker gives to each by itself."""
+    for seed in range(4):
+        rows = random_boxes(seed).sort_values(["video_id", "t", "frame_idx", "det_idx"], kind="stable")
+        want = pd.concat([stateful.followed(Tracker(config), own, stride) for _, own in rows.groupby("video_id")])
+        for size in (1, 50, 300, 10**6):
+            batches = pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=37)
+            got = pa.Table.from_batches(lockstep.tracked(iter(batches), lockstep.arrow_schema(stateful.TRACK_POINTS), config, stride, size)).to_pandas()
+            keys = ["video_id", "frame_idx", "t", "det_idx"]
+            pd.testing.assert_frame_equal(got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True), check_dtype=False, rtol=0, atol=1e-12)
+
+
+def test_a_step_takes_a_frame_of_every_video(monkeypatch):
+    """The steps are as many as the longest video has frames, not as all have."""
+    steps, step = [], lockstep.Lockstep.step
+    monkeypatch.setattr(lockstep.Lockstep, "step", lambda self, *a: steps.append(1) or step(self, *a))
+    rows = random_boxes(1, videos=40)
+    list(lockstep.tracked(iter(pa.Table.from_pandas(rows, preserve_index=False).to_batches()), lockstep.arrow_schema(stateful.TRACK_POINTS), C))
+    assert len(steps) == rows.drop_duplicates(["video_id", "frame_idx"]).groupby("video_id").size().max()
+
+
 def test_selector_sticks():
     s = Selector()
     assert s.step([(1, True, 0.8, 0.8, 0.01, 9), (2, True, 0.7, 0.8, 0.01, 9)])[0] == 1

@@ -1,8 +1,7 @@
 """Kernels per video in a batch.
 
-A video is one group: its rows in time, some hundred thousand at most, lie in one
-task, and videos run side by side.  Everything that does not hang on the row before
-is a column expression elsewhere.
+A video's rows lie in one task, sorted by time, and stream by: a task works on many videos
+in step, by arrays, and on a long one portion after portion.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import gate, timejoin
+from . import gate, lockstep, timejoin
 from .config import Config
 from .court import CourtConfig, rallies, trace
 from .decider import decide
@@ -55,10 +54,11 @@ def track(detections: DataFrame, config: Config = Config(), stride: bool = False
     stride: skip frames as the tracker advises, counted over frame_idx.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return followed(Tracker(config), group.sort_values(["t", "frame_idx", "det_idx"], kind="stable"), stride)
-
-    return detections.withColumn("video_id", F.col("video_id").cast("string")).groupBy("video_id").applyInPandas(run, TRACK_POINTS)
+    names = ["video_id", "t", "frame_idx", "det_idx"]
+    rows = detections.withColumn("video_id", F.col("video_id").cast("string")).select(*names, *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    schema = lockstep.arrow_schema(TRACK_POINTS)
+    dealt = rows.repartition("video_id").sortWithinPartitions(*[F.asc_nulls_last(c) for c in names])
+    return dealt.mapInArrow(lambda batches: lockstep.tracked(batches, schema, config, stride), TRACK_POINTS)
 
 
 def gated(track_points: DataFrame, config: Config = Config()) -> DataFrame:
