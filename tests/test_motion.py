@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import numeric as N
 from trackloom.operators import detections as D
 from trackloom.operators import evaluate as E
-from trackloom.operators import gate, intervals, lockstep, stateful
+from trackloom.operators import gate, intervals, lockstep, stateful, windows
 from trackloom.operators import metrics as M
 from trackloom.operators.config import Config
 from trackloom.operators import court as K
@@ -84,6 +84,36 @@ def test_gate_reasons(spark):
     assert got["loop"].rejection_reason == "doubling back (loop)"
 
 
+def flights(seed):
+    """Tracks of arcs, lines, loops, stops and noise, with gaps and equal times."""
+    rnd, rows = random.Random(seed), []
+    for v, track in [(v, k) for v in ("a", "b", None) for k in range(12)]:
+        t, kind = rnd.random(), rnd.randrange(6)
+        for k in range(rnd.choice([1, 2, 3, 4, 5, 30, 90])):
+            t += rnd.choice([1 / 30] * 12 + [0.0, 0.0007, 0.4]) if kind != 5 else 0.0
+            s = t % 1.0
+            x, y = {0: (0.1 + 0.3 * s, 0.3 + 1.2 * s - 0.9 * s * s), 1: (0.2 + 0.4 * s, 0.5), 2: (0.4 + 0.1 * math.sin(6 * s), 0.3 + 1.2 * s - 0.9 * s * s), 3: (0.5, 0.5), 4: (rnd.random(), rnd.random()), 5: (0.3 + k / 100, 0.5 - k / 70)}[kind]
+            rows.append((v, track, t, x + rnd.choice([0, 0, 0.001, 0.02]) * rnd.random(), y, len(rows)))
+    return rows
+
+
+@pytest.mark.parametrize("config", [C, Config(min_r2=0.2, min_curvature=0.0, max_jump=9.0, max_offset_y=9.0, min_points=2, type_min_points=3), Config(y_down=True, reject_loops=False, classify=False, window_sec=1.5)])
+def test_windows_equal_arrays_of_points(spark, config):
+    """The gate over sorted rows judges as the gate over an array for each point, whatever the portions."""
+    schema = "video_id string, track_id long, t double, x double, y double, n long"
+    points = spark.createDataFrame([r for seed in range(3) for r in [(*p[:1], p[1] + 100 * seed, *p[2:5], p[5] + 10**6 * seed) for p in flights(seed)]], schema).repartition(5)
+    keyed = points.withColumn("track_key", F.concat_ws("/", "video_id", "track_id"))
+    names = ["inconsistency", "acceleration", "smoothness", "vertical", "span", "movement_type", "type_confidence", "is_valid", "r2", "gate_confidence", "rejection_reason"]
+    want = gate.validate(gate.recent_points(keyed, config, "track_key"), config=config).select("n", *names).toPandas().sort_values("n", ignore_index=True)
+    got = stateful.gated(points, config).select("n", *names).toPandas().sort_values("n", ignore_index=True)
+    assert want.rejection_reason.nunique() > 4
+    pd.testing.assert_frame_equal(got, want, rtol=0, atol=1e-9)
+    assert "collect_list" not in stateful.gated(points, config)._jdf.queryExecution().toString()
+    rows = points.withColumn("tick", F.round(F.col("t") * 600).cast("long")).toPandas().sort_values(["video_id", "track_id", "t", "x", "y"])
+    whole = [pa.Table.from_batches(windows.judged_by(iter(pa.Table.from_pandas(rows, preserve_index=False).to_batches(max_chunksize=29)), config, size)) for size in (10**6, 1, 40, 333)]
+    assert all(x.equals(whole[0]) or x.to_pandas().equals(whole[0].to_pandas()) for x in whole[1:])
+
+
 def frames(n, ball, flight, start=0.0, y=None):
     return [(start + k / 30, ball, flight, y) for k in range(n)]
 

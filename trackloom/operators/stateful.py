@@ -62,9 +62,8 @@ def track(detections: DataFrame, config: Config = Config(), stride: bool = False
 
 
 def gated(track_points: DataFrame, config: Config = Config()) -> DataFrame:
-    """Track points with the gate's verdict over each one's recent points; columns only."""
-    keyed = track_points.withColumn("track_key", F.concat_ws("/", "video_id", "track_id"))
-    return gate.validate(gate.recent_points(keyed, config, "track_key"), config=config).drop("track_key", "points", "loop_points")
+    """Track points with the gate's verdict over each one's recent points."""
+    return gate.validate_windows(track_points, config)
 
 
 EVIDENCE = "video_id string, t double, has_ball boolean, is_projectile boolean, ball_y double, track_id long, score double"
