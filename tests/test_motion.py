@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import numeric as N
 from trackloom.operators import detections as D
 from trackloom.operators import evaluate as E
-from trackloom.operators import gate, intervals, lockstep, stateful, windows
+from trackloom.operators import gate, intervals, lockstep, selection, stateful, windows
 from trackloom.operators import metrics as M
 from trackloom.operators.config import Config
 from trackloom.operators import court as K
@@ -371,6 +371,41 @@ def test_tracker_chooses_its_frames(spark):
     assert got == sorted(want) and len(got) < stateful.track(table, C).count()
 
 
+def by_selector(points, frames, config):
+    """The evidence of one video, frame by frame."""
+    chooser, out = Selector(config), []
+    for t in sorted(frames):
+        last = {}
+        for p in sorted((p for p in points if p["t"] <= t <= p["t"] + config.fresh_sec), key=lambda p: p["t"]):
+            last[p["track_id"]] = p
+        own = [last[k] for k in sorted(last)]
+        picked, scores = chooser.step([tuple(p[c] for c in ("track_id", "is_valid", "gate_confidence", "acceleration", "mean_area", "age")) for p in own])
+        out.append((t, bool(own), picked is not None, next((p["y"] for p in own if p["track_id"] == picked), own[-1]["y"] if own else None), picked, scores.get(picked)))
+    return out
+
+
+def test_selection_equals_frame_by_frame(spark):
+    rnd, frames, points, want = random.Random(11), [], [], []
+    for v in [*(f"v{k:02}" for k in range(14)), "long"]:
+        times = sorted({round(rnd.random() * (9 if v == "long" else rnd.choice([0.05, 1, 3])), 2) for _ in range(300 if v == "long" else rnd.randrange(1, 60))})
+        own = [{"video_id": v, "t": t, "track_id": k, "is_valid": rnd.random() < 0.6, "gate_confidence": rnd.random(), "acceleration": rnd.choice([0.0, 0.5]), "mean_area": 0.01 * rnd.randrange(3), "age": rnd.randrange(20), "y": rnd.random()} for t in times for k in range(6) if rnd.random() < (0.3 if v != "v03" else 0.0)]
+        points += own
+        times = [t for t in times if rnd.random() < 0.9] + ([] if v == "v05" else [10.0])
+        frames += [(v, t) for t in times]
+        want += [(v, *r) for r in by_selector(own, times, C)]
+    frames.append((None, 1.0))
+    want.append((None, 1.0, False, False, None, None, None))
+    schema = "video_id string, t double, track_id long, is_valid boolean, gate_confidence double, acceleration double, mean_area double, age int, y double"
+    got = stateful.select(spark.createDataFrame(points, schema).repartition(3), spark.createDataFrame([*frames, frames[0]], "video_id string, t double").repartition(4)).collect()
+    rounded = lambda rows: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in rows)
+    assert rounded(got) == rounded(want)
+    rows = pd.concat([pd.DataFrame(frames, columns=["video_id", "t"]).assign(is_frame=True), pd.DataFrame(points).assign(is_frame=False)]).sort_values(["video_id", "t", "is_frame", "track_id"])
+    for size in (1, 9, 100, 700):
+        table = pa.Table.from_pandas(rows.astype({"track_id": "Int64", "is_valid": "boolean"}), preserve_index=False)
+        parts = pa.Table.from_batches(selection.chosen(iter(table.to_batches(max_chunksize=13)), C, size)).to_pylist()
+        assert rounded([*r.values()] for r in parts) == rounded(want)
+
+
 def random_boxes(seed, videos=12, frames=90):
     rnd, rows = random.Random(seed), []
     for v in range(videos):

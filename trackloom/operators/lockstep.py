@@ -44,10 +44,10 @@ def portions(batches: Iterator[pa.RecordBatch], ends, size: int = PORTION) -> It
         yield pa.Table.from_batches(held).combine_chunks(), False
 
 
-def numbers(table: pa.Table, name: str) -> np.ndarray:
-    """A column; NaN for null."""
+def numbers(table: pa.Table, name: str, null: bool | int | None = None) -> np.ndarray:
+    """A column; `null` for null, else NaN."""
     column = table.column(name).combine_chunks()
-    return column.to_numpy(zero_copy_only=False)
+    return (column if null is None else column.fill_null(null)).to_numpy(zero_copy_only=False)
 
 
 def beginnings(*columns: np.ndarray) -> np.ndarray:

@@ -13,11 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import gate, lockstep, timejoin
+from . import gate, lockstep, selection
 from .config import Config
 from .court import CourtConfig, rallies, trace
 from .decider import decide
-from .kernels import Selector, Tracker
+from .kernels import Tracker
 
 __all__ = ["court_rallies", "decide", "gated", "select", "track"]
 
@@ -66,30 +66,14 @@ def gated(track_points: DataFrame, config: Config = Config()) -> DataFrame:
     return gate.validate_windows(track_points, config)
 
 
-EVIDENCE = "video_id string, t double, has_ball boolean, is_projectile boolean, ball_y double, track_id long, score double"
-
-
 def select(points: DataFrame, frames: DataFrame, config: Config = Config()) -> DataFrame:
     """One row per frame of frames(video_id, t): whether a fresh track is there, and the chosen one's verdict."""
-    latest = frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("t").cast("double").alias("t"))
-    fresh = points.select("video_id", F.col("t").alias("start"), (F.col("t") + config.fresh_sec).alias("end"), "track_id", "is_valid", "gate_confidence", "acceleration", "mean_area", "age", "y")
-    near = timejoin.points_in_ranges(latest, fresh, "video_id", how="left", width=4 * config.fresh_sec)
-    w = Window.partitionBy("video_id", "t", "track_id").orderBy(F.desc("start"))
-    last = near.withColumn("place", F.row_number().over(w)).where("place = 1")
-    flat = last.select("video_id", "t", "track_id", "is_valid", "gate_confidence", "acceleration", "mean_area", "age", "y")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        chooser, rows = Selector(config), []
-        group = group.sort_values(["t", "track_id"], kind="stable")
-        ordered = zip(*(group[c].to_numpy() for c in ("t", "track_id", "is_valid", "gate_confidence", "acceleration", "mean_area", "age", "y")), strict=True)
-        for t, fresh in itertools.groupby(ordered, key=lambda r: r[0]):
-            own = [r for r in fresh if r[1] == r[1]]
-            chosen, scores = chooser.step([(int(r[1]), bool(r[2]), r[3], r[4], r[5], int(r[6])) for r in own])
-            y = next((r[7] for r in own if r[1] == chosen), own[-1][7] if own else None)
-            rows.append((group.video_id.iloc[0], t, len(own) > 0, chosen is not None, y, chosen, scores.get(chosen)))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in EVIDENCE.split(", ")])
-
-    return flat.groupBy("video_id").applyInPandas(run, EVIDENCE)
+    key = [F.col("video_id").cast("string").alias("video_id"), F.col("t").cast("double").alias("t")]
+    kinds = {"track_id": "long", "is_valid": "boolean", "age": "int"} | dict.fromkeys(selection.TRAITS, "double")
+    latest = frames.select(*key).distinct().select("video_id", "t", F.lit(True).alias("is_frame"), *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+    fresh = points.where("video_id is not null and t is not null").select(*key, F.lit(False).alias("is_frame"), *[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
+    dealt = latest.unionByName(fresh).repartition("video_id").sortWithinPartitions("video_id", F.asc_nulls_last("t"), "is_frame", "track_id")
+    return dealt.mapInArrow(lambda batches: selection.chosen(batches, config), selection.EVIDENCE)
 
 
 RALLIES = "video_id string, rally_id int, start_frame long, end_frame long, start_time double, end_time double, net_crossings int, side_changes int, lost_events int, confidence int, end_reason string"
