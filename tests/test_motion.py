@@ -214,6 +214,16 @@ def test_decider_over_split_videos(spark):
     assert stateful.decide(table.where("t < 0")).collect() == []
 
 
+def test_neighbouring_spans_are_one_piece(spark):
+    """Spans of a video go together until they hold enough rows; play does not hang on how many that is."""
+    rows = [(v, *r) for v in (1, 2, None) for r in random_frames(v or 3, 120)]
+    table = spark.createDataFrame(rows, "video_id long, t double, has_ball boolean, is_projectile boolean, ball_y double").repartition(5)
+    want = {(v, r[0]): x for v in (1, 2, None) for r, x in zip(random_frames(v or 3, 120), by_frames(random_frames(v or 3, 120), C), strict=True)}
+    for rows_each in (1, 7, 50, 10**6):
+        got = stateful.decide(table, C, cut=0.5, rows_each=rows_each).collect()
+        assert len(got) == len(want) and {(r.video_id, r.t): r.is_active for r in got} == want
+
+
 def activity(spark, *spans, end=20.0, step=0.1):
     rows = [("v", k * step, any(a <= k * step < b - 1e-9 for a, b in spans)) for k in range(round(end / step) + 1)]
     return spark.createDataFrame(rows, "video_id string, t double, is_active boolean"), spark.createDataFrame([("v", end)], "video_id string, duration double")

@@ -22,7 +22,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .config import Config
@@ -31,6 +31,8 @@ from .config import Config
 LONGEST_WAIT, THIN_AFTER, THIN_RATE = 0.8, 1.5, 0.5
 #: Spans of time that are worked on at once.
 CUT = 600.0
+#: Rows up to which neighbouring spans of a video are one piece.
+PIECE_ROWS = 4096
 
 
 @dataclass
@@ -215,11 +217,12 @@ class Decider:
         return bool(active[0])
 
 
-def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] = ("video_id",), cut: float = CUT) -> DataFrame:
+def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] = ("video_id",), cut: float = CUT, rows_each: int = PIECE_ROWS) -> DataFrame:
     """keys, t and is_active of each row of frames(keys, t, has_ball, is_projectile, ball_y); rows with one time keep no order.
 
-    Pieces of `cut` units of time are worked on side by side, so a video may hold any share of the
-    rows; the result does not hang on the cut.  Null flags are false; rows with a null time are left out.
+    Pieces are worked on side by side, so a video may hold any share of the rows.  A piece is one or more
+    neighbouring spans of `cut` units of time: spans of a video go together until they hold `rows_each` rows, so
+    pieces are not more than the rows call for.  The result does not hang on either.  Null flags are false; rows with a null time are left out.
     """
     names = [*keys, "piece"]
     flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).alias(c)
@@ -273,7 +276,12 @@ def decide(frames: DataFrame, config: Config = Config(), keys: tuple[str, ...] =
             active = [switched(r.t, r.may_start, r.may_end, None if pd.isna(r.since) else r.since, config)[0].tolist() for r in batch.itertuples()]
             yield batch[[*keys, "t"]].assign(active=active)
 
-    pieces = rows.groupBy(*names).agg(F.array_sort(F.collect_list("frame")).alias("frames")).select(*names, *[F.col(f"frames.{c}").alias(c) for c in ("t", "has_ball", "is_projectile", "ball_y")])
+    spans = rows.groupBy(*names).agg(F.collect_list("frame").alias("frames"))
+    earlier = F.sum("n").over(Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = spans.select(*names, F.size("frames").alias("n"))
+    into = sizes.select(*[F.col(c).alias(f"of_{c}") for c in names], F.floor(F.coalesce(earlier, F.lit(0)) / rows_each).alias("into"))
+    gathered = spans.join(into, same(spans, into)).select(*keys, F.col("into").alias("piece"), "frames")
+    pieces = gathered.groupBy(*names).agg(F.array_sort(F.flatten(F.collect_list("frames"))).alias("frames")).select(*names, *[F.col(f"frames.{c}").alias(c) for c in ("t", "has_ball", "is_projectile", "ball_y")])
     digests = pieces.mapInPandas(digested, f"{named}, digest string")
     keyed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
     memories = in_order(digests, "digest", remembered, "memory", "string")
