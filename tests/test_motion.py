@@ -512,6 +512,34 @@ def test_court():
     assert K.rallies(K.trace([], net), net).empty
 
 
+def test_rallies_of_many_videos_together(spark):
+    """Rallies counted over many videos at once, in any portions, are those of each video by itself."""
+    rnd, rows, nets, want, log = random.Random(8), [], [], [], []
+    for k in range(9):
+        video, net = f"v{k}", (0.1, 0.4 + 0.01 * k, 0.8, 0.1)
+        nets.append((video, *net))
+        x, y, own = 0.5, 0.5, []
+        for f in range(rnd.choice([3, 150, 400])):
+            x, y = min(0.95, max(0.0, x + rnd.uniform(-0.03, 0.03))), min(0.95, max(0.0, y + rnd.uniform(-0.05, 0.05)))
+            balls = [] if (f // 40) % 3 == 2 else [(x, y, 0.02, 0.02, 0.6 + 0.3 * rnd.random())] + [(rnd.random(), rnd.random(), 0.02, 0.02, 0.4)] * (f % 5 == 0)
+            own += [(video, f, f / 20, d, *b) for d, b in enumerate(balls or [(None,) * 5])]
+        rows += own
+        frames = [(f, f / 20, [(r[4] + r[6] / 2, r[5] + r[7] / 2, r[8]) for r in own if r[1] == f and r[4] is not None]) for f in sorted({r[1] for r in own})]
+        trace = K.trace(frames, net)
+        want += [(video, *r) for r in K.rallies(trace, net).itertuples(index=False, name=None)]
+        log += [(video, r.frame, r.after) for r in trace.itertuples()]
+    table = spark.createDataFrame(rows, "video_id string, frame_idx long, t double, det_idx int, x double, y double, w double, h double, conf double").repartition(4)
+    net_table = spark.createDataFrame(nets, "video_id string, net_x double, net_y double, net_w double, net_h double")
+    got = [tuple(r) for r in stateful.court_rallies(table, net_table).collect()]
+    assert len(want) > 9 and max(r[1] for r in want) > 1 and sorted(got) == sorted(want)
+    assert sorted((r.video_id, r.frame_idx, r.state) for r in stateful.court_rallies(table, net_table, states=True).collect()) == sorted(log)
+    of = {n[0]: n[1:] for n in nets}
+    plain = [(r[0], r[2], r[1], *[math.nan if v is None else v for v in r[4:]], *of[r[0]]) for r in rows]
+    for size in (1, 30, 200):
+        parts = pd.concat(K.rallies_of(iter(plain), K.CourtConfig(), size))
+        assert sorted(parts.itertuples(index=False, name=None)) == sorted(want)
+
+
 def test_scoring(spark):
     p = [("a", 0, 0.0, 10.0), ("a", 1, 20.0, 30.0), ("b", 0, 0.0, 4.0), ("c", 0, 0.0, 10.0), ("c", 1, 5.0, 15.0)]
     t = [("a", 0, 0.0, 10.0), ("a", 1, 22.0, 30.0), ("b", 0, 2.0, 6.0), ("c", 0, 4.0, 12.0), ("d", 0, 0.0, 1.0)]

@@ -7,8 +7,9 @@ scored is a column over that log, by play.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +37,10 @@ NEXT = {
     "active": (("missing", "lost"), ("resting", "idle")),
     "lost": (("linked", "active"), ("late", "idle")),
 }
+NET = ["net_x", "net_y", "net_w", "net_h"]
 LOG = ["frame", "t", "before", "after", "play", "x", "y", "conf", "shown_x", "shown_y"]
+#: Rows of plays that are counted at once.
+ROWS = 50_000
 Ball = tuple[float, float, float]
 Net = tuple[float, float, float, float]
 
@@ -46,12 +50,17 @@ def _link(balls: list[Ball], last: Ball | None, ahead: tuple[float, float], reac
     if last is None:
         return max((b for b in balls if low <= b[0] < high), key=lambda b: b[2], default=None)
     away = [math.hypot(b[0] - ahead[0], b[1] - ahead[1]) for b in balls]
-    best = int(np.argmin(away)) if away else -1
+    best = min(range(len(away)), key=away.__getitem__, default=-1)
     return balls[best] if away and away[best] <= reach else None
 
 
 def trace(frames: Iterable[tuple[int, float, list[Ball]]], net: Net, config: CourtConfig = CourtConfig()) -> pd.DataFrame:
-    """The log of frames (number, time, balls as x, y, confidence): states before and after, the linked ball, the play it belongs to.
+    """The log of frames (number, time, balls as x, y, confidence): states before and after, the linked ball, the play it belongs to."""
+    return pd.DataFrame(followed(frames, net, config), columns=LOG)
+
+
+def followed(frames: Iterable[tuple[int, float, list[Ball]]], net: Net, config: CourtConfig = CourtConfig()) -> Iterator[tuple]:
+    """The rows of the log, one as each frame comes.
 
     The edges on the far sides do not belong to the court.
     """
@@ -61,7 +70,6 @@ def trace(frames: Iterable[tuple[int, float, list[Ball]]], net: Net, config: Cou
     state, last, speed, seen_t, clock = "idle", None, (0.0, 0.0), 0.0, None
     settled = missed = play = 0
     rest = 0.0
-    log = []
     for frame, t, every in frames:
         near = [b for b in every if b[2] >= config.confidence and wide[0] <= b[0] < wide[1] and 0 <= b[1] < 1]
         wait = max(0.0, t - seen_t)
@@ -89,21 +97,28 @@ def trace(frames: Iterable[tuple[int, float, list[Ball]]], net: Net, config: Cou
         starts = before == "tracking" and state == "active"
         play += starts
         shown = ball or (last if state == "lost" else None)
-        log.append((frame, t, before, state, play if starts or before in ("active", "lost") else 0, *(ball or (np.nan,) * 3), *(shown[:2] if shown else (np.nan, np.nan))))
+        yield (frame, t, before, state, play if starts or before in ("active", "lost") else 0, *(ball or (np.nan,) * 3), *(shown[:2] if shown else (np.nan, np.nan)))
         if state == "idle":
             last, rest = None, 0.0
         clock = t
-    return pd.DataFrame(log, columns=LOG)
 
 
 def rallies(log: pd.DataFrame, net: Net, config: CourtConfig = CourtConfig()) -> pd.DataFrame:
     """One row per play of a log that lasts long enough, with what is counted over it."""
-    rows = log[log.play > 0].copy()
+    rows = log[log.play > 0].assign(**dict(zip(NET, net, strict=True)))
+    out = plays(rows, config).reset_index(drop=True)
+    out.insert(0, "rally_id", np.arange(1, len(out) + 1))
+    return out
+
+
+def plays(rows: pd.DataFrame, config: CourtConfig) -> pd.DataFrame:
+    """The same of rows with their nets, from any videos; `play` is of one video only, and the index of what comes."""
+    rows = rows.copy()
     rows["hit"], counted = rows.x.notna(), rows.before != "tracking"
     hits = rows[rows.hit].copy()
-    side = (hits.y < net[1] + net[3] / 2).astype(int)
+    side = (hits.y < hits.net_y + hits.net_h / 2).astype(int)
     hits["changes"] = (hits.before == "active") & (side.groupby(hits.play).diff().fillna(0) != 0)
-    hits["crosses"] = hits.changes & hits.x.between(net[0], net[0] + net[2])
+    hits["crosses"] = hits.changes & hits.x.between(hits.net_x, hits.net_x + hits.net_w)
     by = rows.groupby("play")
     out = pd.DataFrame({"start_frame": by.frame.first(), "start_time": by.t.first(), "before": by.before.last(), "after": by.after.last(), "last_frame": by.frame.last(), "last_time": by.t.last()})
     out["n"], out["hits"] = counted.groupby(rows.play).sum(), (counted & rows.hit).groupby(rows.play).sum()
@@ -118,6 +133,49 @@ def rallies(log: pd.DataFrame, net: Net, config: CourtConfig = CourtConfig()) ->
     kept = (out.hits / out.n.where(out.n > 0)).fillna(0.0)
     score = 30 * kept + 20 * out["mean"] + 20 * np.minimum(1, took / 5) + 15 * np.minimum(1, out.side_changes / 3) + 15 * np.minimum(1, out.net_crossings / 2)
     out["confidence"] = np.floor(score.clip(0, 100) + 0.5).astype(int)
-    out = out[took >= config.least_sec].reset_index(drop=True)
-    out["rally_id"] = np.arange(1, len(out) + 1)
-    return out[["rally_id", "start_frame", "end_frame", "start_time", "end_time", "net_crossings", "side_changes", "lost_events", "confidence", "end_reason"]]
+    return out[took >= config.least_sec][["start_frame", "end_frame", "start_time", "end_time", "net_crossings", "side_changes", "lost_events", "confidence", "end_reason"]]
+
+
+def frames_of(rows: Iterable[tuple]) -> Iterator[tuple[int, float, list[Ball]]]:
+    """Frames of rows (video, t, frame, x, y, w, h, confidence, ...) of one video in time; a row whose x is NaN is no ball."""
+    for (t, frame), own in itertools.groupby(rows, key=lambda r: r[1:3]):
+        yield int(frame), t, [(r[3] + r[5] / 2, r[4] + r[6] / 2, r[7]) for r in own if r[3] == r[3]]
+
+
+def logged(rows: Iterable[tuple], config: CourtConfig) -> Iterator[tuple]:
+    """Rows of the logs of videos that stream by, each with its video's id before and its net behind."""
+    for video, own in itertools.groupby(rows, key=lambda r: r[0]):
+        first = next(own)
+        net = first[8:]
+        for row in followed(frames_of(itertools.chain([first], own)), net, config):
+            yield video, *row, *net
+
+
+def rallies_of(rows: Iterable[tuple], config: CourtConfig, size: int = ROWS) -> Iterator[pd.DataFrame]:
+    """Rallies of videos that stream by, with video_id: counted together over whole plays of about `size` rows."""
+    held, last, total, number = [], None, {}, 0
+
+    def counted() -> pd.DataFrame:
+        table = pd.DataFrame(held, columns=["video_id", "number", *LOG, *NET])
+        table["play"] = table.number
+        out = plays(table, config)
+        out.insert(0, "video_id", table.groupby("play").video_id.first().loc[out.index])
+        before = out.video_id.map(total).fillna(0).astype(int)
+        out.insert(1, "rally_id", before + out.groupby("video_id").cumcount() + 1)
+        count = out.video_id.iloc[-1] if len(out) else None
+        kept = {last[0]: int(out.rally_id.iloc[-1])} if count == last[0] else {last[0]: total.get(last[0], 0)}
+        total.clear()
+        total.update(kept)
+        return out
+
+    for row in logged(rows, config):
+        if not row[5]:
+            continue
+        if (row[0], row[5]) != last:
+            if len(held) >= size:
+                yield counted()
+                held.clear()
+            last, number = (row[0], row[5]), number + 1
+        held.append((row[0], number, *row[1:]))
+    if held:
+        yield counted()

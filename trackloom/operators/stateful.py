@@ -10,12 +10,13 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import gate, lockstep, selection
 from .config import Config
-from .court import CourtConfig, rallies, trace
+from .court import LOG, NET, ROWS, CourtConfig, logged, rallies_of
 from .decider import decide
 from .kernels import Tracker
 
@@ -85,15 +86,28 @@ def court_rallies(detections: DataFrame, nets: DataFrame, config: CourtConfig =
 
     A frame without a ball has one row whose x is null.
     """
+    names = ["video_id", "t", "frame_idx", "x", "y", "w", "h", "conf", *NET]
     joined = detections.join(nets, "video_id").withColumn("video_id", F.col("video_id").cast("string"))
+    dealt = joined.withColumns({c: F.col(c).cast("double") for c in names[3:]}).select(*names, "det_idx").repartition("video_id").sortWithinPartitions("video_id", F.asc_nulls_last("t"), "frame_idx", "det_idx")
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        net = tuple(float(group[c].iloc[0]) for c in ("net_x", "net_y", "net_w", "net_h"))
-        group = group.sort_values(["t", "frame_idx", "det_idx"], kind="stable")
-        ordered = zip(*(group[c].to_numpy() for c in ("t", "frame_idx", "x", "y", "w", "h", "conf")), strict=True)
-        balls = ((int(frame), t, [(x + w / 2, y + h / 2, conf) for _, _, x, y, w, h, conf in own if x == x]) for (t, frame), own in itertools.groupby(ordered, key=lambda r: r[:2]))
-        log = trace(balls, net, config)
-        out = log.rename(columns={"frame": "frame_idx", "after": "state", "shown_x": "ball_x", "shown_y": "ball_y"}) if states else rallies(log, net, config)
-        return out.assign(video_id=group.video_id.iloc[0])[[x.split()[0] for x in (STATES if states else RALLIES).split(", ")]]
+    def rows(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            yield from zip(table.column("video_id").to_pylist(), *(lockstep.numbers(table, c).tolist() for c in names[1:]), strict=True)
 
-    return joined.groupBy("video_id").applyInPandas(run, STATES if states else RALLIES)
+    def run(batches):
+        if states:
+            log = logged(rows(batches), config)
+            while own := list(itertools.islice(log, ROWS)):
+                table = pd.DataFrame(own, columns=["video_id", *LOG, *NET]).rename(columns={"frame": "frame_idx", "after": "state", "shown_x": "ball_x", "shown_y": "ball_y"})
+                yield from _batches(table, STATES)
+        else:
+            for table in rallies_of(rows(batches), config):
+                yield from _batches(table, RALLIES)
+
+    return dealt.mapInArrow(run, STATES if states else RALLIES)
+
+
+def _batches(table: pd.DataFrame, columns: str) -> list[pa.RecordBatch]:
+    schema = lockstep.arrow_schema(columns)
+    return pa.Table.from_pandas(table[schema.names], schema, preserve_index=False).to_batches(max_chunksize=10_000)
