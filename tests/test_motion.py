@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import numeric as N
 from trackloom.operators import detections as D
 from trackloom.operators import evaluate as E
-from trackloom.operators import gate, intervals, lockstep, selection, stateful, windows
+from trackloom.operators import gate, intervals, lockstep, replays, selection, stateful, windows
 from trackloom.operators import metrics as M
 from trackloom.operators.config import Config
 from trackloom.operators import court as K
@@ -577,6 +577,63 @@ def test_sweep_finds_the_parameters_that_fit(spark):
     assert base.drift == 0 and base.f1 == one.f1 and base.objective == pytest.approx(one.objective)
 
 
+def sums_alone(videos, own):
+    """n_pred, tp, start_in, end_in and errors of one parameter row, video by video and frame by frame."""
+    out = [0.0] * 6
+    for rows, truth in videos:
+        active = by_frames(rows, Config(**{k: own[k] for k in E.BOUNDS if k != "grace_frames"}, grace_frames=round(own["grace_frames"]))) if rows else []
+        runs = []
+        for k, on in enumerate(active):
+            if on and not (k and active[k - 1]):
+                end = next((rows[j][0] for j in range(k, len(rows)) if not active[j]), rows[-1][0])
+                if runs and rows[k][0] - runs[-1][1] <= own["merge_gap"]:
+                    runs[-1][1] = end
+                else:
+                    runs.append([rows[k][0], end])
+        found = [r for r in runs if r[1] - r[0] >= own["min_length"]]
+        iou = lambda a, b: max(0.0, min(a[1], b[1]) - max(a[0], b[0])) / (a[1] - a[0] + b[1] - b[0] - max(0.0, min(a[1], b[1]) - max(a[0], b[0])) or 1)
+        pairs = sorted((-iou(a, b), i, j) for i, a in enumerate(found) for j, b in enumerate(truth) if a[0] < b[1] and a[1] > b[0] and iou(a, b) >= 0.5)
+        out[0] += len(found)
+        gone_a, gone_b = set(), set()
+        for _, i, j in pairs:
+            if i not in gone_a and j not in gone_b:
+                gone_a.add(i)
+                gone_b.add(j)
+                errors = [abs(found[i][k] - truth[j][k]) for k in (0, 1)]
+                out = [x + y for x, y in zip(out, [0, 1, errors[0] <= 0.5, errors[1] <= 0.5, *errors], strict=True)]
+    return out
+
+
+def test_sweep_equals_each_replay(spark, monkeypatch):
+    """All parameters over all videos in step score as each replay by itself, in portions of any size."""
+    rnd, videos = random.Random(5), []
+    for k in range(10):
+        rows, truth, t = random_frames(k, rnd.choice([1, 40, 140])) if k != 4 else [], [], 0.0
+        while t < 20 and k != 7:
+            t += rnd.random() * 4
+            truth.append((t, t + rnd.random() * 6))
+            t = truth[-1][0] + 0.5
+        videos.append((rows, truth))
+    anchor = {k: float(getattr(C, k)) for k in E.BOUNDS}
+    params = E.draw_parameters(spark, {**anchor, "min_length": 0.1}, 60, seed=9)
+    listed = [r.asDict() for r in params.collect()]
+    want = [sums_alone(videos, own) for own in listed]
+    assert sum(w[1] for w in want) > 30
+    kinds = {"t": pa.float64(), "has_ball": pa.bool_(), "is_projectile": pa.bool_(), "ball_y": pa.float64()}
+    batch = pa.record_batch({**{c: pa.array([[r[j] for r in rows] for rows, _ in videos], pa.list_(kind)) for j, (c, kind) in enumerate(kinds.items())}, "seg_idx": pa.array([list(range(len(x))) if x else None for _, x in videos], pa.list_(pa.int32())), **{c: pa.array([[x[j] for x in truth] if truth else None for _, truth in videos], pa.list_(pa.float64())) for j, c in enumerate(("start", "end"))}})
+    for size in (1, 100, 10**6):
+        monkeypatch.setattr(replays, "FRAMES", size)
+        got = replays.replayed(batch, listed, C)
+        assert np.allclose(np.array([got[c] for c in replays.SUMS]).T, want, rtol=0, atol=1e-9)
+    evidence = spark.createDataFrame([(k, *r) for k, (rows, _) in enumerate(videos) for r in rows], "video_id long, t double, has_ball boolean, is_projectile boolean, ball_y double").repartition(5)
+    truth = spark.createDataFrame([(k, j, *x) for k, (_, own) in enumerate(videos) for j, x in enumerate(own)], "video_id long, seg_idx int, start double, end double")
+    scored = {r.param_id: r for r in E.evaluate_parameters(evidence, truth, params, anchor).collect()}
+    n_true = sum(len(x) for _, x in videos)
+    for own, (n_pred, tp, start_in, end_in, *_) in zip(listed, want, strict=True):
+        r = scored[own["param_id"]]
+        assert r.f1 == pytest.approx(2 * tp / (n_pred + n_true)) and r.objective == pytest.approx(0.75 * r.f1 + (0.25 * (start_in + end_in) / 2 / tp if tp else 0))
+
+
 def test_segment_score_and_ema(spark):
     rows = [("v", k / 10, True, 0.05 + 0.001 * k, 0.1 + 0.01 * k, 0.5, 0.5) for k in range(60)]
     evidence = spark.createDataFrame(rows, "video_id string, t double, has_ball boolean, size double, sel_x double, sel_y double, track_y double")

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
-from . import intervals, stateful
+from . import intervals, replays, stateful
 from .config import Config
-from .decider import Memory, columns_of, decided
 from .settled import settled
 
 #: Fixed ranges of the swept parameters.
@@ -57,7 +56,11 @@ def score(predicted: DataFrame, truth: DataFrame, matches: DataFrame, keys: tupl
     hits = matches.select(*keys, one("tp"), start.alias("start_err"), end.alias("end_err"), (start <= tolerance).cast("long").alias("start_in"), (end <= tolerance).cast("long").alias("end_in"))
     rows = predicted.select(*keys, one("n_pred")).unionByName(truth.select(*keys, one("n_true")), allowMissingColumns=True).unionByName(hits, allowMissingColumns=True)
     names = ("n_pred", "n_true", "tp", "start_in", "end_in", "start_err", "end_err")
-    whole = rows.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return scores(rows.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]), keys)
+
+
+def scores(whole: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What `score` gives, from counts and sums of errors."""
     tp = F.col("tp").cast("double")
     out = whole.select(
         *keys,
@@ -97,52 +100,37 @@ def draw_parameters(spark: SparkSession, anchor: dict[str, float], n: int, seed:
     return rows.unionByName(spark.createDataFrame([(-1, *[float(anchor[k]) for k in BOUNDS])], "param_id long, " + ", ".join(f"{k} double" for k in BOUNDS)))
 
 
-def _merged(runs: Iterable[tuple[float, float]], own: dict) -> list[tuple[int, float, float]]:
-    """Runs with short gaps closed, those that are long enough, numbered."""
-    merged: list[list[float]] = []
-    for start, end in runs:
-        if merged and start - merged[-1][1] <= own["merge_gap"]:
-            merged[-1][1] = max(merged[-1][1], end)
-        else:
-            merged.append([start, end])
-    return [(k, *x) for k, x in enumerate(x for x in merged if x[1] - x[0] >= own["min_length"])]
-
-
 def evaluate_parameters(evidence: DataFrame, truth: DataFrame, params: DataFrame, anchor: dict[str, float]) -> DataFrame:
     """params with f1, objective, drift from the anchor and rank_score.
 
     Parameters are at most `MAX_PARAMETERS` rows, which is checked; they travel with
-    the tasks.  Each video is dealt out once per `CHUNK` parameters, so (videos x
-    chunks) run side by side.
+    the tasks.  Each video is dealt out with its labels once per `CHUNK` parameters, so (videos x
+    chunks) run side by side; matches are greedy as in `greedy_match`, and a task hands on its sums only.
     """
     base = Config()
     listed = [r.asDict() for r in params.limit(MAX_PARAMETERS + 1).collect()]
     if len(listed) > MAX_PARAMETERS:
         raise ValueError(f"a sweep takes at most {MAX_PARAMETERS} parameter rows")
-    rows = evidence.select("video_id", "t", "has_ball", "is_projectile", F.col("ball_y").cast("double").alias("ball_y"))
-    by_video = rows.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "has_ball", "is_projectile", "ball_y"))).alias("frames"))
-    fanned = by_video.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((len(listed) - 1) // CHUNK)))).repartition("video_id", "chunk")
+    rows = evidence.where("t is not null").select("video_id", F.struct(F.col("t").cast("double").alias("t"), *[F.col(c).cast("boolean").alias(c) for c in ("has_ball", "is_projectile")], F.col("ball_y").cast("double").alias("ball_y")).alias("frame"))
+    by_video = rows.groupBy("video_id").agg(F.array_sort(F.collect_list("frame")).alias("frames")).select("video_id", *[F.col(f"frames.{c}").alias(c) for c in ("t", "has_ball", "is_projectile", "ball_y")])
+    labels = truth.groupBy(F.col("video_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "seg_idx"))).alias("labels"))
+    labelled = by_video.join(labels, F.col("video_id").eqNullSafe(F.col("of")), "left").select("video_id", "t", "has_ball", "is_projectile", "ball_y", *[F.col(f"labels.{c}").alias(c) for c in ("seg_idx", "start", "end")])
+    fanned = labelled.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((len(listed) - 1) // CHUNK)))).repartition("video_id", "chunk").drop("video_id")
 
     def run(batches):
+        sums = {}
         for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                frames = columns_of(pd.DataFrame(list(r.frames), columns=["t", "has_ball", "is_projectile", "ball_y"]))
-                for own in listed[r.chunk * CHUNK : (r.chunk + 1) * CHUNK]:
-                    config = Config(**{**base.__dict__, **{k: own[k] for k in BOUNDS}, "grace_frames": round(own["grace_frames"])})
-                    active = decided(Memory(), None, frames, config)[0]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], active, [False]]).astype(np.int8)))
-                    times = np.append(frames[0], frames[0][-1:])
-                    out += [(own["param_id"], r.video_id, *x) for x in _merged(zip(times[edges[0::2]].tolist(), times[edges[1::2]].tolist(), strict=True), own)]
-            yield pd.DataFrame(out, columns=["param_id", "video_id", "seg_idx", "start", "end"])
-
-    kind = evidence.schema["video_id"].dataType.simpleString()
-    predicted = fanned.mapInPandas(run, f"param_id long, video_id {kind}, seg_idx int, start double, end double")
-    labels = truth.withColumn("param_id", F.explode(F.array(*[F.lit(r["param_id"]) for r in listed])))
-    key = F.concat_ws("/", "param_id", "video_id")
-    pairs = intervals.iou_pairs(predicted.withColumn("stream", key), labels.withColumn("stream", key), "stream").withColumn("param_id", F.split("stream", "/")[0].cast("long"))
-    matches = greedy_match(pairs, ("stream",))
-    scored = score(predicted, labels, matches, ("param_id",)).select("param_id", "f1", "objective")
+            chunk = batch.column("chunk")
+            for c in chunk.unique().to_pylist():
+                own = replays.replayed(batch.filter(pc.equal(chunk, c)), listed[c * CHUNK : (c + 1) * CHUNK], base)
+                sums[c] = {k: v + sums[c][k] for k, v in own.items()} if c in sums else own
+        for c, own in sums.items():
+            ids = [r["param_id"] for r in listed[c * CHUNK : (c + 1) * CHUNK]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(own[k]) for k in replays.SUMS]], ["param_id", *replays.SUMS])
+
+    found = fanned.mapInArrow(run, "param_id long, " + ", ".join(f"{c} double" for c in replays.SUMS)).groupBy("param_id").agg(*[F.sum(c).alias(c) for c in replays.SUMS])
+    whole = params.select("param_id").join(found, "param_id", "left").fillna(0.0).crossJoin(truth.agg(F.count("*").cast("double").alias("n_true")))
+    scored = scores(whole, ("param_id",)).select("param_id", "f1", "objective")
     drift = sum((F.abs(F.col(k) - float(anchor[k])) / max(1e-9, high - low) for k, (low, high) in BOUNDS.items()), F.lit(0.0)) / len(BOUNDS)
     full = params.join(scored, "param_id", "left").fillna(0.0, ["f1", "objective"]).withColumn("drift", drift)
     return full.withColumn("rank_score", F.col("objective") - DRIFT_WEIGHT * F.col("drift"))
