@@ -260,10 +260,9 @@ def _fit_views(rows: dict[str, DataFrame]) -> dict[str, View]:
     """Both views, fitted one after the other on bounded samples.
 
     Every iteration is a job with broadcasts of its own, so fits side by side fill the driver's heap twice as fast.
-    Samples are checkpointed first, as the driver writes all that made them into each iteration's job.
     No more than `SAMPLE_PARTITIONS` tasks an iteration, so that Spark adds up gradients without a shuffle.
     """
-    return {view: _fit(checkpoint(rows[view].select("good", view).coalesce(SAMPLE_PARTITIONS)), view) for view in VIEWS}
+    return {view: _fit(rows[view].coalesce(SAMPLE_PARTITIONS), view) for view in VIEWS}
 
 
 def _telling(train: DataFrame) -> _Telling:
